@@ -42,14 +42,14 @@ def main() -> None:
     if args.job == "ingest":
         print(ingest_csv(spark, store, args.file, as_of, args.month))
         if args.mode == "recluster":
-            recluster(spark, store, as_of)
+            recluster(store, as_of)
         else:
             assign_new(store, as_of)
     elif args.job == "recluster":
-        recluster(spark, store, as_of, k=args.k, keep_ids=args.keep_ids)
+        recluster(store, as_of, k=args.k, keep_ids=args.keep_ids)
     else:
         seed_dataset(spark, store, args.dataset, as_of, args.n, truncate=not args.skip_truncate)
-        recluster(spark, store, as_of, k=args.k)
+        recluster(store, as_of, k=args.k)
 
 
 if __name__ == "__main__":

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..schemas import EXAMPLE_FIELDS
-from .ranking import first_per_group, top_per_group
+from .ranking import first_per_group, settled, top_per_group
 
 CLUSTER_FIELDS = (
     "id", "name", "description", "ticket_count", "prev_window_count", "curr_window_count", "trend", "updated_at",
 )
-ORDERS = ("similarity", "newest")
+ORDER_FIELDS = ("ticket_id", "created_at")
 
 
 def example_order(order: str) -> list[Column]:
@@ -58,8 +58,8 @@ def cluster_examples(
     clusters: DataFrame, members: DataFrame, tickets: DataFrame, n: int = 10, order: str = "similarity"
 ) -> DataFrame:
     """Every cluster with an array of its first ``n`` tickets, best or newest first; empty array if it has none."""
-    examples = member_tickets(members, tickets)
-    first = top_per_group(examples, ["cluster_id"], example_order(order), n)
+    ranked = top_per_group(member_tickets(members, tickets, *ORDER_FIELDS), ["cluster_id"], example_order(order), n)
+    first = with_fields(ranked.select("cluster_id", "id", "rank"), tickets, *EXAMPLE_FIELDS)
     packed = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", F.struct(*EXAMPLE_FIELDS).alias("ticket")))), lambda x: x["ticket"]
     )
@@ -71,6 +71,16 @@ def cluster_examples(
     )
 
 
+def with_fields(chosen: DataFrame, tickets: DataFrame, *fields: str) -> DataFrame:
+    """Chosen tickets (by ``id``) with more of their fields.
+
+    Tickets are ranked by narrow columns first. The few that were chosen then go to the tickets, so that texts are
+    scanned but never shuffled.
+    """
+    wanted = [f for f in fields if f not in chosen.columns]
+    return tickets.select("id", *wanted).join(settled(chosen), "id")
+
+
 def search_clusters(
     clusters: DataFrame, members: DataFrame, tickets: DataFrame, text: str = "", trend: str = "all"
 ) -> DataFrame:
@@ -88,8 +98,9 @@ def search_clusters(
 
 def top_subjects(members: DataFrame, tickets: DataFrame, n: int = V.NAME_SUBJECTS) -> DataFrame:
     """The first ``n`` tickets of each cluster by date, as a sample for prompts."""
-    rows = member_tickets(members, tickets, "ticket_id", "subject", "priority", "created_at")
-    return top_per_group(rows, ["cluster_id"], [F.col("created_at"), F.col("ticket_id")], n)
+    rows = member_tickets(members, tickets, *ORDER_FIELDS)
+    ranked = top_per_group(rows, ["cluster_id"], [F.col("created_at"), F.col("ticket_id")], n)
+    return with_fields(ranked, tickets, "subject", "priority")
 
 
 def unique_subjects(members: DataFrame, tickets: DataFrame, order: str = "newest") -> DataFrame:

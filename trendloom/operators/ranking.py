@@ -7,9 +7,11 @@ the rank is found from a histogram, see ``sampling``.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SETTLED_ROWS = 20_000
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold: up to here the filter runs before the shuffle
 
 
@@ -30,17 +32,16 @@ def last_per_id(df: DataFrame, key: str = "ticket_id", seq: str = "seq") -> Data
     return first_per_group(df, [key], [F.col(seq).desc()])
 
 
-def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 4096) -> DataFrame:
     """Consecutive numbers from ``start`` in the order of a unique numeric column, without one global sort.
 
     Approximate quantiles cut the column into buckets; each bucket is numbered on its own and moved by the exact count
     of the buckets before it. The cut points are a constant of the plan, so a recomputed task gives the same numbers.
     """
-    cuts = df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return df.withColumn(name, F.lit(start).cast("bigint"))
-    bucketed = df.withColumn("_bucket", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))))
+    cuts = sorted(set(df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 1 / (2 * buckets))))
+    edges = [float("-inf"), *cuts, float("inf")]
+    split = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket")
+    bucketed = split.transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
     counts = bucketed.groupBy("_bucket").count()
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
@@ -51,3 +52,9 @@ def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 1024
         .withColumn(name, F.col("_offset") + F.col("_row") - 1 + start)
         .drop("_bucket", "_row", "_offset")
     )
+
+
+def settled(rows: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
+    """A small result computed now, so that its size is known to the joins that follow; a larger one stays as it is."""
+    found = rows.limit(most + 1).collect()
+    return rows if len(found) > most else rows.sparkSession.createDataFrame(found, rows.schema)

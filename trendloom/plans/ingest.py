@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text
-from ..operators import cleaning, models, upsert
+from ..operators import cleaning, models, ranking, upsert
 from ..sources.csv_tickets import read_ticket_csv
 from ..sources.jobs import job_run
 from ..sources.store import TicketStore
@@ -32,9 +32,9 @@ def ingest_csv(
         raw = raw.observe(counters, F.count("*").alias("read"), F.count_if(has_text).alias("valid"))
         batch = ticket_batch(raw, as_of, month, require)
         # One row per id before the model is asked, so that copies are not embedded twice.
-        unique = upsert.last_per_id(batch).observe(stored, F.count("*").alias("written"))
+        unique = ranking.last_per_id(batch).observe(stored, F.count("*").alias("written"))
         embedded = models.embed_texts(unique, "embed_text", model, **embedding).drop("embed_text")
-        store.replace("tickets", upsert.upsert_tickets(store.read("tickets"), embedded), ("created_at", "ticket_id"))
+        store.upsert("tickets", upsert.upsert_batch(store.read("tickets", "ticket_id", "created_at"), embedded))
         read, valid, written = counters.get["read"], counters.get["valid"], stored.get["written"]
         run.tickets_processed = written
     return {"read": read, "rejected": read - valid, "duplicates": valid - written, "written": written}
@@ -78,5 +78,4 @@ def seed_dataset(
         store.clear("issue_clusters", "cluster_members")
         store.replace("tickets", embedded, ("created_at", "ticket_id"))
     else:
-        dated = embedded.withColumns({"dated": F.lit(True), "seq": F.col("ticket_id")})
-        store.replace("tickets", upsert.upsert_tickets(store.read("tickets"), dated), ("created_at", "ticket_id"))
+        store.upsert("tickets", ranking.first_per_group(embedded, ["ticket_id"], [F.col("created_at").desc()]))

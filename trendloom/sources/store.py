@@ -1,7 +1,8 @@
 """Stored tables as Parquet folders.
 
-A replaced table is written to a fresh folder first and becomes current by one appended row, so readers never see half
-a table and a failed job leaves the old one in place.
+Every write goes to a fresh folder and becomes visible by one appended row in the table of versions, so readers never
+see half a write and a failed job leaves everything as it was. A small batch costs what the batch costs: it is stored
+as a change beside the base, and readers put the two together. ``compact`` folds the changes into a new base.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.ranking import first_per_group
 
 TABLE_SCHEMAS = {
     "tickets": schemas.TICKETS,
@@ -22,56 +24,94 @@ TABLE_SCHEMAS = {
     "cluster_members": schemas.MEMBERS,
     "job_runs": schemas.JOB_RUNS,
 }
-_LOG = "table string, version bigint, committed_at timestamp"
+TABLE_KEYS = {
+    "tickets": ["ticket_id"], "issue_clusters": ["id"], "cluster_members": ["ticket_id", "cluster_id"], "job_runs": ["id"],
+}
+BASE, APPEND, UPSERT = "base", "append", "upsert"
+_LOG = "table string, kind string, version bigint, committed_at timestamp"
 
 
 class TicketStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/version={version}"
+    # --- reading ---
+
+    def read(self, table: str, *columns: str) -> DataFrame:
+        """The current table, or an empty one. Name the columns needed; only those (and the key) are scanned."""
+        plain, changed = self._current(table)
+        rows = self._folders(table, plain)
+        if changed:
+            key = TABLE_KEYS[table]
+            changes = self._folders(table, changed, with_version=True)
+            latest = first_per_group(changes, key, [F.col("version").desc()]).drop("version")
+            rows = rows.join(latest.select(*key), key, "left_anti").select(*rows.columns).unionByName(latest)
+        return rows.select(*columns) if columns else rows
 
-    def current_version(self, table: str) -> int | None:
+    def read_version(self, table: str, version: int) -> DataFrame:
+        return self._folders(table, [version])
+
+    def _current(self, table: str) -> tuple[list[int], list[int]]:
+        """Versions of the last base with what was appended since, and of the upserts since."""
         try:
-            log = self.spark.read.schema(_LOG).parquet(f"{self.root}/versions")
+            log = self.spark.read.schema(_LOG).parquet(f"{self.root}/versions").filter(F.col("table") == table)
         except AnalysisException:
-            return None
-        return log.filter(F.col("table") == table).agg(F.max("version")).first()[0]
+            return [], []
+        entries = sorted((r["version"], r["kind"]) for r in log.select("version", "kind").collect())
+        base = max((v for v, kind in entries if kind == BASE), default=-1)
+        since = [(v, kind) for v, kind in entries if v >= base]
+        return [v for v, kind in since if kind != UPSERT], [v for v, kind in since if kind == UPSERT]
+
+    def _folders(self, table: str, versions: list[int], with_version: bool = False) -> DataFrame:
+        schema = TABLE_SCHEMAS[table]
+        if with_version:
+            schema = T.StructType(schema.fields + [T.StructField("version", T.LongType())])
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        if with_version:
+            reader = reader.option("basePath", f"{self.root}/{table}")
+        return reader.parquet(*[self._path(table, v) for v in versions])
 
-    def read(self, table: str, *columns: str) -> DataFrame:
-        """The current table, or an empty one. Name the columns needed; only those are scanned."""
-        schema, version = TABLE_SCHEMAS[table], self.current_version(table)
-        if version is None:
-            rows = self.spark.createDataFrame([], schema)
-        else:
-            rows = self.spark.read.schema(schema).parquet(self._path(table, version))
-        return rows.select(*columns) if columns else rows
+    def _path(self, table: str, version: int) -> str:
+        return f"{self.root}/{table}/version={version}"
+
+    # --- writing ---
 
-    def replace(self, table: str, rows: DataFrame, order_by: tuple[str, ...] = (), partition_by: tuple[str, ...] = ()) -> int:
-        """Writes a new version and makes it current; returns its number.
+    def stage(self, table: str, rows: DataFrame, order_by: tuple[str, ...] = ()) -> int:
+        """Writes rows that nobody sees yet; returns their version.
 
-        ``order_by`` range-partitions the rows (end it with a unique column, so that one hot value spreads), which lets
+        ``order_by`` range-partitions them (end it with a unique column, so that one hot value spreads), which lets
         later scans skip files by their statistics.
         """
         version = time.time_ns() // 1000
         if order_by:
             rows = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-        self._matching(table, rows).write.partitionBy(*partition_by).parquet(self._path(table, version))
-        commit = [(table, version, datetime.now(timezone.utc))]
-        self.spark.createDataFrame(commit, _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        self._matching(table, rows).write.parquet(self._path(table, version))
         return version
 
+    def commit(self, *changes: tuple[str, str, int]) -> None:
+        """Makes (table, kind, version) entries current, all at once: they are one file."""
+        now = datetime.now(timezone.utc)
+        entries = self.spark.createDataFrame([(*change, now) for change in changes], _LOG)
+        entries.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+
+    def replace(self, table: str, rows: DataFrame, order_by: tuple[str, ...] = ()) -> None:
+        self.commit((table, BASE, self.stage(table, rows, order_by)))
+
     def append(self, table: str, rows: DataFrame) -> None:
-        version = self.current_version(table)
-        if version is None:
-            self.replace(table, rows)
-        else:
-            self._matching(table, rows).write.mode("append").parquet(self._path(table, version))
+        self.commit((table, APPEND, self.stage(table, rows)))
+
+    def upsert(self, table: str, rows: DataFrame) -> None:
+        """Rows, unique by the table's key, that replace or join the stored ones."""
+        self.commit((table, UPSERT, self.stage(table, rows)))
+
+    def compact(self, table: str, order_by: tuple[str, ...] = ()) -> None:
+        self.replace(table, self.read(table), order_by)
 
     def clear(self, *tables: str) -> None:
-        for table in tables:
-            self.replace(table, self.spark.createDataFrame([], TABLE_SCHEMAS[table]))
+        empty = [(t, BASE, self.stage(t, self.spark.createDataFrame([], TABLE_SCHEMAS[t]))) for t in tables]
+        self.commit(*empty)
 
     def register_views(self) -> None:
         for table in TABLE_SCHEMAS:
