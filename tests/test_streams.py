@@ -18,7 +18,7 @@ DIM = 32
 
 def payloads():
     good = [{"id": f"G-{i}", "subject": f"mouse wheel {i % 5}" if i % 2 else f"refund order {i % 3}", "priority": "High" if i % 3 else "urgent"} for i in range(40)]
-    good += [{"id": f"G-{i}", "subject": "a repeat"} for i in range(0, 40, 4)] + [{"id": "HOT", "subject": "hot"}] * 30
+    good += [{"id": "HOT", "subject": "hot"}] * 30
     good[5]["product_area"], good[6]["customer_email"] = "Mouse", "x@example.com"
     bad = ["{oops", '{"id": "", "subject": "s"}', '{"subject": "no id"}', '{"id": "q"}', "[1]"]
     return [json.dumps(g) for g in good], bad
@@ -55,7 +55,8 @@ def test_live_ingest(spark, clusters, tmp_path):
     for i in range(0, len(good), 20):
         write(tmp_path / "in", f"{i:03d}.json", good[i : i + 20])
     run(spark, clusters, tmp_path).awaitTermination()
-    write(tmp_path / "in", "999.json", bad + good[:10])  # repeats arrive in a later run
+    repeats = [json.dumps({"id": f"G-{i}", "subject": "a repeat"}) for i in range(0, 40, 4)]
+    write(tmp_path / "in", "999.json", bad + good[:10] + repeats)  # repeats arrive in a later run
     query = run(spark, clusters, tmp_path)
     query.awaitTermination()
 
@@ -84,21 +85,31 @@ def test_live_ingest(spark, clusters, tmp_path):
     assert now["M"]["trend"] == "Increasing" and now["E"]["trend"] == "Stable"
 
 
-def test_failed_embedding_goes_to_the_dead_letters(spark, clusters, tmp_path):
+def test_a_failed_ticket_is_a_dead_letter_and_may_be_sent_again(spark, clusters, tmp_path):
+    flag = tmp_path / "up"
+
     def model(texts):
-        raise RuntimeError("down")
+        if not flag.exists():
+            raise RuntimeError("down")
+        return [[1.0] * DIM for _ in texts]
 
-    write(tmp_path / "in", "1.json", [json.dumps({"id": "1", "subject": "boom"})])
+    ticket = [json.dumps({"id": "1", "subject": "boom"})]
+    write(tmp_path / "in", "1.json", ticket)
     run(spark, clusters, tmp_path, model, retries=2, base_seconds=0).awaitTermination()
-    assert live.read_live(spark, f"{tmp_path}/out", "tickets").count() == 0
-    (letter,) = live.read_live(spark, f"{tmp_path}/out", "job_runs").collect()
+    out = f"{tmp_path}/out"
+    assert live.read_live(spark, out, "tickets").count() == 0
+    (letter,) = live.read_live(spark, out, "job_runs").collect()
     assert "down" in letter["error_message"] and "boom" in letter["error_message"]
+    flag.touch()
+    write(tmp_path / "in", "2.json", ticket)
+    run(spark, clusters, tmp_path, model, retries=2, base_seconds=0).awaitTermination()
+    assert [r["ticket_id"] for r in live.read_live(spark, out, "tickets").collect()] == ["WH-1"]
 
 
 def test_replayed_batch_changes_nothing(spark, clusters, tmp_path):
-    rows_ = parse_tickets(spark.createDataFrame([(x,) for x in payloads()[0][:5]], "payload string"))
+    parsed = parse_tickets(spark.createDataFrame([(x,) for x in payloads()[0][:5]], "payload string"))
     for _ in range(2):
-        assigned = live.assign_arrivals(rows_, clusters, instant(NOW), dim=DIM)
+        assigned = live.assign_arrivals(live.embed_arrivals(parsed, dim=DIM), clusters)
         live._write(clustering.membership(assigned), str(tmp_path), "cluster_members", 7)
     assert live.read_live(spark, str(tmp_path), "cluster_members").count() == 5
 

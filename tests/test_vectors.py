@@ -76,7 +76,7 @@ def test_topk_by_scan_and_by_blocks(rows, monkeypatch):
     want = {k: v for k, v in want.items() if v}
     assert answer(similarity.similar_topk(c, q, 5, 0.1)) == want
     monkeypatch.setattr(similarity, "SMALL_SIDE_ROWS", 5)
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(similarity, "BLOCK_CELLS", 320)
     monkeypatch.setattr(similarity, "SCORES_AT_ONCE", 50)
     assert answer(similarity.similar_topk(c, q, 5, 0.1)) == want
 
@@ -86,7 +86,7 @@ def test_nearest_beyond_the_size_bound(rows, monkeypatch):
     clusters = table(rows, RNG.normal(size=(30, 6)), "c").withColumnRenamed("embedding", "centroid_embedding")
     small = {r["id"]: r["cluster_id"] for r in similarity.nearest_centroid(tickets, clusters).collect()}
     monkeypatch.setattr(similarity, "SMALL_SIDE_ROWS", 3)
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(similarity, "BLOCK_CELLS", 100)
     assert {r["id"]: r["cluster_id"] for r in similarity.nearest_centroid(tickets, clusters).collect()} == small
 
 

@@ -40,8 +40,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(vector: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(as_doubles(vector))
-    return F.when(length == 0, as_doubles(vector)).otherwise(F.transform(as_doubles(vector), lambda x: x / length))
+    values = as_doubles(vector)
+    length = F.when(norm(values) == 0, 1.0).otherwise(norm(values))
+    # The outer transform binds the length, which would else be worked out anew for every element.
+    return F.get(F.transform(F.array(length), lambda n: F.transform(values, lambda x: x / n)), 0)
 
 
 def parse_vector(text: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -55,7 +56,8 @@ def kmeans(
 
     ``measure`` is ``euclidean`` or ``cosine``. Clusters are numbered in the order Spark gives them.
     """
-    unit = rows.withColumn("_v", array_to_vector(vectors.normalised(F.col(vector)))).select("_v")
+    dense = rows.select(array_to_vector(vectors.as_doubles(F.col(vector))).alias("_raw"))
+    unit = Normalizer(inputCol="_raw", outputCol="_v").transform(dense).select("_v")
     unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fits = [

@@ -16,6 +16,7 @@ from .ranking import first_per_group, settled, top_per_group
 CLUSTER_FIELDS = (
     "id", "name", "description", "ticket_count", "prev_window_count", "curr_window_count", "trend", "updated_at",
 )
+LISTED_NAMES = {"id": "ticket_key", "ticket_id": "ticket_id"}
 ORDER_FIELDS = ("ticket_id", "created_at")
 
 
@@ -37,15 +38,20 @@ def member_tickets(members: DataFrame, tickets: DataFrame, *fields: str) -> Data
 
 
 def cluster_listing(clusters: DataFrame, members: DataFrame, tickets: DataFrame, order: str = "similarity") -> DataFrame:
-    """Every cluster with all its tickets, one row each, largest cluster first; an empty cluster is one row of NULLs."""
+    """Every cluster with all its tickets, one row each, largest cluster first; an empty cluster is one row of NULLs.
+
+    The clusters go to the tickets, so a hot cluster is never gathered in one task, and clusters without tickets are
+    added at the end.
+    """
     examples = member_tickets(members, tickets)
-    ticket_columns = [F.col(f).alias("ticket_key" if f == "id" else f if f == "ticket_id" else f"ticket_{f}") for f in EXAMPLE_FIELDS]
-    side = examples.select(
-        "cluster_id", "similarity_score", *ticket_columns, *[k.alias(f"_k{i}") for i, k in enumerate(_sort_keys(order))]
-    )
-    head = clusters.select(*CLUSTER_FIELDS)
-    joined = head.join(side, head["id"] == side["cluster_id"], "left").drop("cluster_id")
-    return joined.orderBy(F.col("ticket_count").desc(), "id", "_k0", "_k1").drop("_k0", "_k1")
+    ticket_columns = [F.col(f).alias(LISTED_NAMES.get(f, f"ticket_{f}")) for f in EXAMPLE_FIELDS]
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(_sort_keys(order))]
+    side = examples.select("cluster_id", "similarity_score", *ticket_columns, *keys)
+    head = settled(clusters.select(*CLUSTER_FIELDS))
+    listed = side.join(head, F.col("cluster_id") == F.col("id"))
+    empty = head.join(side.select("cluster_id").distinct(), F.col("id") == F.col("cluster_id"), "left_anti")
+    rows = listed.drop("cluster_id").unionByName(empty, allowMissingColumns=True)
+    return rows.orderBy(F.col("ticket_count").desc(), "id", "_k0", "_k1").drop("_k0", "_k1")
 
 
 def _sort_keys(order: str) -> list[Column]:

@@ -42,18 +42,27 @@ def apply_model(
     rows: DataFrame, text_column: str, model: Model, output: str, output_type: str,
     batch_size: int = V.EMBED_BATCH, retries: int = V.RETRIES, base_seconds: float = V.RETRY_BASE_SECONDS,
 ) -> DataFrame:
-    """The rows with the model's result and ``error``, which is NULL where the call worked."""
+    """The rows with the model's result and ``error``, which is NULL where the call worked.
+
+    Rows without text (NULL) are not sent and get neither.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size].copy()
-                texts = part[text_column].fillna("").tolist()
+            texts = frame[text_column].tolist()
+            results, errors = [None] * len(texts), [None] * len(texts)
+            sent = [i for i, t in enumerate(texts) if t is not None]
+            for start in range(0, len(sent), batch_size):
+                now = sent[start : start + batch_size]
                 try:
-                    part[output], part["error"] = call_with_retry(model, texts, retries, base_seconds), None
+                    answers = call_with_retry(model, [texts[i] for i in now], retries, base_seconds)
+                    for i, answer in zip(now, answers):
+                        results[i] = answer
                 except Exception as failure:
-                    part[output], part["error"] = None, f"batch of {len(texts)} failed: {failure}"
-                yield part
+                    for i in now:
+                        errors[i] = f"batch of {len(now)} failed: {failure}"
+            columns = {output: results, "error": errors}
+            yield frame.assign(**{name: pd.Series(values, frame.index, object) for name, values in columns.items()})
 
     kept = [c for c in rows.columns if c not in (output, "error")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)

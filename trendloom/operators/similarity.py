@@ -13,19 +13,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import vectors
-from .ranking import top_per_group
+from .ranking import settled, top_per_group
 
 SMALL_SIDE_BYTES = 64 << 20  # largest matrix sent to every task
 SMALL_SIDE_ROWS = 10_000
 SCORES_AT_ONCE = 4_000_000  # cells of one score table in a task
-BLOCK_ROWS = 20_000
+BLOCK_CELLS = 8_000_000  # numbers in one block of vectors
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def block_topk(corpus, queries, k, threshold, corpus_id, corpus_vector, query_id
     match_type = corpus.schema[corpus_id].dataType.simpleString()
     left = corpus.select(F.col(corpus_id).alias("match_id"), vectors.as_doubles(F.col(corpus_vector)).alias("v")).filter("size(v) > 0")
     right = queries.select(F.col(query_id).alias("query_id"), vectors.as_doubles(F.col(query_vector)).alias("v")).filter("size(v) > 0")
-    left_blocks, right_blocks = (max(1, -(-side.count() // BLOCK_ROWS)) for side in (left, right))
+    left_blocks, right_blocks = (_blocks(side) for side in (left, right))
 
     def blocked(side: DataFrame, key: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
         number = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
@@ -183,6 +183,11 @@ def block_topk(corpus, queries, k, threshold, corpus_id, corpus_vector, query_id
     return _overall(partial, k)
 
 
+def _blocks(side: DataFrame) -> int:
+    cells = side.agg(F.sum(F.size("v"))).first()[0] or 0
+    return max(1, -(-cells // BLOCK_CELLS))
+
+
 def _overall(partial: DataFrame, k: int) -> DataFrame:
     return top_per_group(partial, ["query_id"], [F.col("similarity").desc(), F.col("match_id")], k)
 
@@ -232,7 +237,8 @@ def approximate_similar(
 
     unit = vectors.unit_rows(np.array([query], dtype=np.float64))[0]
     rows = tickets.filter(vectors.usable(F.col("embedding"), len(query)))
-    rows = rows.select("id", array_to_vector(vectors.normalised(F.col("embedding"))).alias("v"))
+    dense = rows.select("id", array_to_vector(vectors.as_doubles(F.col("embedding"))).alias("_raw"))
+    rows = Normalizer(inputCol="_raw", outputCol="v").transform(dense).select("id", "v")
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
     near = lsh.fit(rows).approxNearestNeighbors(rows, Vectors.dense(unit), limit, distCol="_d")
     # For unit vectors |a - b|^2 = 2 - 2 cos.
@@ -240,6 +246,8 @@ def approximate_similar(
     return near.select("id", similarity.alias("similarity")).filter(F.col("similarity") > threshold)
 
 
-def self_score(vector: Column, own_centroid: Column) -> Column:
-    """Cosine of a member to the centroid of its cluster, both as columns."""
-    return vectors.cosine(vector, own_centroid)
+def member_scores(members: DataFrame, clusters: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Members (with ``cluster_id`` and vector) with the cosine to the centroid of their own cluster."""
+    own = settled(clusters.select(F.col("id").alias("cluster_id"), F.col("centroid_embedding").alias("_own")))
+    score = vectors.cosine(F.col(vector), F.col("_own"))
+    return members.join(own, "cluster_id").withColumn("similarity_score", score).drop("_own")

@@ -10,7 +10,7 @@ from ..functions import text
 from ..operators import cleaning, models, ranking, upsert
 from ..sources.csv_tickets import read_ticket_csv
 from ..sources.jobs import job_run
-from ..sources.store import TicketStore
+from ..sources.store import TICKET_ORDER, TicketStore
 
 
 def ticket_batch(raw: DataFrame, as_of: Column, month: str | None = None, require: str = "either") -> DataFrame:
@@ -76,6 +76,6 @@ def seed_dataset(
     embedded = models.embed_texts(tickets, "embed_text", model, **embedding)
     if truncate:
         store.clear("issue_clusters", "cluster_members")
-        store.replace("tickets", embedded, ("created_at", "ticket_id"))
+        store.replace("tickets", embedded, TICKET_ORDER)
     else:
         store.upsert("tickets", ranking.first_per_group(embedded, ["ticket_id"], [F.col("created_at").desc()]))

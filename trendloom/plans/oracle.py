@@ -449,6 +449,13 @@ FROM tickets, center WHERE {COSINE} > 0.1 ORDER BY {COSINE} DESC, id LIMIT 10"""
         "lloyd_3": f"""WITH {MEANS}, {assigned('a1', 'means')}, {moved('c1', 'a1', 'means')}, {assigned('a2', 'c1')}, {moved('c2', 'a2', 'c1')},
 {assigned('a3', 'c2')}, {moved('c3', 'a3', 'c2')}, {assigned('a4', 'c3')}
 SELECT vec_id, cluster_id, round(s, 6) AS similarity_score FROM a4""",
+        "recluster_totals": f"""WITH {KEYED}
+SELECT count(*) AS ticket_count, true AS bounded, count(*) AS members, true AS positive,
+  count(*) FILTER (WHERE created_at >= {TEXT_AS_OF} - INTERVAL 60 DAYS AND created_at < {TEXT_AS_OF} - INTERVAL 30 DAYS) AS prev_window_count,
+  count(*) FILTER (WHERE created_at >= {TEXT_AS_OF} - INTERVAL 30 DAYS AND created_at <= {TEXT_AS_OF}) AS curr_window_count
+FROM tickets WHERE embedding IS NOT NULL""",
+        "text_vector_lengths": f"""WITH {KEYED} SELECT ticket_id, 256::BIGINT AS dim,
+  CASE WHEN regexp_matches(subject || description, '[\\p{{L}}\\p{{N}}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM tickets""",
         "model_batches": "SELECT doc_id, length(text) AS length, NULL::VARCHAR AS error FROM documents",
         "prompt_rows": f"""WITH {DESK}, {ranked(by_date, 6)}, lists AS (SELECT cluster_id, {lines.format(bullet='-')} AS subjects FROM ranked GROUP BY 1)
 SELECT cluster_id, {filled(V.NAME_PROMPT, subjects='subjects')} AS prompt FROM lists""",

@@ -17,9 +17,10 @@ from ..sources import jobs
 from ..sources.bindings import Desk
 from ..sources.csv_tickets import read_ticket_csv
 from ..sources.json_tickets import parse_tickets, read_json_stream
-from ..sources.store import TicketStore
+from ..sources.store import TICKET_ORDER, TicketStore
 from ..streaming import live
 from ..streaming import trends as stream_trends
+from .recluster import build_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -537,9 +538,8 @@ def nearest_centroid_blocks(desk: Desk) -> DataFrame:
 @query
 def member_scores(desk: Desk) -> DataFrame:
     """Cosine of every ticket to the centroid of its own cluster."""
-    own = desk.vectors().join(_centroid_table(desk).withColumnRenamed("id", "cluster_id"), "cluster_id")
-    score = similarity.self_score(F.col("embedding"), F.col("centroid_embedding"))
-    return own.select("vec_id", vectors.shown_score(score).alias("similarity_score"))
+    own = similarity.member_scores(desk.vectors(), _centroid_table(desk))
+    return own.select("vec_id", vectors.shown_score(F.col("similarity_score")).alias("similarity_score"))
 
 
 @query
@@ -612,25 +612,53 @@ def kmeans_cosine(desk: Desk) -> DataFrame:
     return _kmeans(desk, "cosine")
 
 
+def _reclustered(desk: Desk) -> tuple[DataFrame, DataFrame]:
+    store = TicketStore(desk.spark, scratch_dir(desk.spark, "store"))
+
+    def keep(members: DataFrame) -> DataFrame:
+        return store.read_version("cluster_members", store.stage("cluster_members", members))
+
+    return build_clusters(desk.tickets(), instant(B.AS_OF), keep=keep)
+
+
 @query
 def recluster(desk: Desk) -> DataFrame:
-    from .recluster import build_clusters
+    return _reclustered(desk)[0].drop("updated_at")
+
 
-    clusters, _ = build_clusters(desk.tickets(), instant(B.AS_OF))
-    return clusters.drop("updated_at")
+@query
+def recluster_totals(desk: Desk) -> DataFrame:
+    """Whatever the clusters are, their counts add up to the tickets with a vector."""
+    clusters, members = _reclustered(desk)
+    sums = [F.sum(c).cast("bigint").alias(c) for c in COUNTS]
+    rows = clusters.agg(*sums, (F.count("*") <= V.CLUSTER_MAX).alias("bounded"))
+    distinct = members.agg(F.count_distinct("ticket_id"))
+    lowest = members.agg(F.min("similarity_score") > 0)
+    return rows.withColumns({"members": distinct.scalar(), "positive": lowest.scalar()})
 
 
 @query
 def text_vectors(desk: Desk) -> DataFrame:
     """Every ticket text embedded by the offline default."""
-    rows = desk.tickets().select("ticket_id", text.simple_embed_text(F.col("subject"), F.col("description")).alias("embed_text"))
-    return models.embed_texts(rows, "embed_text").select("ticket_id", "embedding")
+    return models.embed_texts(_texts(desk), "embed_text").select("ticket_id", "embedding")
 
 
 @query
 def text_vectors_weighted(desk: Desk) -> DataFrame:
-    rows = desk.tickets().select("ticket_id", text.simple_embed_text(F.col("subject"), F.col("description")).alias("embed_text"))
-    return models.embed_texts_weighted(rows, "embed_text", 256).select("ticket_id", "embedding")
+    return models.embed_texts_weighted(_texts(desk), "embed_text", 256).select("ticket_id", "embedding")
+
+
+@query
+def text_vector_lengths(desk: Desk) -> DataFrame:
+    """Texts with a word have unit vectors."""
+    rows = models.embed_texts(_texts(desk), "embed_text")
+    length = F.round(vectors.norm(vectors.as_doubles(F.col("embedding"))), 4)
+    return rows.select("ticket_id", F.size("embedding").cast("bigint").alias("dim"), length.alias("length"))
+
+
+def _texts(desk: Desk) -> DataFrame:
+    body = text.simple_embed_text(F.col("subject"), F.col("description"))
+    return desk.tickets().select("ticket_id", body.alias("embed_text"))
 
 
 @query
@@ -726,7 +754,7 @@ def store_versions(desk: Desk) -> DataFrame:
     """Tickets stored, replaced and appended to; the reader sees the last whole version."""
     store = TicketStore(desk.spark, scratch_dir(desk.spark, "store"))
     store.clear("tickets")
-    store.replace("tickets", desk.tickets(), ("created_at", "ticket_id"))
+    store.replace("tickets", desk.tickets(), TICKET_ORDER)
     store.append("tickets", _incoming(desk))
     rows = store.read("tickets", "ticket_id", "subject", "source", "created_at")
     return rows.select("ticket_id", "subject", "source", stamp("created_at").alias("created_at"))

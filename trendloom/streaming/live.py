@@ -25,23 +25,29 @@ from ..sources.json_tickets import parse_tickets
 CHANGES = "cluster_id string, added bigint"
 
 
-def unique_arrivals(parsed: DataFrame) -> DataFrame:
-    """Of rows with one external id only the first to arrive; bad rows pass.
+def embed_arrivals(parsed: DataFrame, model: models.Model | None = None, **embedding) -> DataFrame:
+    """Parsed rows with the vector of good ones; ``error`` also tells of a failed call."""
+    body = text.simple_embed_text(F.col("subject"), F.coalesce("description", F.lit("")))
+    good = F.when(F.col("error").isNull(), body)
+    named = parsed.withColumn("embed_text", good).withColumnRenamed("error", "_parse_error")
+    embedded = models.embed_texts(named, "embed_text", model, **embedding)
+    return embedded.withColumn("error", F.coalesce("_parse_error", "error")).drop("_parse_error", "embed_text")
 
-    The ids seen stay in the query's state, hashed over the cluster, so a repeat is found however late it comes.
+
+def unique_arrivals(embedded: DataFrame) -> DataFrame:
+    """Of good rows with one external id only the first to arrive (of those in one micro-batch, any one).
+
+    The ids that passed stay in the query's state, hashed over the cluster, so a repeat is found however late it
+    comes; a ticket that failed is not among them and may be sent again. Equal failures are kept once.
     """
-    key = F.coalesce(F.when(F.col("error").isNull(), F.col("id")), F.concat(F.lit("bad:"), F.md5("payload")))
-    return parsed.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
-
-
-def assign_arrivals(
-    rows: DataFrame, clusters: DataFrame, as_of: Column, model: models.Model | None = None, **embedding
-) -> DataFrame:
-    """Parsed rows to ticket rows with cluster and score; rows that failed keep their ``error`` and payload."""
-    good = rows.filter(F.col("error").isNull()).drop("error")
-    good = good.withColumn("embed_text", text.simple_embed_text(F.col("subject"), F.coalesce("description", F.lit(""))))
-    embedded = models.embed_texts(good, "embed_text", model, **embedding)
-    best = nearest_centroid(embedded, clusters)
+    failure = F.concat(F.lit("failed:"), F.md5(F.concat_ws("|", "error", "payload")))
+    key = F.when(F.col("error").isNull(), F.concat(F.lit("id:"), F.col("id"))).otherwise(failure)
+    return embedded.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+
+
+def assign_arrivals(good: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Embedded rows with nearest cluster, its name and the score."""
+    best = nearest_centroid(good, clusters)
     named = clusters.select(F.col("id").alias("cluster_id"), F.col("name").alias("cluster_name"))
     return best.join(named, "cluster_id", "left")
 
@@ -56,21 +62,21 @@ def start_live_ingest(
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         now = as_of()
         table = clusters() if callable(clusters) else clusters
-        assigned = assign_arrivals(batch, table, now, model, **embedding).persist(StorageLevel.MEMORY_AND_DISK)
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        good, bad = batch.filter(F.col("error").isNull()), batch.filter(F.col("error").isNotNull())
+        stored = cleaning.streamed_tickets(assign_arrivals(good, table), now).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stored = cleaning.streamed_tickets(assigned.filter(F.col("error").isNull()), now)
             _write(stored.select(*schemas.TICKETS.names), root, "tickets", batch_id)
             members = clustering.membership(stored)
             _write(members, root, "cluster_members", batch_id)
             added = members.groupBy("cluster_id").agg(F.count("*").alias("added"))
-            _write(added.coalesce(1), root, "cluster_changes", batch_id)
-            bad = batch.filter(F.col("error").isNotNull()).select("payload", "error")
-            bad = bad.unionByName(assigned.filter(F.col("error").isNotNull()).select("payload", "error"))
+            _write(added.coalesce(1), root, "cluster_changes", batch_id)  # one row per cluster
             _write(jobs.dead_letters(bad, now), root, "job_runs", batch_id)
         finally:
-            assigned.unpersist()
+            stored.unpersist()
+            batch.unpersist()
 
-    unique = unique_arrivals(parse_tickets(payloads))
+    unique = unique_arrivals(embed_arrivals(parse_tickets(payloads), model, **embedding))
     writer = unique.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
