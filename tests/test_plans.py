@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import listing, ranking, trends
 from trendloom.plans.queries import QUERIES
+from trendloom.sources.store import TicketStore
 
 FOLDER = "/root/testdata/sf0.001"
 LAZY = sorted(n for n in QUERIES if not n.startswith(("stream", "recluster", "kmeans")))
@@ -63,3 +64,15 @@ def test_large_results_are_not_settled(spark):
 def test_rank_bound_is_checked(spark):
     with pytest.raises(ValueError):
         ranking.top_per_group(spark.range(5), ["id"], [F.col("id")], 5000)
+
+
+def test_bucketed_copies_join_without_a_shuffle(spark, tmp_path):
+    store = TicketStore(spark, str(tmp_path))
+    tickets = spark.range(200).selectExpr("cast(id as string) as id", "cast(id as string) as ticket_id", "timestamp'2026-01-15' as created_at")
+    store.replace("tickets", tickets)
+    store.replace("cluster_members", tickets.selectExpr("id as ticket_id", "if(id < 70, 'hot', id) as cluster_id"))
+    t = store.save_bucketed("tickets", "id", "bucketed_tickets", 4, "id", "created_at")
+    m = store.save_bucketed("cluster_members", "ticket_id", "bucketed_members", 4, "ticket_id", "cluster_id")
+    counts = trends.member_windows(m.hint("merge"), t, rule="month", month="2026-01")
+    assert plan(counts).count("Exchange") == 1 and "SortMergeJoin" in plan(counts)  # only the counts are shuffled
+    assert {r["cluster_id"]: r["curr_window_count"] for r in counts.collect()}["hot"] == 70

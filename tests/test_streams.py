@@ -9,6 +9,7 @@ from trendloom.functions.dates import instant
 from trendloom.operators import clustering, models, trends
 from trendloom.operators.similarity import nearest_centroid
 from trendloom.sources.json_tickets import BAD_JSON, MISSING_FIELDS, parse_tickets, read_json_stream
+from trendloom.sources.store import TicketStore
 from trendloom.streaming import live
 from trendloom.streaming import trends as stream_trends
 
@@ -77,6 +78,14 @@ def test_live_ingest(spark, clusters, tmp_path):
     assert sorted(r["error_message"].split(" | payload: ")[1] for r in letters) == sorted(bad)
     assert {(r["job_type"], r["status"]) for r in letters} == {("webhook", "failed")}
 
+    store = TicketStore(spark, f"{tmp_path}/store")
+    assert live.fold_into(store, f"{tmp_path}/nothing") == -1
+    last = live.fold_into(store, out)
+    for after in (-1, last):
+        assert live.fold_into(store, out, after) == last
+        assert store.read("tickets").count() == store.read("cluster_members").count() == 41
+    assert store.read("job_runs").filter("status = 'failed'").count() == len(bad)
+
     counts = {r["cluster_id"]: r["n"] for r in members.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}
     now = {r["id"]: r for r in live.live_clusters(clusters, live.read_live(spark, out, "cluster_changes")).collect()}
     for key, row in now.items():

@@ -166,3 +166,20 @@ def test_cluster_ids_survive():
     new = SmallVectors(["0000", "0001", "0002"], np.array([[0.05, 1.0], [0.7, 0.7], [1.0, 0.02]]))
     assert clustering.keep_cluster_ids(new, old) == ["B", "0001", "A"]
     assert clustering.keep_cluster_ids(new, None) == new.ids
+
+
+def test_euclidean_members_belong_to_the_nearest_center(rows):
+    points = RNG.normal(size=(80, 4))
+    found = clustering.kmeans(table(rows, points), 5, "euclidean")
+    centers = found.centroids.matrix
+    for r in found.rows.collect():
+        unit = np.array(r["embedding"]) / np.linalg.norm(r["embedding"])
+        assert int(r["cluster_id"]) == int(((centers - unit) ** 2).sum(axis=1).argmin())
+
+
+def test_cosine_centroids_are_means_of_raw_vectors(rows):
+    points = RNG.normal(size=(90, 4)) * RNG.uniform(0.1, 9, size=(90, 1))
+    found = clustering.kmeans(table(rows, points), 4, "cosine", starts=2, max_iter=200)
+    means = {r["cluster_id"]: r["centroid"] for r in clustering.cluster_centroids(found.rows).collect()}
+    for name, center in zip(found.centroids.ids, found.centroids.matrix):
+        np.testing.assert_allclose(center, means[name], atol=1e-9)

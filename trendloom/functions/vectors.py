@@ -87,23 +87,34 @@ def scores(rows: np.ndarray, unit_matrix: np.ndarray) -> np.ndarray:
     return np.round(unit_rows(rows) @ unit_matrix.T, SCORE_DIGITS)
 
 
-def nearest_row(vector: Column, matrix: np.ndarray) -> Column:
-    """struct(row, score): the matrix row of highest cosine, the first on ties; NULL for a missing or misfit vector."""
-    unit = unit_rows(np.asarray(matrix, dtype=np.float64))
+def nearest(rows: np.ndarray, matrix: np.ndarray, measure: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every row the position of its nearest matrix row (the first on ties) and the cosine to it."""
+    cosines = scores(rows, unit_rows(matrix))
+    if measure == "cosine":
+        best = cosines.argmax(axis=1)
+    else:  # |x - c|^2 of a unit x is smallest where x.c - |c|^2 / 2 is largest
+        best = np.round(unit_rows(rows) @ matrix.T - (matrix**2).sum(axis=1) / 2, SCORE_DIGITS).argmax(axis=1)
+    return best, cosines[np.arange(len(rows)), best]
+
+
+def nearest_row(vector: Column, matrix: np.ndarray, measure: str = "cosine") -> Column:
+    """struct(row, score): the nearest matrix row and the cosine to it; NULL for a missing or misfit vector.
+
+    ``measure`` is ``cosine``, or ``euclidean`` for the distance of the unit vector.
+    """
+    matrix = np.asarray(matrix, dtype=np.float64)
     result = pa.struct([("row", pa.int32()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<row:int,score:double>")
-    def nearest(vectors: pa.Array) -> pa.Array:
+    def find(vectors: pa.Array) -> pa.Array:
         row = np.zeros(len(vectors), dtype=np.int32)
         score = np.zeros(len(vectors))
         missing = np.ones(len(vectors), dtype=bool)
-        positions, rows = batch_matrix(vectors, unit.shape[1])
-        if len(positions) and len(unit):
-            table = scores(rows, unit)
-            best = table.argmax(axis=1)
-            row[positions], score[positions] = best, table[np.arange(len(best)), best]
+        positions, rows = batch_matrix(vectors, matrix.shape[1])
+        if len(positions) and len(matrix):
+            row[positions], score[positions] = nearest(rows, matrix, measure)
             missing[positions] = False
         fields = [pa.array(row), pa.array(score)]
         return pa.StructArray.from_arrays(fields, fields=list(result), mask=pa.array(missing))
 
-    return nearest(vector)
+    return find(vector)

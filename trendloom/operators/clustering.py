@@ -41,35 +41,43 @@ def cluster_centroids(rows: DataFrame, cluster: str = "cluster_id", vector: str
 
 @dataclass(frozen=True)
 class Clustering:
-    """Final centroids (at most 20 or the requested k) and the rows with their cluster and score."""
+    """Final centroids (k rows) and the input rows with their cluster and score."""
 
     centroids: SmallVectors
     rows: DataFrame
-    rounds: int = 0
+    rounds: int
+    fit: float  # higher is better, among runs on the same rows
 
 
 def kmeans(
-    rows: DataFrame, k: int, measure: str = "euclidean", seed: int = V.KMEANS_SEED, starts: int = 1,
+    rows: DataFrame, k: int, measure: str = "cosine", seed: int = V.KMEANS_SEED, starts: int = 1,
     max_iter: int = V.KMEANS_MAX_ITER, vector: str = "embedding",
 ) -> Clustering:
-    """K-Means of the usable vectors on unit length, the best of several starts by cost.
+    """K-Means of the usable vectors, the best of several seeded starts. Clusters are numbered from 0.
 
-    ``measure`` is ``euclidean`` or ``cosine``. Clusters are numbered in the order Spark gives them.
+    ``euclidean`` is K-Means of the vectors on unit length; centroids are means of unit vectors.
+    ``cosine`` assigns by cosine, centroids are means of the vectors as they are; it starts from seeds that are spread
+    in the same way and then takes one uncached scan per round.
     """
     dense = rows.select(array_to_vector(vectors.as_doubles(F.col(vector))).alias("_raw"))
     unit = Normalizer(inputCol="_raw", outputCol="_v").transform(dense).select("_v")
     unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
+    rounds = 0 if measure == "cosine" else max_iter  # without rounds the fit is only the spread of the seeds
     try:
-        fits = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, distanceMeasure=measure, featuresCol="_v").fit(unit)
-            for i in range(starts)
-        ]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+        models = [KMeans(k=k, seed=seed + i, maxIter=rounds, featuresCol="_v").fit(unit) for i in range(starts)]
     finally:
         unit.unpersist()
-    centers = np.array(best.clusterCenters())
-    names = SmallVectors([f"{i:04d}" for i in range(len(centers))], centers)
-    return Clustering(names, assign_to(rows, names, vector), best.summary.numIter)
+
+    def centroids(model) -> SmallVectors:
+        centers = np.array(model.clusterCenters())
+        return SmallVectors([f"{i:04d}" for i in range(len(centers))], centers)
+
+    if measure == "cosine":
+        return max((lloyd(rows, centroids(m), max_iter, vector) for m in models), key=lambda c: c.fit)
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    found = centroids(best)
+    assigned = assign_to(rows, found, vector, "euclidean")
+    return Clustering(found, assigned, best.summary.numIter, -best.summary.trainingCost)
 
 
 def lloyd(
@@ -80,40 +88,45 @@ def lloyd(
     A round is one scan. Every task adds up its own rows per cluster and only those sums are shuffled; the centroids
     return to the driver as k rows, so no lineage grows from round to round. Stops when no centroid moves.
     """
-    current = start
+    current, fit = start, 0.0
     for round_number in range(max_iter):
-        moved = _one_round(rows, current, vector)
+        moved, fit = _one_round(rows, current, vector)
         if np.allclose(moved, current.matrix, rtol=0, atol=1e-12):
-            return Clustering(current, assign_to(rows, current, vector), round_number)
+            return Clustering(current, assign_to(rows, current, vector), round_number, fit)
         current = SmallVectors(start.ids, moved)
-    return Clustering(current, assign_to(rows, current, vector), max_iter)
+    return Clustering(current, assign_to(rows, current, vector), max_iter, fit)
 
 
-def _one_round(rows: DataFrame, current: SmallVectors, vector: str) -> np.ndarray:
-    unit, dim = vectors.unit_rows(current.matrix), current.dim
+def _one_round(rows: DataFrame, current: SmallVectors, vector: str) -> tuple[np.ndarray, float]:
+    """The moved centroids, and the sum of all scores under the old ones."""
+    matrix = current.matrix
 
     def sums_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, members = np.zeros(unit.shape), np.zeros(len(unit), dtype=np.int64)
+        totals, members, fit = np.zeros(matrix.shape), np.zeros(len(matrix), dtype=np.int64), np.zeros(len(matrix))
         for batch in batches:
-            _, dense = vectors.batch_matrix(batch.column(0), dim)
+            _, dense = vectors.batch_matrix(batch.column(0), matrix.shape[1])
             if len(dense):
-                label = vectors.scores(dense, unit).argmax(axis=1)
-                members += np.bincount(label, minlength=len(unit))
-                totals += (np.arange(len(unit))[:, None] == label[None, :]).astype(np.float64) @ dense
+                label, score = vectors.nearest(dense, matrix, "cosine")
+                members += np.bincount(label, minlength=len(matrix))
+                fit += np.bincount(label, score, len(matrix))
+                totals += (np.arange(len(matrix))[:, None] == label[None, :]).astype(np.float64) @ dense
         seen = np.flatnonzero(members)
-        yield pa.RecordBatch.from_pydict(
-            {"row": seen.astype(np.int32), "members": members[seen], "total": list(totals[seen])},
-            schema=pa.schema([("row", pa.int32()), ("members", pa.int64()), ("total", pa.list_(pa.float64()))]),
+        kinds = [("row", pa.int32()), ("members", pa.int64()), ("fit", pa.float64()), ("total", pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(values, kind) for values, (_, kind) in zip((seen, members[seen], fit[seen], list(totals[seen])), kinds)],
+            schema=pa.schema(kinds),
         )
 
-    partial = rows.select(vector).mapInArrow(sums_of_partition, "row int, members bigint, total array<double>")
+    partial = rows.select(vector).mapInArrow(sums_of_partition, "row int, members bigint, fit double, total array<double>")
     summed = partial.groupBy("row").agg(
-        F.sum("members").alias("members"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
+        F.sum("members").alias("members"), F.sum("fit").alias("fit"),
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
     )
-    moved = current.matrix.copy()
+    moved, fit = matrix.copy(), 0.0
     for row in summed.collect():  # at most one row per centroid
         moved[row["row"]] = np.array(row["total"]) / row["members"]
-    return moved
+        fit += row["fit"]
+    return moved, fit
 
 
 def membership(assigned: DataFrame, key: str = "id", score: str = "cosine") -> DataFrame:

@@ -57,9 +57,9 @@ def small_vectors(rows: DataFrame, key: str, vector: str, dim: int | None = None
 # --- nearest centroid ---------------------------------------------------------------------------------------------
 
 
-def assign_to(rows: DataFrame, centroids: SmallVectors, vector: str = "embedding") -> DataFrame:
+def assign_to(rows: DataFrame, centroids: SmallVectors, vector: str = "embedding", measure: str = "cosine") -> DataFrame:
     """Adds ``cluster_id`` and ``similarity_score`` of the best centroid (the lower id on ties); a narrow step."""
-    best = rows.withColumn("_best", vectors.nearest_row(F.col(vector), centroids.matrix))
+    best = rows.withColumn("_best", vectors.nearest_row(F.col(vector), centroids.matrix, measure))
     if not centroids.ids:
         return best.withColumns({"cluster_id": F.lit(None).cast("string"), "similarity_score": F.lit(None).cast("double")}).drop("_best")
     names = F.array(*[F.lit(i) for i in centroids.ids])

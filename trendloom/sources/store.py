@@ -115,6 +115,17 @@ class TicketStore:
         empty = [(t, BASE, self.stage(t, self.spark.createDataFrame([], TABLE_SCHEMAS[t]))) for t in tables]
         self.commit(*empty)
 
+    def save_bucketed(self, table: str, key: str, name: str, buckets: int, *columns: str) -> DataFrame:
+        """A catalog copy of some columns, bucketed and sorted by a key.
+
+        Tickets by ``id`` and members by ``ticket_id`` in the same number of buckets join without a shuffle, which pays
+        when several reports read one state of the desk.
+        """
+        rows = self.read(table, *columns)
+        path = f"{self.root}/bucketed/{name}"
+        rows.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
     def register_views(self) -> None:
         for table in TABLE_SCHEMAS:
             self.read(table).createOrReplaceTempView(table)

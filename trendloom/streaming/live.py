@@ -21,6 +21,7 @@ from ..operators.similarity import nearest_centroid
 from ..operators.trends import trend_label
 from ..sources import jobs
 from ..sources.json_tickets import parse_tickets
+from ..sources.store import UPSERT, TicketStore
 
 CHANGES = "cluster_id string, added bigint"
 
@@ -96,6 +97,23 @@ def read_live(spark: SparkSession, root: str, table: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def fold_into(store: TicketStore, root: str, after_batch: int = -1) -> int:
+    """Moves the micro-batches after the given one into the stored tables; returns the last one moved.
+
+    Keys decide, so folding a batch twice changes nothing. Only the folders of the new batches are read.
+    """
+    live = {t: read_live(store.spark, root, t) for t in ("tickets", "cluster_members", "job_runs")}
+    live = {t: rows.filter(F.col("batch_id") > after_batch) for t, rows in live.items() if "batch_id" in rows.columns}
+    # A batch may hold dead letters only, so every table is asked.
+    ends = [rows.agg(F.max("batch_id")).first()[0] for rows in live.values()]
+    last = max((end for end in ends if end is not None), default=after_batch)
+    if last <= after_batch:
+        return after_batch
+    moved = {t: rows.filter(F.col("batch_id") <= last).drop("batch_id") for t, rows in live.items()}
+    store.commit(*[(t, UPSERT, store.stage(t, rows)) for t, rows in moved.items()])
+    return last
+
+
 def live_clusters(clusters: DataFrame, changes: DataFrame) -> DataFrame:
     """The clusters with the streamed tickets added to total and current window, and the trend that follows."""
     added = changes.groupBy("cluster_id").agg(F.sum("added").alias("added"))
