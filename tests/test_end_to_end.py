@@ -63,6 +63,8 @@ def test_listing_and_months(desk):
     shown = [t for r in march for t in r["example_tickets"]]
     assert sum(r["ticket_count"] for r in march) == len(shown)
     assert {t["created_at"].month for t in shown} == {3}
+    everything = [r["id"] for r in rows]
+    assert [r["id"] for r in march] == [i for i in everything if i in {r["id"] for r in march}]
     assert dashboard.get_clusters(store, "2020-01").count() == 0
     assert dashboard.get_clusters_with_tickets(store).count() == 140
 

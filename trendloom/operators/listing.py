@@ -102,10 +102,13 @@ def search_clusters(
     return joined.filter(by_text | F.col("cluster_id").isNotNull()).select(*CLUSTER_FIELDS)
 
 
-def top_subjects(members: DataFrame, tickets: DataFrame, n: int = V.NAME_SUBJECTS) -> DataFrame:
-    """The first ``n`` tickets of each cluster by date, as a sample for prompts."""
-    rows = member_tickets(members, tickets, *ORDER_FIELDS)
-    ranked = top_per_group(rows, ["cluster_id"], [F.col("created_at"), F.col("ticket_id")], n)
+def top_subjects(
+    members: DataFrame, tickets: DataFrame, n: int = V.NAME_SUBJECTS, order: str = "oldest"
+) -> DataFrame:
+    """The first ``n`` tickets of each cluster, as a sample for prompts: the oldest to name a cluster, the newest for
+    summaries and alerts."""
+    keys = [F.col("created_at"), F.col("ticket_id")] if order == "oldest" else example_order(order)
+    ranked = top_per_group(member_tickets(members, tickets, *ORDER_FIELDS), ["cluster_id"], keys, n)
     return with_fields(ranked, tickets, "subject", "priority")
 
 

@@ -38,7 +38,7 @@ def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 4096
     Approximate quantiles cut the column into buckets; each bucket is numbered on its own and moved by the exact count
     of the buckets before it. The cut points are a constant of the plan, so a recomputed task gives the same numbers.
     """
-    cuts = sorted(set(df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 1 / (2 * buckets))))
+    cuts = sorted(set(df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 1 / buckets)))
     edges = [float("-inf"), *cuts, float("inf")]
     split = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket")
     bucketed = split.transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")

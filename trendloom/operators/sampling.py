@@ -24,12 +24,15 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
         picked = top_per_group(hashed, [stratum], [F.col("_hash")], per_stratum, "_round")
     else:
         picked = first_by_hash(hashed, stratum, per_stratum)
-    # Rounds before the last always fit into n, so only the last one is cut: at most one row per stratum.
-    whole = picked.filter(F.col("_round") < per_stratum)
-    last = picked.filter(F.col("_round") == per_stratum)
-    before_last = sizes.agg(F.sum(F.least(F.col("size"), F.lit(per_stratum - 1)))).first()[0]
-    room = n - before_last
-    return whole.unionByName(last.orderBy("_hash").limit(room)).drop("_hash", "_round")
+    if per_stratum == 1:
+        return picked.orderBy("_hash").limit(n).drop("_hash", "_round")
+    # Rounds before the last always fit into n, so only the last one is cut. It has at most one row per stratum, and
+    # there are fewer strata than n; the other rows are spread, they need no place.
+    room = n - sizes.agg(F.sum(F.least(F.col("size"), F.lit(per_stratum - 1)))).first()[0]
+    last = F.col("_round") == per_stratum
+    group = F.when(last, -1).otherwise(F.pmod(F.xxhash64("_hash"), F.lit(1024)))
+    placed = picked.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy("_hash")))
+    return placed.filter(~last | (F.col("_place") <= room)).drop("_hash", "_round", "_place")
 
 
 def first_by_hash(hashed: DataFrame, stratum: str, n: int) -> DataFrame:
@@ -43,7 +46,7 @@ def first_by_hash(hashed: DataFrame, stratum: str, n: int) -> DataFrame:
     before = Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).filter(F.col("_start") < n)
     joined = prefixed.alias("r").join(
-        starts.alias("s"), F.col(f"r.{stratum}").eqNullSafe(F.col(f"s.{stratum}")) & (F.col("r._range") == F.col("s._range"))
+        starts.alias("s"), F.col(f"r.{stratum}").eqNullSafe(F.col(f"s.{stratum}")) & F.col("r._range").eqNullSafe(F.col("s._range"))
     )
     ranked = joined.select(
         "r.*", (F.col("s._start") + F.row_number().over(

@@ -11,16 +11,21 @@ from ..sources.store import TicketStore
 
 
 def get_clusters(store: TicketStore, month: str = "all", examples: int = 10) -> DataFrame:
-    """The cluster listing with the newest examples; for a month, counts and trend against the month before."""
+    """The cluster listing with the newest examples, largest cluster first.
+
+    For a month: the clusters with tickets in it, counts and trend against the month before, and examples of the month;
+    the order stays that of the whole listing.
+    """
     clusters, members, tickets = (store.read(t) for t in ("issue_clusters", "cluster_members", "tickets"))
     if month == "all":
         return listing.cluster_examples(clusters, members, tickets, examples, "newest")
     view = trends.month_view(clusters, members, tickets, month)
     inside = trends.members_in_month(members, tickets, month)
-    shown = clusters.select("id", "name", "description", "updated_at").join(
+    shown = clusters.select("id", "name", "description", "updated_at", F.col("ticket_count").alias("_all")).join(
         view.select(F.col("cluster_id").alias("id"), "ticket_count", "prev_window_count", "curr_window_count", "trend"), "id"
     )
-    return listing.cluster_examples(shown, inside, tickets, examples, "newest")
+    listed = listing.cluster_examples(shown, inside, tickets, examples, "newest")
+    return listed.join(shown.select("id", "_all"), "id").orderBy(F.col("_all").desc(), "id").drop("_all")
 
 
 def get_clusters_with_tickets(store: TicketStore) -> DataFrame:
@@ -50,12 +55,12 @@ def similar_tickets(
 
 
 def generate_summaries(store: TicketStore, model: models.Model | None = None) -> DataFrame:
-    subjects = listing.top_subjects(store.read("cluster_members"), store.read("tickets"), V.SUMMARY_SUBJECTS)
+    subjects = listing.top_subjects(store.read("cluster_members"), store.read("tickets"), V.SUMMARY_SUBJECTS, "newest")
     return models.summaries(store.read("issue_clusters"), subjects, model)
 
 
 def draft_alerts(store: TicketStore, model: models.Model | None = None) -> DataFrame:
-    subjects = listing.top_subjects(store.read("cluster_members"), store.read("tickets"), V.ALERT_SUBJECTS)
+    subjects = listing.top_subjects(store.read("cluster_members"), store.read("tickets"), V.ALERT_SUBJECTS, "newest")
     return models.alerts(store.read("issue_clusters"), subjects, model)
 
 

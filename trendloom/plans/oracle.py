@@ -370,7 +370,7 @@ SELECT seq, {short_md5(RAW_KEY)} AS ticket_id, subject, description,
   CASE WHEN p0 IN ('Low', 'Medium', 'High', 'Critical') THEN p0 ELSE 'Medium' END AS priority,
   CASE WHEN lang = 'en' THEN 'Support Request' ELSE lang END AS ticket_type,
   CASE WHEN src = 'src0' THEN 'General' ELSE src END AS product_area,
-  CASE WHEN lang = 'fr' THEN 'Closed' ELSE 'Open' END AS status, 'support' AS source,
+  'Open' AS status, 'support' AS source,
   {stamp("coalesce(own_date, TIMESTAMP '2024-01-31')")} AS created_at, own_date IS NOT NULL AS dated FROM cleaned""",
         "clean_tickets_month": f"""WITH {RAW}
 SELECT seq, {short_md5("'2024-01|' || " + RAW_KEY)} AS ticket_id, {stamp('''
@@ -466,10 +466,10 @@ scored AS (SELECT cluster_id, term, round(tf * (ln(((SELECT count(DISTINCT clust
 top AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS rank FROM scored QUALIFY rank <= 3)
 SELECT cluster_id, string_agg(upper(term[1]) || term[2:], ' ' ORDER BY rank) AS name,
   'Tickets about ' || string_agg(term, ', ' ORDER BY rank) || '.' AS description FROM top GROUP BY 1""",
-        "theme_summary": f"""WITH {DESK}, {ranked(by_date, 10)}, lists AS (SELECT cluster_id, {lines.format(bullet='•')} AS subjects FROM ranked GROUP BY 1)
+        "theme_summary": f"""WITH {DESK}, {ranked(newest, 10)}, lists AS (SELECT cluster_id, {lines.format(bullet='•')} AS subjects FROM ranked GROUP BY 1)
 SELECT id AS cluster_id, name, {filled(V.SUMMARY_PROMPT, name='name', subjects="coalesce(subjects, '')")} AS prompt,
   {themed('name', 2, V.OTHER_THEME[1])} AS summary, true AS mock FROM clusters LEFT JOIN lists ON cluster_id = id""",
-        "alert_rows": f"""WITH {DESK}, {ranked(by_date, 6)},
+        "alert_rows": f"""WITH {DESK}, {ranked(newest, 6)},
 lists AS (SELECT cluster_id, string_agg('• [' || coalesce(priority, 'Medium') || '] ' || subject, chr(10) ORDER BY rank) AS subjects FROM ranked GROUP BY 1),
 facts AS (SELECT id AS cluster_id, name, prev_window_count AS prev, curr_window_count AS curr, coalesce(subjects, '') AS subjects,
   CASE WHEN prev_window_count > 0 THEN {percent('prev_window_count', 'curr_window_count')} ELSE 100 END AS pct,

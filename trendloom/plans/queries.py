@@ -684,13 +684,13 @@ def term_names(desk: Desk) -> DataFrame:
 
 @query
 def theme_summary(desk: Desk) -> DataFrame:
-    subjects = listing.top_subjects(desk.members(), desk.tickets(), V.SUMMARY_SUBJECTS)
+    subjects = listing.top_subjects(desk.members(), desk.tickets(), V.SUMMARY_SUBJECTS, "newest")
     return models.summaries(desk.clusters(), subjects)
 
 
 @query
 def alert_rows(desk: Desk) -> DataFrame:
-    rows = models.alerts(desk.clusters(), listing.top_subjects(desk.members(), desk.tickets(), V.ALERT_SUBJECTS))
+    rows = models.alerts(desk.clusters(), listing.top_subjects(desk.members(), desk.tickets(), V.ALERT_SUBJECTS, "newest"))
     return rows.select("cluster_id", "name", *big("prev", "curr", "pct", "projected"), "prompt", "email", "mock")
 
 

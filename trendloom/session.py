@@ -16,6 +16,8 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # A join whose measured build partitions are small needs no sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.streaming.stateStore.providerClass": (
@@ -33,6 +35,7 @@ def local_session(cores: str | int = "*", memory: str = "8g", **settings: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
