@@ -44,6 +44,32 @@ def test_second_upload_changes_nothing(spark, desk):
     assert sorted(before) == sorted(store.read("tickets").select("ticket_id", "created_at", "subject").collect())
 
 
+def test_model_is_asked_once_per_ticket_and_a_failure_stores_nothing(spark, desk, tmp_path):
+    *_, path = desk
+    log, store = tmp_path / "asked", TicketStore(spark, str(tmp_path / "s"))
+    log.mkdir()
+
+    def model(texts):
+        import uuid
+
+        for _ in texts:
+            (log / uuid.uuid4().hex).touch()
+        return [[1.0, 0.0] for _ in texts]
+
+    ingest.ingest_csv(spark, store, str(path), instant(AS_OF), model=model)
+    assert len(list(log.iterdir())) == store.read("tickets").count() == 140
+
+    def broken(texts):
+        raise RuntimeError("no quota")
+
+    store = TicketStore(spark, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="no quota"):
+        ingest.ingest_csv(spark, store, str(path), instant(AS_OF), model=broken, retries=1)
+    assert store.read("tickets").count() == 0
+    (failed,) = store.read("job_runs").filter("status = 'failed'").collect()
+    assert "no quota" in failed["error_message"]
+
+
 def test_clusters(desk):
     store, *_ = desk
     clusters = store.read("issue_clusters").collect()

@@ -78,6 +78,9 @@ def test_live_ingest(spark, clusters, tmp_path):
     assert sorted(r["error_message"].split(" | payload: ")[1] for r in letters) == sorted(bad)
     assert {(r["job_type"], r["status"]) for r in letters} == {("webhook", "failed")}
 
+    shown = {r["ticket_id"]: r for r in live.shown_arrivals(tickets, members, clusters).collect()}
+    assert len(shown) == 41 and shown["WH-G-1"]["assigned_cluster"] == "Mouse" and shown["WH-G-1"]["similarity_score"] > 0
+
     store = TicketStore(spark, f"{tmp_path}/store")
     assert live.fold_into(store, f"{tmp_path}/nothing") == -1
     last = live.fold_into(store, out)

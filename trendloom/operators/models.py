@@ -82,6 +82,14 @@ def embed_texts(rows: DataFrame, text_column: str, model: Model | None = None, d
     return unit.select(*[c for c in rows.columns if c != "embedding"], vector, F.lit(None).cast("string").alias("error"))
 
 
+def embed_all(rows: DataFrame, text_column: str, model: Model | None = None, **options) -> DataFrame:
+    """``embed_texts`` for batches that are stored whole or not at all: a call that fails for good fails the job."""
+    embedded = embed_texts(rows, text_column, model, **options)
+    failed = F.raise_error(F.concat(F.lit("Embedding failed: "), F.col("error"))).cast("array<float>")
+    checked = F.when(F.col("error").isNull(), F.col("embedding")).otherwise(failed)
+    return embedded.withColumn("embedding", checked).drop("error", text_column)
+
+
 def embed_texts_weighted(rows: DataFrame, text_column: str, dim: int = 1024) -> DataFrame:
     """Adds ``embedding``: hashed words weighted by rarity over all rows, unit length. Takes one extra pass."""
     hashed = _word_counts(rows, text_column, dim)

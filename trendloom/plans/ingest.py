@@ -31,10 +31,10 @@ def ingest_csv(
         has_text = (F.col("subject") != "") if require == "subject" else (F.col("subject") != "") | (F.col("description") != "")
         raw = raw.observe(counters, F.count("*").alias("read"), F.count_if(has_text).alias("valid"))
         batch = ticket_batch(raw, as_of, month, require)
-        # One row per id before the model is asked, so that copies are not embedded twice.
-        unique = ranking.last_per_id(batch).observe(stored, F.count("*").alias("written"))
-        embedded = models.embed_texts(unique, "embed_text", model, **embedding).drop("embed_text")
-        store.upsert("tickets", upsert.upsert_batch(store.read("tickets", "ticket_id", "created_at"), embedded))
+        # Duplicates and dates are settled before the model is asked, so every stored text is embedded once.
+        unique = upsert.upsert_batch(store.read("tickets", "ticket_id", "created_at"), batch)
+        unique = unique.observe(stored, F.count("*").alias("written"))
+        store.upsert("tickets", models.embed_all(unique, "embed_text", model, **embedding))
         read, valid, written = counters.get["read"], counters.get["valid"], stored.get["written"]
         run.tickets_processed = written
     return {"read": read, "rejected": read - valid, "duplicates": valid - written, "written": written}
@@ -60,7 +60,7 @@ def add_tickets(store: TicketStore, incoming: DataFrame, order_by: str, as_of: C
             "created_at": as_of,
         }
     )
-    return append_tickets(store, models.embed_texts(rows, "embed_text", model, **embedding))
+    return append_tickets(store, models.embed_all(rows, "embed_text", model, **embedding))
 
 
 def seed_dataset(
@@ -70,12 +70,12 @@ def seed_dataset(
     """Stores a stratified sample of the public support dataset."""
     from ..operators.sampling import stratified_sample
 
-    sample = stratified_sample(read_ticket_csv(spark, path), "subject", "raw_ticket_id", n)
-    tickets = cleaning.dataset_tickets(sample, as_of)
+    rows = ranking.last_per_id(read_ticket_csv(spark, path), "raw_ticket_id")
+    tickets = cleaning.dataset_tickets(stratified_sample(rows, "subject", "raw_ticket_id", n), as_of)
     tickets = tickets.withColumn("embed_text", text.simple_embed_text(F.col("subject"), F.col("description"), ": "))
-    embedded = models.embed_texts(tickets, "embed_text", model, **embedding)
+    embedded = models.embed_all(tickets, "embed_text", model, **embedding)
     if truncate:
         store.clear("issue_clusters", "cluster_members")
         store.replace("tickets", embedded, TICKET_ORDER)
     else:
-        store.upsert("tickets", ranking.first_per_group(embedded, ["ticket_id"], [F.col("created_at").desc()]))
+        store.upsert("tickets", embedded)

@@ -128,6 +128,10 @@ def live_clusters(clusters: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in clusters.columns])
 
 
-def shown_arrivals(tickets: DataFrame) -> DataFrame:
-    """What the sender of a ticket gets back."""
-    return tickets.select("ticket_id", "cluster_id", vectors.shown_score(F.col("similarity_score")).alias("similarity_score"))
+def shown_arrivals(tickets: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """What the sender of a ticket gets back: its id, its cluster and the score."""
+    own = members.select(F.col("ticket_id").alias("id"), F.col("cluster_id").alias("assigned_cluster_id"), "similarity_score")
+    names = clusters.select(F.col("id").alias("assigned_cluster_id"), F.col("name").alias("assigned_cluster"))
+    assigned = tickets.select("id", "ticket_id").join(own, "id", "left").join(names, "assigned_cluster_id", "left")
+    score = vectors.shown_score(F.col("similarity_score")).alias("similarity_score")
+    return assigned.select("ticket_id", F.col("id").alias("db_id"), "assigned_cluster", "assigned_cluster_id", score)
