@@ -20,7 +20,7 @@ from ..sources.json_tickets import parse_tickets, read_json_stream
 from ..sources.store import TICKET_ORDER, TicketStore
 from ..streaming import live
 from ..streaming import trends as stream_trends
-from .recluster import build_clusters
+from .recluster import recluster as recluster_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -597,9 +597,9 @@ def lloyd_3(desk: Desk) -> DataFrame:
 
 
 def _kmeans(desk: Desk, measure: str) -> DataFrame:
-    rows = clustering.usable_tickets(desk.tickets())
+    rows = clustering.usable_tickets(desk.table("embeddings"))
     found = clustering.kmeans(rows, clustering.dynamic_k(rows.count()), measure)
-    return clustering.membership(found.rows)
+    return clustering.membership(found.rows, "vec_id")
 
 
 @query
@@ -612,26 +612,26 @@ def kmeans_cosine(desk: Desk) -> DataFrame:
     return _kmeans(desk, "cosine")
 
 
-def _reclustered(desk: Desk) -> tuple[DataFrame, DataFrame]:
+def _reclustered(desk: Desk) -> TicketStore:
+    """The whole job on stored tickets."""
     store = TicketStore(desk.spark, scratch_dir(desk.spark, "store"))
-
-    def keep(members: DataFrame) -> DataFrame:
-        return store.read_version("cluster_members", store.stage("cluster_members", members))
-
-    return build_clusters(desk.tickets(), instant(B.AS_OF), keep=keep)
+    store.replace("tickets", desk.tickets())
+    recluster_store(store, instant(B.AS_OF))
+    return store
 
 
 @query
 def recluster(desk: Desk) -> DataFrame:
-    return _reclustered(desk)[0].drop("updated_at")
+    return _reclustered(desk).read("issue_clusters").drop("updated_at")
 
 
 @query
 def recluster_totals(desk: Desk) -> DataFrame:
     """Whatever the clusters are, their counts add up to the tickets with a vector."""
-    clusters, members = _reclustered(desk)
+    store = _reclustered(desk)
     sums = [F.sum(c).cast("bigint").alias(c) for c in COUNTS]
-    rows = clusters.agg(*sums, (F.count("*") <= V.CLUSTER_MAX).alias("bounded"))
+    rows = store.read("issue_clusters").agg(*sums, (F.count("*") <= V.CLUSTER_MAX).alias("bounded"))
+    members = store.read("cluster_members")
     distinct = members.agg(F.count_distinct("ticket_id"))
     lowest = members.agg(F.min("similarity_score") > 0)
     return rows.withColumns({"members": distinct.scalar(), "positive": lowest.scalar()})

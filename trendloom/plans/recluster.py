@@ -47,9 +47,10 @@ def cluster_rows(
     centroids: DataFrame, members: DataFrame, tickets: DataFrame, as_of: Column, rule: str, model: models.Model | None
 ) -> DataFrame:
     """One row per non-empty cluster: name, counts, trend and centroid."""
-    subjects = listing.top_subjects(members, tickets)
-    every_subject = listing.member_tickets(members, tickets, "subject")
-    names = models.name_clusters(subjects, model, every_subject)
+    if model is None:
+        names = models.term_names(listing.member_tickets(members, tickets, "subject"))
+    else:
+        names = models.name_clusters(listing.top_subjects(members, tickets), model)
     counts = trends.member_windows(members, tickets, as_of=as_of, rule=rule)
     joined = trends.member_totals(members).join(centroids, "cluster_id")
     joined = joined.join(names, "cluster_id", "left").join(counts, "cluster_id", "left")
