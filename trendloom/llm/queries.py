@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, simhash
+from trendloom.llm import bpe, decontaminate, quality_rules, simhash
 from trendloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary_path())
 
@@ -23,9 +27,15 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(table(spark, folder, "documents")).drop("clean_text")
+
+
 QUERIES = {
+    "op4_winnowing": op4_winnowing,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
