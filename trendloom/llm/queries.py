@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, decontaminate, quality_rules, simhash
+from trendloom.llm import bpe, decontaminate, quality_rules, secrets, simhash
 from trendloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -32,6 +36,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op4_winnowing": op4_winnowing,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
