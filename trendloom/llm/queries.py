@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, decontaminate, quality_rules, secrets, simhash
+from trendloom.llm import bpe, decontaminate, quality_rules, secrets, sharding, simhash
 from trendloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary_path())
 
 
+def op6_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op4_winnowing": op4_winnowing,
     "op5_bpe": op5_bpe,
+    "op6_kd_sharding": op6_kd_sharding,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
 }
