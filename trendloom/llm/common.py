@@ -50,3 +50,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     """Whether the row is kept out of training: crc32 of the id as text leaves 2 when divided by 4. A null id counts as
     empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == 2
+
+
+def training_labels(labels: DataFrame, name: str, most: int) -> DataFrame:
+    """Rows (doc_id, label) to learn from: at most ``most``, those whose ids hash least, never held-out ones.
+
+    Labels other than 0 and 1, and rows without id, are left out; an id with both labels counts as 1.
+    """
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1) & ~held_out("doc_id"))
+    one_each = usable.groupBy("doc_id").agg(F.max(name).cast("int").alias("label"))
+    return one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

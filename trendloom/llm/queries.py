@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, decontaminate, quality_rules, secrets, sharding, simhash
+from trendloom.llm import bpe, decontaminate, quality_model, quality_rules, secrets, sharding, simhash, toxicity
 from trendloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+def op3_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -39,13 +43,19 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents")).drop("clean_text")
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op3_rule_ensemble": op3_rule_ensemble,
     "op4_winnowing": op4_winnowing,
     "op5_bpe": op5_bpe,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
