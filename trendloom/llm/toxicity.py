@@ -19,6 +19,8 @@ from trendloom.llm.common import held_out, small_batches, training_labels, whole
 TRAIN_ROWS = 8192
 MAX_FEATURES = 4096
 LEAST_DOCS = 3
+# A feature is taken if its likelihood ratio is over this many logs of the number of features: 2 lets in one by chance.
+CHANCE = 1.4
 RIDGE = 0.0001
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
@@ -193,11 +195,20 @@ def sample_features(docs: DataFrame, known: DataFrame, costs: list, text: str) -
     return sample.select("doc_id", "label", read("text").alias("features"))
 
 
+def leaning(positive: Column, n: Column, share: float) -> Column:
+    """How far the label share among documents with a feature is from the share of all: the likelihood ratio."""
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    return 2 * (part(positive, n * share) + part(n - positive, n * (1 - share)))
+
+
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Character model of all texts, and ridge logistic weights of features of at most ``rows`` labelled documents.
 
-    Features are those that lean most to one label; they are counted by Spark, and only the chosen ones and the rows
-    that have them reach the driver. With one label only, the score is its smoothed share, without rows 0.5.
+    Features are those that lean to one label by more than most of the many that are looked at do by chance; they are
+    counted by Spark, and only the chosen ones and the rows that have them reach the driver. With one label only, the score is its smoothed share, without rows 0.5.
     """
     small_batches(docs.sparkSession)
     costs = character_costs(trigram_counts(docs, text)).tolist()
@@ -210,9 +221,12 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int =
         return ToxicityModel(costs, {}, math.log(share / (1 - share)))
     counts = sample.select("label", F.explode("features").alias("feature")).groupBy("feature")
     counts = counts.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    expected = F.col("n") * positive / n
-    lean = F.abs(F.col("p") - expected) / F.sqrt(expected + 1)
-    chosen = [r.feature for r in counts.orderBy(F.desc(lean), "feature").limit(MAX_FEATURES).collect()]
+    counts = counts.withColumn("lean", leaning(F.col("p"), F.col("n"), positive / n)).persist()
+    sure = CHANCE * math.log(max(2, counts.count()))
+    chosen = [
+        r.feature for r in counts.filter(F.col("lean") > sure).orderBy(F.desc("lean"), "feature").limit(MAX_FEATURES).collect()
+    ]
+    counts.unpersist()
     place = {f: i for i, f in enumerate(chosen)}
     table = sample.sparkSession.createDataFrame([(f, i) for f, i in place.items()], "feature string, place int")
     held = sample.select("doc_id", "label", F.posexplode("features").alias("at", "feature")).join(
