@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, decontaminate, quality_model, quality_rules, secrets, sharding, simhash, toxicity
+from trendloom.llm import bpe, decontaminate, html_extract, quality_model, quality_rules, secrets, sharding, simhash, toxicity
 from trendloom.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents")).drop("clean_text")
 
 
+def op9_dom_model(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, folder, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_kd_sharding": op6_kd_sharding,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_dom_model": op9_dom_model,
     "op10_toxicity": op10_toxicity,
 }
 
