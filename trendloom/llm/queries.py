@@ -51,6 +51,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # it takes its operators from here
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_rule_ensemble": op3_rule_ensemble,
@@ -61,6 +67,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_dom_model": op9_dom_model,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
