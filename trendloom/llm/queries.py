@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, decontaminate, html_extract, quality_model, quality_rules, secrets, sharding, simhash, toxicity
+from trendloom.llm import bpe, decontaminate, html_extract, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, toxicity
 from trendloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal(table(spark, folder, "documents"))
+
+
 def op3_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -59,6 +63,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_winnowing": op4_winnowing,
     "op5_bpe": op5_bpe,
