@@ -140,7 +140,7 @@ def shards(prints: DataFrame, radius: int, limit: int) -> DataFrame:
         finer = [(signed(m), [signed(x) for x in split_masks(m, radius + 1, 1)]) for m in masks]
         table = F.broadcast(spark.createDataFrame(finer, "mask long, finer array<long>"))  # a few hundred masks
         keyed = sized.filter(large).select("print", "mask").join(table, "mask")
-        keyed = keyed.select("print", F.explode("finer").alias("mask"))
+        keyed = stored(keyed.select("print", F.explode("finer").alias("mask")), "simhash-finer")
         masks = [x for m in masks for x in split_masks(m, radius + 1, 1)]
 
 

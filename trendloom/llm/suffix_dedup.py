@@ -180,8 +180,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     return out
 
 
-def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each part, whether the window from each of its starts is also at another place of these parts.
+def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part and each start of a window in it: whether this window is also at another place of these parts, and
+    whether it is the first of its kind in the array.
 
     A 0 ends every part, below all bytes: suffixes that reach it within a window sort apart from whole windows.
     """
@@ -193,9 +194,10 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     data[inside] = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.int64) + 1
     order = suffix_array(data)
     shared = common_prefixes(data, order, ends - 1 - sizes, ends, length) >= length
-    hit = np.zeros(len(data), dtype=bool)
-    hit[order] = shared | np.r_[shared[1:], False]
-    return [hit[e - 1 - s : e - length] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    hit, first = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+    hit[order], first[order] = shared | np.r_[shared[1:], False], ~shared
+    spans = [slice(e - 1 - s, e - length) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return [(hit[x], first[x]) for x in spans]
 
 
 def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -240,7 +242,7 @@ def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shard_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (anchor, salts, digest, bytes), sorted by anchor and salt, into rows (anchor, digest, runs, rest): runs of
-    repeated starts, and for salted anchors the sorted windows that had no partner here, with their starts.
+    repeated starts, and for salted anchors every different window of the shard with one of its starts.
 
     Whole groups of one anchor and salt are put into one array until it is full; a group is never split.
     """
@@ -248,12 +250,11 @@ def shard_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def finish(rows: list[tuple]) -> pd.DataFrame:
         out = []
-        for (anchor, _, salts, digest, data), hit in zip(rows, repeated_starts([r[4] for r in rows]), strict=True):
+        found = repeated_starts([r[4] for r in rows])
+        for (anchor, _, salts, digest, data), (hit, first) in zip(rows, found, strict=True):
             rest = []
             if salts > 1:
-                rest = [
-                    {"window": xxhash.xxh3_128_digest(data[i : i + LENGTH]), "at": int(i)} for i in np.flatnonzero(~hit)
-                ]
+                rest = [{"window": xxhash.xxh3_128_digest(data[i : i + LENGTH]), "at": int(i)} for i in np.flatnonzero(first)]
             out.append((anchor, digest, [{"at": a, "windows": n} for a, n in runs_of(hit)], rest))
         return pd.DataFrame(out, columns=["anchor", "digest", "runs", "rest"])
 
@@ -362,7 +363,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     found = stored(found, "suffix-hits")
     hits = found.select("anchor", "digest", F.inline("runs"))
 
-    # Windows of salted anchors that had no partner in their shard meet those of the other shards.
+    # The different windows of every shard of a salted anchor meet those of its other shards.
     rest = found.select("anchor", "digest", F.inline("rest")).join(
         anchors.filter(F.col("different") > SHARD_SEGMENTS), "anchor"
     )
