@@ -44,6 +44,15 @@ def test_full_dialect(csv):
     ]
 
 
+@pytest.mark.parametrize("multiline", [True, False])
+def test_files_with_another_header_raise_instead_of_swapping_columns(spark, tmp_path, multiline):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("subject,description\ns1,d1\n")
+    (tmp_path / "in" / "b.csv").write_text("description,subject\nd2,s2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_ticket_csv(spark, str(tmp_path / "in"), multiline=multiline).collect()
+
+
 def test_line_dialect(csv):
     content = 'subject,product area\r\n"a, ""b""",Mouse\r\n\r\n"  c ",\r\n'
     got = values(csv(content, multiline=False, require=("subject",)), "subject", "product_area")
@@ -144,6 +153,9 @@ def test_next_numbers(rows, spark):
     incoming = spark.range(500).selectExpr("id * 3 as at", "id as k").repartition(7, "k")
     got = cleaning.next_numbered_ids(existing, incoming, "at").orderBy("at").collect()
     assert [r["ticket_id"] for r in got] == [f"TKT-{2005 + i}" for i in range(500)]
+    without_key = incoming.limit(1).unionByName(incoming.limit(1).withColumn("at", F.lit(None).cast(incoming.schema["at"].dataType)))
+    numbers = {r["ticket_id"] for r in cleaning.next_numbered_ids(existing.filter("false"), without_key, "at").collect()}
+    assert numbers == {"TKT-2000", "TKT-2001"}
     first = cleaning.next_numbered_ids(existing.filter("false"), incoming.limit(1), "at").first()
     assert first["ticket_id"] == "TKT-2000"
 

@@ -55,15 +55,27 @@ def test_texts_are_not_shuffled_for_examples(spark, tmp_path):
     assert top.count() == 6
 
 
-def test_large_results_are_not_settled(spark):
-    df = spark.range(50)
-    assert ranking.settled(df, 10) is df
-    assert ranking.settled(df, 50).count() == 50
+def test_ranks_beyond_the_group_limit(spark):
+    rows = spark.range(9000).selectExpr("id", "if(id < 6000, 'hot', 'cold') as g")
+    top = ranking.top_per_group(rows, ["g"], [F.col("id").desc()], 2000)
+    got = {(r["g"], r["id"], r["rank"]) for r in top.collect()}
+    assert got == {("hot", 5999 - i, i + 1) for i in range(2000)} | {("cold", 8999 - i, i + 1) for i in range(2000)}
 
 
-def test_rank_bound_is_checked(spark):
-    with pytest.raises(ValueError):
-        ranking.top_per_group(spark.range(5), ["id"], [F.col("id")], 5000)
+def test_building_a_query_runs_no_job(spark, tmp_path):
+    spark.range(5).selectExpr(
+        "cast(id as string) as id", "cast(id as string) as ticket_id", "'s' as subject", "'x' as description", "'Low' as priority",
+        "'p' as product_area", "timestamp'2026-01-01' as created_at",
+    ).write.parquet(f"{tmp_path}/t")
+    tickets = spark.read.parquet(f"{tmp_path}/t")
+    members = tickets.selectExpr("id as ticket_id", "'c' as cluster_id", "1.0D as similarity_score")
+    tracker, group = spark.sparkContext.statusTracker(), "building"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        listing.top_subjects(members, tickets, 6)
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_bucketed_copies_join_without_a_shuffle(spark, tmp_path):

@@ -54,11 +54,41 @@ def test_upsert_keeps_the_stored_date_of_undated_rows_and_is_idempotent(rows, st
     assert store.read("tickets").count() == 0
 
 
+def test_no_write_that_overlaps_a_new_base_is_lost(rows, store):
+    def one(name):
+        return batch(rows, [(name, "s", "2026-01-01", True, 1)])
+
+    def ids():
+        return sorted(r["ticket_id"] for r in store.read("tickets", "ticket_id").collect())
+
+    store.replace("tickets", one("a"))
+    staged = store.stage("tickets", one("b"))
+    store.compact("tickets")
+    store.commit(("tickets", "append", staged))
+    assert ids() == ["a", "b"]
+
+    replaces, seen = store.visible("tickets"), store.read("tickets")
+    store.append("tickets", one("c"))
+    store.upsert("tickets", one("d"))
+    store.replace("tickets", seen, replaces=replaces)
+    assert ids() == ["a", "b", "c", "d"]
+    with pytest.raises(RuntimeError):
+        store.replace("tickets", seen, replaces=replaces)
+    assert ids() == ["a", "b", "c", "d"]
+
+
+def test_job_log_keeps_its_own_rules(store):
+    with job_run(store, "recluster"):
+        pass
+    report = constraints.constraint_report({"job_runs": store.read("job_runs")}).collect()
+    assert {r["violations"] for r in report} == {0}
+
+
 def test_staged_rows_are_not_seen_before_their_commit(rows, store):
     store.replace("tickets", batch(rows, [("a", "x", "2026-01-01", True, 1)]))
     version = store.stage("tickets", batch(rows, [("b", "y", "2026-01-01", True, 1)]))
     assert [r["ticket_id"] for r in store.read("tickets").collect()] == ["a"]
-    store.commit(("tickets", "base", version))
+    store.commit(("tickets", "base", version, store.visible("tickets")))
     assert [r["ticket_id"] for r in store.read("tickets").collect()] == ["b"]
 
 

@@ -168,6 +168,28 @@ def test_cluster_ids_survive():
     assert clustering.keep_cluster_ids(new, None) == new.ids
 
 
+def test_permuted_cluster_ids_survive():
+    unit = np.eye(3)
+    ids = ["0000", "0001", "0002"]
+    assert clustering.keep_cluster_ids(SmallVectors(ids, unit[[2, 0, 1]]), SmallVectors(ids, unit)) == ["0002", "0000", "0001"]
+    other = clustering.keep_cluster_ids(SmallVectors(ids, np.array([[1.0, 1, 1], [1, 0, 0], [0, 1, 0]])), SmallVectors(ids, unit))
+    assert other[1:] == ["0000", "0001"] and other[0] not in ids and len(set(other)) == 3
+
+
+def test_a_misfit_centroid_concerns_no_other_ticket(rows, monkeypatch):
+    tickets = rows([("a", [0.0, 1.0]), ("b", [1.0, 0.0, 0.0]), ("c", [1.0]), ("d", None)], "id string, embedding array<double>")
+    clusters = rows(
+        [("c1", [1.0, 0.1]), ("c2", [0.1, 1.0]), ("c3", [1.0, 1.0, 0.0]), ("c4", None)], "id string, centroid_embedding array<double>"
+    )
+    wanted = {"a": "c2", "b": "c3", "c": None, "d": None}
+    assert {r["id"]: r["cluster_id"] for r in similarity.nearest_centroid(tickets, clusters).collect()} == wanted
+    queries = clusters.withColumnsRenamed({"id": "query_id", "centroid_embedding": "embedding"})
+    small = sorted(map(tuple, similarity.similar_topk(tickets, queries, 2, None).collect()))
+    monkeypatch.setattr(similarity, "SMALL_SIDE_ROWS", 0)
+    assert {r["id"]: r["cluster_id"] for r in similarity.nearest_centroid(tickets, clusters).collect()} == wanted
+    assert sorted(map(tuple, similarity.similar_topk(tickets, queries, 2, None).collect())) == small
+
+
 def test_euclidean_members_belong_to_the_nearest_center(rows):
     points = RNG.normal(size=(80, 4))
     found = clustering.kmeans(table(rows, points), 5, "euclidean")

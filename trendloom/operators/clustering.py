@@ -139,14 +139,25 @@ def membership(assigned: DataFrame, key: str = "id", score: str = "cosine") -> D
 
 def keep_cluster_ids(new: SmallVectors, old: SmallVectors | None, threshold: float = 0.9) -> list[str]:
     """For each new centroid the id of the old one it continues, else its own id: best pairs first, each id once."""
-    ids = list(new.ids)
     if old is None or not old.ids or old.dim != new.dim:
-        return ids
+        return list(new.ids)
     table = vectors.scores(new.matrix, vectors.unit_rows(old.matrix))
+    continues, taken = {}, set()
     for flat in np.argsort(-table, axis=None, kind="stable"):
         row, column = divmod(int(flat), table.shape[1])
         if table[row, column] < threshold:
             break
-        if ids[row] == new.ids[row] and old.ids[column] not in ids:
-            ids[row] = old.ids[column]
-    return ids
+        if row not in continues and column not in taken:
+            continues[row] = old.ids[column]
+            taken.add(column)
+    out = [continues.get(row) for row in range(len(new.ids))]
+    used = {*old.ids, *new.ids}
+    for row, own in enumerate(new.ids):
+        if out[row] is None:
+            while own in old.ids or own in out:  # an id of a run that numbered its clusters alike
+                own = f"{own}n"
+                if own not in used:
+                    break
+            out[row] = own
+            used.add(own)
+    return out

@@ -24,7 +24,7 @@ KEYS = {
     "tickets": (("id",), ("ticket_id",)),
     "issue_clusters": (("id",),),
     "cluster_members": (("ticket_id", "cluster_id"),),
-    "job_runs": (("id",),),
+    "job_runs": (("id", "status"),),  # a run leaves a row when it starts and one when it ends
 }
 VECTORS = {"tickets": "embedding", "issue_clusters": "centroid_embedding"}
 FOREIGN_KEYS = (("ticket_id", "tickets"), ("cluster_id", "issue_clusters"))

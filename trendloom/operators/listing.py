@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..schemas import EXAMPLE_FIELDS
-from .ranking import first_per_group, settled, top_per_group
+from .ranking import first_per_group, top_per_group
 
 CLUSTER_FIELDS = (
     "id", "name", "description", "ticket_count", "prev_window_count", "curr_window_count", "trend", "updated_at",
@@ -47,7 +47,7 @@ def cluster_listing(clusters: DataFrame, members: DataFrame, tickets: DataFrame,
     ticket_columns = [F.col(f).alias(LISTED_NAMES.get(f, f"ticket_{f}")) for f in EXAMPLE_FIELDS]
     keys = [k.alias(f"_k{i}") for i, k in enumerate(_sort_keys(order))]
     side = examples.select("cluster_id", "similarity_score", *ticket_columns, *keys)
-    head = settled(clusters.select(*CLUSTER_FIELDS))
+    head = clusters.select(*CLUSTER_FIELDS)
     listed = side.join(head, F.col("cluster_id") == F.col("id"))
     empty = head.join(side.select("cluster_id").distinct(), F.col("id") == F.col("cluster_id"), "left_anti")
     rows = listed.drop("cluster_id").unionByName(empty, allowMissingColumns=True)
@@ -84,7 +84,7 @@ def with_fields(chosen: DataFrame, tickets: DataFrame, *fields: str) -> DataFram
     scanned but never shuffled.
     """
     wanted = [f for f in fields if f not in chosen.columns]
-    return tickets.select("id", *wanted).join(settled(chosen), "id")
+    return tickets.select("id", *wanted).join(chosen, "id")
 
 
 def search_clusters(

@@ -11,14 +11,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SETTLED_ROWS = 20_000
+GROUP_PARTS = 64
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold: up to here the filter runs before the shuffle
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows of each group with their rank; the order must be total."""
+    """The first ``n`` rows of each group with their rank; the order must be total.
+
+    Beyond the bound the first ``n`` of each of some parts of a group are found first, so that one task never gets more
+    of a group than these.
+    """
     if n > GROUP_LIMIT:
-        raise ValueError(f"top_per_group keeps at most {GROUP_LIMIT} rows per group")
+        parts = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(GROUP_PARTS)))
+        inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = parts.withColumn("_place", F.row_number().over(inside)).filter(F.col("_place") <= n).drop("_part", "_place")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
@@ -42,6 +48,7 @@ def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 4096
     edges = [float("-inf"), *cuts, float("inf")]
     split = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket")
     bucketed = split.transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
+    bucketed = bucketed.withColumn("_bucket", F.coalesce("_bucket", F.lit(float(len(edges)))))  # rows without a key come last
     counts = bucketed.groupBy("_bucket").count()
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
@@ -52,9 +59,3 @@ def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 4096
         .withColumn(name, F.col("_offset") + F.col("_row") - 1 + start)
         .drop("_bucket", "_row", "_offset")
     )
-
-
-def settled(rows: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
-    """A small result computed now, so that its size is known to the joins that follow; a larger one stays as it is."""
-    found = rows.limit(most + 1).collect()
-    return rows if len(found) > most else rows.sparkSession.createDataFrame(found, rows.schema)

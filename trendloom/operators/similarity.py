@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import vectors
-from .ranking import settled, top_per_group
+from .ranking import top_per_group
 
 SMALL_SIDE_BYTES = 64 << 20  # largest matrix sent to every task
 SMALL_SIDE_ROWS = 10_000
@@ -40,18 +41,28 @@ class SmallVectors:
         return self.matrix.shape[1]
 
 
-def small_vectors(rows: DataFrame, key: str, vector: str, dim: int | None = None) -> SmallVectors | None:
-    """The usable vectors in key order, or None when the table is over the bound."""
+def small_vectors_by_size(rows: DataFrame, key: str, vector: str) -> list[SmallVectors] | None:
+    """The usable vectors in key order, one table for each length, or None when all are over the bound."""
     present = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
-    number, longest = present.agg(F.count("*"), F.max(F.size(vector))).first()
-    if not number:
-        return SmallVectors([], np.zeros((0, dim or 1)))
-    dim = dim or longest
-    if number > SMALL_SIDE_ROWS or number * dim * 8 > SMALL_SIDE_BYTES:
+    number, cells = present.agg(F.count("*"), F.sum(F.size(vector))).first()
+    if number and (number > SMALL_SIDE_ROWS or cells * 8 > SMALL_SIDE_BYTES):
         return None
-    kept = present.filter(F.size(vector) == dim).select(key, vectors.as_doubles(F.col(vector)).alias("v"))
-    pairs = sorted((r[0], r[1]) for r in kept.collect())
-    return SmallVectors([p[0] for p in pairs], np.array([p[1] for p in pairs], dtype=np.float64).reshape(len(pairs), dim))
+    sizes: dict[int, list] = {}
+    for r in present.select(key, vectors.as_doubles(F.col(vector)).alias("v")).collect():
+        sizes.setdefault(len(r[1]), []).append((r[0], r[1]))
+    tables = []
+    for dim, pairs in sorted(sizes.items()):
+        pairs.sort()
+        tables.append(SmallVectors([p[0] for p in pairs], np.array([p[1] for p in pairs], dtype=np.float64).reshape(-1, dim)))
+    return tables
+
+
+def small_vectors(rows: DataFrame, key: str, vector: str) -> SmallVectors | None:
+    """The usable vectors of the commonest length (the longer one on ties), or None when all are over the bound."""
+    tables = small_vectors_by_size(rows, key, vector)
+    if tables is None:
+        return None
+    return max(tables, key=lambda t: (len(t.ids), t.dim), default=SmallVectors([], np.zeros((0, 1))))
 
 
 # --- nearest centroid ---------------------------------------------------------------------------------------------
@@ -72,10 +83,29 @@ def nearest_centroid(
     tickets: DataFrame, clusters: DataFrame, key: str = "id", vector: str = "embedding",
     cluster_id: str = "id", centroid: str = "centroid_embedding",
 ) -> DataFrame:
-    """The tickets with the cluster of highest cosine and the score; NULLs where no centroid fits the vector."""
-    centroids = small_vectors(clusters, cluster_id, centroid)
-    if centroids is not None:
-        return assign_to(tickets, centroids, vector)
+    """The tickets with the cluster of highest cosine and the score; NULLs where no centroid fits the vector.
+
+    A vector meets the centroids of its own length, so that a misfit centroid concerns no other ticket.
+    """
+    tables = small_vectors_by_size(clusters, cluster_id, centroid)
+    if tables is not None and len(tables) < 2:
+        return assign_to(tickets, tables[0] if tables else SmallVectors([], np.zeros((0, 1))), vector)
+    if tables is not None:
+        best = [
+            F.when(
+                F.size(vector) == table.dim,
+                F.struct(vectors.nearest_row(F.col(vector), table.matrix, "cosine").alias("best"), F.lit(i).alias("table")),
+            )
+            for i, table in enumerate(tables)
+        ]
+        names = F.array(*[F.array(*[F.lit(i) for i in table.ids]) for table in tables])
+        found = tickets.withColumn("_found", F.coalesce(*best))
+        return found.withColumns(
+            {
+                "cluster_id": F.get(F.get(names, F.col("_found.table")), F.col("_found.best.row")),
+                "similarity_score": F.col("_found.best.score"),
+            }
+        ).drop("_found")
     best = block_topk(clusters, tickets, 1, None, cluster_id, centroid, key, vector)
     found = best.select(F.col("query_id").alias(key), F.col("match_id").alias("cluster_id"), F.col("similarity").alias("similarity_score"))
     return tickets.join(found, key, "left")
@@ -107,10 +137,14 @@ def similar_topk(
     corpus_id: str = "id", corpus_vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding",
 ) -> DataFrame:
     """(query_id, match_id, similarity, rank): for every query the ``k`` best above the threshold, ties by id."""
-    small = small_vectors(queries, query_id, query_vector)
-    if small is None:
+    tables = small_vectors_by_size(queries, query_id, query_vector)
+    if tables is None:
         return block_topk(corpus, queries, k, threshold, corpus_id, corpus_vector, query_id, query_vector)
-    return _scan_topk(corpus, small, k, threshold, corpus_id, corpus_vector, queries.schema[query_id].dataType.simpleString())
+    kind = queries.schema[query_id].dataType.simpleString()
+    tables = tables or [SmallVectors([], np.zeros((0, 1)))]
+    return reduce(
+        DataFrame.unionByName, [_scan_topk(corpus, t, k, threshold, corpus_id, corpus_vector, kind) for t in tables]
+    )
 
 
 def _scan_topk(corpus, queries: SmallVectors, k, threshold, corpus_id, corpus_vector, query_type) -> DataFrame:
@@ -248,6 +282,6 @@ def approximate_similar(
 
 def member_scores(members: DataFrame, clusters: DataFrame, vector: str = "embedding") -> DataFrame:
     """Members (with ``cluster_id`` and vector) with the cosine to the centroid of their own cluster."""
-    own = settled(clusters.select(F.col("id").alias("cluster_id"), F.col("centroid_embedding").alias("_own")))
+    own = clusters.select(F.col("id").alias("cluster_id"), F.col("centroid_embedding").alias("_own"))
     score = vectors.cosine(F.col(vector), F.col("_own"))
     return members.join(own, "cluster_id").withColumn("similarity_score", score).drop("_own")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -33,7 +34,9 @@ def build_clusters(
     if k is None:
         return None
     fitted = clustering.kmeans(usable, k, measure, starts=starts)
-    ids = clustering.keep_cluster_ids(fitted.centroids, old)
+    run = uuid.uuid4().hex[:8]  # ids of two runs never meet: a member of an old cluster cannot land in a new one
+    fresh = SmallVectors([f"{run}-{i}" for i in fitted.centroids.ids], fitted.centroids.matrix)
+    ids = clustering.keep_cluster_ids(fresh, old)
     renamed = F.create_map(*[F.lit(x) for pair in zip(fitted.centroids.ids, ids) for x in pair])
     members = clustering.membership(fitted.rows, "id", score).withColumn("cluster_id", renamed[F.col("cluster_id")])
     members = keep(members) if keep else members.persist(StorageLevel.MEMORY_AND_DISK)
@@ -71,6 +74,7 @@ def cluster_rows(
 def recluster(store: TicketStore, as_of: Column, keep_ids: bool = False, **options) -> int:
     """Rebuilds clusters and members from the stored tickets; both become current together, at the end."""
     with job_run(store, "recluster") as run:
+        replaces = {t: store.visible(t) for t in ("cluster_members", "issue_clusters")}
         tickets = store.read("tickets", "id", "ticket_id", "subject", "priority", "created_at", "embedding")
         old = small_vectors(store.read("issue_clusters"), "id", "centroid_embedding") if keep_ids else None
         staged = []
@@ -83,7 +87,10 @@ def recluster(store: TicketStore, as_of: Column, keep_ids: bool = False, **optio
         if built is not None:
             clusters, members = built
             version = store.stage("issue_clusters", clusters)
-            store.commit(("cluster_members", BASE, staged[0]), ("issue_clusters", BASE, version))
+            store.commit(
+                ("cluster_members", BASE, staged[0], replaces["cluster_members"]),
+                ("issue_clusters", BASE, version, replaces["issue_clusters"]),
+            )
             run.tickets_processed = members.count()
         return run.tickets_processed
 
@@ -99,7 +106,8 @@ def assign_new(store: TicketStore, as_of: Column, rule: str = "rolling_closed")
 
 
 def refresh(store: TicketStore, as_of: Column, rule: str = "rolling_closed", stale: str = "zero") -> None:
+    replaces = store.visible("issue_clusters")
     tickets = store.read("tickets", "id", "created_at")
     members = store.read("cluster_members", "ticket_id", "cluster_id")
     fresh = trends.refresh_trends(store.read("issue_clusters"), members, tickets, as_of, stale, rule=rule)
-    store.replace("issue_clusters", fresh.select(*schemas.CLUSTERS.names))
+    store.replace("issue_clusters", fresh.select(*schemas.CLUSTERS.names), replaces=replaces)

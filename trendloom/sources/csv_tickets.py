@@ -29,7 +29,7 @@ def canonical_headers(headers: list[str]) -> list[str]:
 def read_ticket_csv(
     spark: SparkSession, path: str | list[str], multiline: bool = True, require: tuple[str, ...] = ("subject", "description")
 ) -> DataFrame:
-    """Rows of CSV files with one header layout: the canonical text columns, trimmed, and ``seq``, the place in the input.
+    """Rows of CSV files with one header layout (files with another one raise): the canonical text columns, trimmed, and ``seq``, the place in the input.
 
     Headers match by name, in any order and case; of two headers with one meaning the last counts. Unknown columns are
     not read. ``require`` names the columns of which at least one must be present. ``multiline=False`` reads the line
@@ -41,11 +41,16 @@ def read_ticket_csv(
         found = ", ".join(headers) or "none"
         raise ValueError(f"CSV must contain at least one of these columns: {', '.join(require)}. Columns found: {found}")
 
-    place = {name: f"_c{i}" for i, name in enumerate(headers)}
-    by_position = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
-    rows = _reader(spark, multiline).option("header", True).option("enforceSchema", True).schema(by_position).csv(path)
+    # Spark compares the header of every file with these names, so that files in another order raise instead of being
+    # read by position. Headers that differ in case only have no such names; a folder of them must have one layout.
+    given = [h or f"_c{i}" for i, h in enumerate(first[0])] if first else []
+    distinct = len({g.lower() for g in given}) == len(given)
+    names = given if distinct else [f"_c{i}" for i in range(len(given))]
+    place = {name: F.col("`" + names[i].replace("`", "``") + "`") for i, name in enumerate(headers)}
+    layout = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    rows = _reader(spark, multiline).option("header", True).option("enforceSchema", not distinct).schema(layout).csv(path)
     columns = [
-        clean(F.col(place[name])).alias(name) if name in place else F.lit("").alias(name) for name in V.CSV_COLUMNS
+        clean(place[name]).alias(name) if name in place else F.lit("").alias(name) for name in V.CSV_COLUMNS
     ]
     seq = F.struct(
         F.col("_metadata.file_path").alias("file"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from .. import schemas
-from ..operators.ranking import first_per_group, settled
+from ..operators.ranking import first_per_group
 from .store import TicketStore
 
 
@@ -52,7 +52,7 @@ def latest_jobs(log: DataFrame) -> DataFrame:
     Every row of a run has its start, so the latest runs are found first and only their rows are looked at.
     """
     newest = first_per_group(log.select("id", "job_type", "started_at"), ["job_type"], [F.col("started_at").desc(), F.col("id")])
-    return current_runs(log.join(settled(newest.select("id", "job_type")), ["id", "job_type"], "left_semi"))
+    return current_runs(log.join(newest.select("id", "job_type"), ["id", "job_type"], "left_semi"))
 
 
 def dead_letter_message(error: Column, payload: Column) -> Column:

@@ -3,6 +3,10 @@
 Every write goes to a fresh folder and becomes visible by one appended row in the table of versions, so readers never
 see half a write and a failed job leaves everything as it was. A small batch costs what the batch costs: it is stored
 as a change beside the base, and readers put the two together. ``compact`` folds the changes into a new base.
+
+A new base names the versions that it takes the place of, which are those that were visible when its rows were read.
+All others stay visible, whenever they were staged or committed, so appends and upserts may overlap any write. Two
+writers of bases of one table must not: the second one to commit raises.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ TABLE_KEYS = {
 # Files then hold one source and a span of time each, so filters on either skip most of them; the id spreads a hot source.
 TICKET_ORDER = ("source", "created_at", "ticket_id")
 BASE, APPEND, UPSERT = "base", "append", "upsert"
-_LOG = "table string, kind string, version bigint, committed_at timestamp"
+_LOG = "table string, kind string, version bigint, replaces array<bigint>, committed_at timestamp"
 
 
 class TicketStore:
@@ -46,7 +50,8 @@ class TicketStore:
         if changed:
             key = TABLE_KEYS[table]
             changes = self._folders(table, changed, with_version=True)
-            latest = first_per_group(changes, key, [F.col("version").desc()]).drop("version")
+            place = F.array_position(F.array(*[F.lit(v) for v in changed]), F.col("version"))  # in order of commits
+            latest = first_per_group(changes, key, [place.desc()]).drop("version")
             rows = rows.join(latest.select(*key), key, "left_anti").select(*rows.columns).unionByName(latest)
         return rows.select(*columns) if columns else rows
 
@@ -54,15 +59,20 @@ class TicketStore:
         return self._folders(table, [version])
 
     def _current(self, table: str) -> tuple[list[int], list[int]]:
-        """Versions of the last base with what was appended since, and of the upserts since."""
+        """Versions of the base and what was appended, and of the upserts in the order of their commits."""
         try:
             log = self.spark.read.schema(_LOG).parquet(f"{self.root}/versions").filter(F.col("table") == table)
         except AnalysisException:
             return [], []
-        entries = sorted((r["version"], r["kind"]) for r in log.select("version", "kind").collect())
-        base = max((v for v, kind in entries if kind == BASE), default=-1)
-        since = [(v, kind) for v, kind in entries if v >= base]
-        return [v for v, kind in since if kind != UPSERT], [v for v, kind in since if kind == UPSERT]
+        entries = sorted(log.collect(), key=lambda r: (r["committed_at"], r["version"]))
+        gone = {v for r in entries for v in r["replaces"] or ()}
+        seen = [r for r in entries if r["version"] not in gone]
+        return [r["version"] for r in seen if r["kind"] != UPSERT], [r["version"] for r in seen if r["kind"] == UPSERT]
+
+    def visible(self, table: str) -> list[int]:
+        """Versions that make up the table now; a base that is built from them replaces them."""
+        plain, changed = self._current(table)
+        return plain + changed
 
     def _folders(self, table: str, versions: list[int], with_version: bool = False) -> DataFrame:
         schema = TABLE_SCHEMAS[table]
@@ -92,14 +102,24 @@ class TicketStore:
         self._matching(table, rows).write.parquet(self._path(table, version))
         return version
 
-    def commit(self, *changes: tuple[str, str, int]) -> None:
-        """Makes (table, kind, version) entries current, all at once: they are one file."""
+    def commit(self, *changes: tuple[str, str, int] | tuple[str, str, int, list[int]]) -> None:
+        """Makes (table, kind, version) entries current, all at once: they are one file.
+
+        A base brings the versions that it replaces. If one of them is gone, another base was committed meanwhile.
+        """
+        for table, kind, version, *replaced in changes:
+            if kind == BASE and not replaced:
+                raise ValueError(f"{table}: a base needs the versions that it replaces")
+            if kind == BASE and not set(replaced[0]) <= set(self.visible(table)):
+                raise RuntimeError(f"{table}: another base was committed while version {version} was written")
         now = datetime.now(timezone.utc)
-        entries = self.spark.createDataFrame([(*change, now) for change in changes], _LOG)
-        entries.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        rows = [(table, kind, version, *(replaced or [[]]), now) for table, kind, version, *replaced in changes]
+        self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
 
-    def replace(self, table: str, rows: DataFrame, order_by: tuple[str, ...] = ()) -> None:
-        self.commit((table, BASE, self.stage(table, rows, order_by)))
+    def replace(self, table: str, rows: DataFrame, order_by: tuple[str, ...] = (), replaces: list[int] | None = None) -> None:
+        """A new base in place of what is visible at the call, or of the versions that the rows were read from."""
+        replaces = self.visible(table) if replaces is None else replaces
+        self.commit((table, BASE, self.stage(table, rows, order_by), replaces))
 
     def append(self, table: str, rows: DataFrame) -> None:
         self.commit((table, APPEND, self.stage(table, rows)))
@@ -109,10 +129,12 @@ class TicketStore:
         self.commit((table, UPSERT, self.stage(table, rows)))
 
     def compact(self, table: str, order_by: tuple[str, ...] = ()) -> None:
-        self.replace(table, self.read(table), order_by)
+        replaces = self.visible(table)
+        self.replace(table, self.read(table), order_by, replaces)
 
     def clear(self, *tables: str) -> None:
-        empty = [(t, BASE, self.stage(t, self.spark.createDataFrame([], TABLE_SCHEMAS[t]))) for t in tables]
+        seen = {t: self.visible(t) for t in tables}
+        empty = [(t, BASE, self.stage(t, self.spark.createDataFrame([], TABLE_SCHEMAS[t])), seen[t]) for t in tables]
         self.commit(*empty)
 
     def save_bucketed(self, table: str, key: str, name: str, buckets: int, *columns: str) -> DataFrame:
