@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm import bpe, decontaminate, html_extract, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, toxicity
 from trendloom.llm.common import table
+from trendloom.llm.sql import ORACLE_SQL
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def vocabulary_path() -> str:
@@ -74,5 +78,3 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
-
-ORACLE_SQL: dict[str, str] = {}
