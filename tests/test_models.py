@@ -105,3 +105,18 @@ def test_apply_model_types(rows):
     df = rows([(1, "abc")], "id int, text string")
     row = models.apply_model(df, "text", lambda ts: [len(t) for t in ts], "n", "int").first()
     assert (row["id"], row["n"], row["error"]) == (1, 3, None)
+
+
+def test_models_are_told_their_role(rows):
+    clusters = rows(
+        [("c", "Name", "Increasing", 1, 2)], "id string, name string, trend string, prev_window_count int, curr_window_count int"
+    )
+    subjects = rows([("c", 1, "subject", "High")], "cluster_id string, rank int, subject string, priority string")
+
+    def echo(texts):
+        return list(texts)
+
+    summary = models.summaries(clusters, subjects, echo).first()
+    assert summary["summary"].startswith("You are a senior support analyst") and summary["summary"].endswith(summary["prompt"])
+    mail = models.alerts(clusters, subjects, echo, platform="Desk", company="Acme").first()
+    assert "at Acme, a D2C" in mail["email"] and "'Desk'" in mail["email"] and mail["email"].endswith(mail["prompt"])

@@ -141,6 +141,19 @@ NAME_PROMPT = (
 SUMMARY_PROMPT = (
     'Issue cluster: "{name}"\n\nRecent tickets:\n{subjects}\n\nProvide a 2-sentence root cause summary.'
 )
+SUMMARY_SYSTEM = (
+    "You are a senior support analyst at a D2C hardware company. Analyse the provided support tickets and return exactly "
+    "2 sentences: (1) what the root cause is, (2) what its technical impact is. Be specific, technical, and actionable. "
+    "No filler. No bullet points—just 2 plain sentences."
+)
+# {company} and {platform} name the sender.
+ALERT_SYSTEM = (
+    "You are the Head of Support at {company}, a D2C hardware company. Write urgent, professional QA Alert emails to the "
+    "hardware manufacturing team when AI detects support ticket spikes. Format: Subject line, opening paragraph with "
+    "context, a 'SIGNAL SUMMARY' section with bullet stats, a 'REQUESTED ACTIONS (P0)' numbered list, a 'CUSTOMER IMPACT' "
+    "paragraph, and a professional sign-off from '{platform}'. Use plain text, not markdown."
+)
+ALERT_COMPANY = "the company"
 ALERT_PROMPT = (
     'Draft a QA Alert email for this spike:\n\nIssue Category: "{name}"\nPrevious 30-day window: {prev} tickets\n'
     "Current 30-day window: {curr} tickets\nChange: +{pct}%\n\nSample affected tickets:\n{subjects}\n\n"

@@ -184,14 +184,17 @@ def summaries(clusters: DataFrame, subjects: DataFrame, model: Model | None = No
     named = clusters.select(F.col("id").alias("cluster_id"), "name").join(lines, "cluster_id", "left")
     tickets = F.coalesce("subjects", F.lit(""))
     prompts = named.select("cluster_id", "name", _filled(V.SUMMARY_PROMPT, subjects=tickets, name=F.col("name")).alias("prompt"))
-    return _answered(prompts, model, text.theme_summary(F.col("name")), "summary")
+    return _answered(prompts, model, text.theme_summary(F.col("name")), "summary", V.SUMMARY_SYSTEM)
 
 
 def alerts(
     clusters: DataFrame, subjects: DataFrame, model: Model | None = None, platform: str = V.ALERT_PLATFORM,
-    n: int = V.ALERT_SUBJECTS,
+    n: int = V.ALERT_SUBJECTS, company: str = V.ALERT_COMPANY,
 ) -> DataFrame:
-    """(cluster_id, name, prev, curr, pct, projected, prompt, email, mock) for every increasing cluster."""
+    """(cluster_id, name, prev, curr, pct, projected, prompt, email, mock) for every increasing cluster.
+
+    ``company`` and ``platform`` name the sender to the model and in the mail.
+    """
     few = subjects.filter(F.col("rank") <= n)
     priority = F.coalesce(F.col("priority"), F.lit(V.DEFAULT_PRIORITY))
     line = F.concat(F.lit("• ["), priority, F.lit("] "), F.col("subject"))
@@ -210,12 +213,15 @@ def alerts(
         name=F.col("name"),
     )
     rows = facts.select("cluster_id", "name", "prev", "curr", "pct", "projected", prompt.alias("prompt"), mail.alias("_mail"))
-    return _answered(rows, model, F.col("_mail"), "email").drop("_mail")
+    system = V.ALERT_SYSTEM.format(company=company, platform=platform)
+    return _answered(rows, model, F.col("_mail"), "email", system).drop("_mail")
 
 
-def _answered(rows: DataFrame, model: Model | None, fallback: Column, output: str) -> DataFrame:
+def _answered(rows: DataFrame, model: Model | None, fallback: Column, output: str, system: str) -> DataFrame:
+    """The model reads the system instruction, an empty line and the prompt of a row."""
     if model is None:
         return rows.withColumns({output: fallback, "mock": F.lit(True)})
-    asked = apply_model(rows, "prompt", model, output, "string", batch_size=1)
+    told = rows.withColumn("_told", F.concat(F.lit(system + "\n\n"), F.col("prompt")))
+    asked = apply_model(told, "_told", model, output, "string", batch_size=1).drop("_told")
     answer = F.nullif(text.clean(F.col(output)), F.lit(""))
     return asked.withColumns({output: F.coalesce(answer, fallback), "mock": F.col("error").isNotNull()}).drop("error")

@@ -28,9 +28,22 @@ def get_clusters(store: TicketStore, month: str = "all", examples: int = 10) ->
     return listed.join(shown.select("id", "_all"), "id").orderBy(F.col("_all").desc(), "id").drop("_all")
 
 
-def get_clusters_with_tickets(store: TicketStore) -> DataFrame:
-    """Every cluster with all its tickets, one row each."""
-    return listing.cluster_listing(store.read("issue_clusters"), store.read("cluster_members"), store.read("tickets"))
+def month_listing(clusters: DataFrame, members: DataFrame, tickets: DataFrame, month: str) -> DataFrame:
+    """The clusters with tickets in the month, each with all of these, one row each; counts and trend are the month's."""
+    view = trends.month_view(clusters, members, tickets, month)
+    counts = ("ticket_count", "prev_window_count", "curr_window_count", "trend")
+    shown = clusters.select("id", "name", "description", "updated_at").join(
+        view.select(F.col("cluster_id").alias("id"), *counts), "id"
+    )
+    return listing.cluster_listing(shown, trends.members_in_month(members, tickets, month), tickets, "newest")
+
+
+def get_clusters_with_tickets(store: TicketStore, month: str = "all") -> DataFrame:
+    """Every cluster with all its tickets, or all of the month, one row each."""
+    clusters, members, tickets = (store.read(t) for t in ("issue_clusters", "cluster_members", "tickets"))
+    if month == "all":
+        return listing.cluster_listing(clusters, members, tickets)
+    return month_listing(clusters, members, tickets, month)
 
 
 def find_similar_tickets(

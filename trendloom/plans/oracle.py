@@ -127,8 +127,12 @@ joined AS (SELECT m.cluster_id, m.similarity_score, t.* FROM members m JOIN tick
 
 
 def month_view(desk: str, month: str, extra: str = "") -> str:
+    return f"WITH {desk}, {month_counts(month, extra)}"
+
+
+def month_counts(month: str, extra: str = "") -> str:
     start = f"TIMESTAMP '{month}-01'"
-    return f"""WITH {desk}, counted AS (
+    return f"""counted AS (
   SELECT m.cluster_id,
     count(*) FILTER (WHERE created_at >= {start} AND created_at < {start} + INTERVAL 1 MONTH) AS curr_window_count,
     count(*) FILTER (WHERE created_at >= {start} - INTERVAL 1 MONTH AND created_at < {start}) AS prev_window_count
@@ -341,9 +345,17 @@ SELECT c.id, c.name, c.description, c.trend, c.ticket_count, c.prev_window_count
   j.description AS ticket_description, j.priority AS ticket_priority, j.product_area AS ticket_product_area,
   {stamp('j.created_at')} AS ticket_created_at, j.similarity_score
 FROM clusters c LEFT JOIN joined j ON j.cluster_id = c.id""",
+        "month_listing": f"""WITH {KEYED}, shown AS (WITH {month_counts(B.MONTH, ', description')})
+SELECT s.cluster_id AS id, s.name, s.description, s.trend, s.ticket_count, s.prev_window_count, s.curr_window_count,
+  '2024-01-31 00:00:00' AS updated_at, t.id AS ticket_key, t.ticket_id, t.subject AS ticket_subject,
+  t.description AS ticket_description, t.priority AS ticket_priority, t.product_area AS ticket_product_area,
+  {stamp('t.created_at')} AS ticket_created_at, m.similarity_score
+FROM shown s JOIN members m ON m.cluster_id = s.cluster_id JOIN tickets t ON t.id = m.ticket_id
+WHERE strftime(t.created_at, '%Y-%m') = '{B.MONTH}'""",
         "cluster_examples": examples(best),
         "newest_examples": examples(newest),
         "cluster_search": search("nthend"),
+        "cluster_search_subject": search(B.SUBJECT_WORD),
         "cluster_search_trend": search("fail", "Increasing"),
         "kpis": f"""WITH {DESK} SELECT sum(ticket_count)::BIGINT AS total_tickets, count(*) AS clusters,
   count(*) FILTER (WHERE trend = 'Increasing') AS increasing, count(*) FILTER (WHERE trend = 'Decreasing') AS decreasing FROM clusters""",

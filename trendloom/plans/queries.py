@@ -20,6 +20,7 @@ from ..sources.json_tickets import parse_tickets, read_json_stream
 from ..sources.store import TICKET_ORDER, TicketStore
 from ..streaming import live
 from ..streaming import trends as stream_trends
+from . import dashboard
 from .recluster import recluster as recluster_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,13 +154,22 @@ def window_shares(desk: Desk) -> DataFrame:
 # --- listings and roll-ups ----------------------------------------------------------------------------------------
 
 
-@query
-def cluster_listing(desk: Desk) -> DataFrame:
-    rows = listing.cluster_listing(desk.clusters(), desk.members(), desk.tickets())
+def _listed(rows: DataFrame) -> DataFrame:
     kept = ["id", "name", "description", "trend", "ticket_key", "ticket_id", "ticket_subject", "ticket_description", "ticket_priority", "ticket_product_area", "similarity_score"]
     return rows.select(*kept, *big(*COUNTS), *[stamp(c).alias(c) for c in ("updated_at", "ticket_created_at")])
 
 
+@query
+def cluster_listing(desk: Desk) -> DataFrame:
+    return _listed(listing.cluster_listing(desk.clusters(), desk.members(), desk.tickets()))
+
+
+@query
+def month_listing(desk: Desk) -> DataFrame:
+    """All tickets of a month under their clusters, with the month's counts."""
+    return _listed(dashboard.month_listing(desk.clusters(), desk.members(), desk.tickets(), B.MONTH))
+
+
 def _examples(rows: DataFrame) -> DataFrame:
     shown = F.transform(
         "example_tickets",
@@ -187,6 +197,12 @@ def cluster_search(desk: Desk) -> DataFrame:
     return _found(listing.search_clusters(desk.clusters(), desk.members(), desk.tickets(), "NTHEND"))
 
 
+@query
+def cluster_search_subject(desk: Desk) -> DataFrame:
+    """A word of a few subjects and of no name or description."""
+    return _found(listing.search_clusters(desk.clusters(), desk.members(), desk.tickets(), B.SUBJECT_WORD))
+
+
 @query
 def cluster_search_trend(desk: Desk) -> DataFrame:
     return _found(listing.search_clusters(desk.clusters(), desk.members(), desk.tickets(), "fail", "Increasing"))

@@ -18,6 +18,7 @@ from ..operators.trends import refresh_trends
 
 AS_OF = "2024-01-31T00:00:00+00:00"
 MONTH = "2024-01"
+SUBJECT_WORD = "heitver"  # in some subjects, in no name or description
 ORDERS_AS_OF = "1998-01-31T00:00:00+00:00"
 ORDERS_MONTH = "1996-01"
 EVENTS_AS_OF = "2024-01-25T00:00:00+00:00"
