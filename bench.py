@@ -21,7 +21,7 @@ HEADLINE = (
     "cluster_trends", "order_trends_closed", "event_rolling_trends", "month_view", "order_month_view", "refresh_trends",
     "cluster_listing", "cluster_examples", "distinct_examples", "cluster_search", "segment_share", "clean_tickets",
     "stable_ids", "dedupe_last", "stratified_sample_large", "sequential_ids", "upsert_tickets", "constraint_report",
-    "nearest_centroid", "similar_topk", "similar_topk_blocks", "lloyd_3", "kmeans_euclidean", "recluster", "text_vectors",
+    "nearest_centroid", "similar_topk", "month_listing", "lloyd_3", "kmeans_euclidean", "recluster", "text_vectors",
     "term_names", "alert_rows", "csv_ingest", "json_tickets", "stream_ingest", "stream_daily_trends",
 )
 
