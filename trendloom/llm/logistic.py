@@ -9,7 +9,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(matrix: np.ndarray, labels: np.ndarray, l1: float = 0.0, l2: float = 0.0, rounds: int = 400) -> tuple[np.ndarray, float]:
+class Marks:
+    """A matrix of zeros and ones, given by the places of the ones; it multiplies vectors like an array."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.shape = rows, columns, shape
+
+    def __matmul__(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=vector[self.columns], minlength=self.shape[0])
+
+    @property
+    def T(self) -> Marks:
+        return Marks(self.columns, self.rows, self.shape[::-1])
+
+
+def fit(matrix: np.ndarray | Marks, labels: np.ndarray, l1: float = 0.0, l2: float = 0.0, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the mean log loss with a lasso and a ridge penalty on the weights.
 
     Accelerated proximal gradient with restarts; the step is the inverse of a bound of the curvature.

@@ -235,9 +235,8 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int =
     held = held.groupBy("doc_id", "label").agg(F.collect_set("place").alias("places")).limit(2 * rows).collect()
     known.unpersist(), sample.unpersist()
     held.sort(key=lambda r: r.doc_id)
-    matrix = np.zeros((len(held), len(chosen)), dtype=np.float32)
-    for i, row in enumerate(held):
-        matrix[i, row.places] = 1
+    ones = np.array([(i, p) for i, row in enumerate(held) for p in row.places], dtype=np.int64).reshape(-1, 2)
+    matrix = logistic.Marks(ones[:, 0], ones[:, 1], (len(held), len(chosen)))
     fitted, intercept = logistic.fit(matrix, np.array([r.label for r in held], dtype=float), l2=RIDGE, rounds=1000)
     weights = {f: float(w) for f, w in zip(chosen, fitted, strict=True) if abs(w) > 1e-6}
     return ToxicityModel(costs, weights, intercept)
