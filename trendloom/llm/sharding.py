@@ -88,6 +88,7 @@ def points_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
     rows = stored(rows, "kd-rows")
     same = rows.groupBy("content", "size").agg(F.min("d_source").alias("d_source"), F.min("d_lang").alias("d_lang"))
+    same = stored(same, "kd-texts")  # a plain side, so that Spark can split a text that very many rows have
     return rows.drop("d_source", "d_lang").join(same, ["content", "size"])
 
 
