@@ -422,6 +422,7 @@ def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     read; an empty table gives no rows.
     """
     changed = changed_texts(docs, text).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("changed_sha256"))
+    changed = stored(changed, "suffix-changed")  # a plain side, so that Spark can split a text that very many rows have
     body = whole_text(text)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest")
