@@ -31,7 +31,7 @@ RUN = 256
 # Different segments of one anchor in one shard; more are salted over several.
 SHARD_SEGMENTS = 2048
 # Segments of one suffix array: some 300 bytes each.
-ARRAY_SEGMENTS = 8192
+ARRAY_SEGMENTS = 4096
 # Windows that meet in one lookup across shards.
 LOOKUP_WINDOWS = 200_000
 
