@@ -303,3 +303,13 @@ def test_empty_tables_give_no_rows(no_docs, spark):
 def test_empty_benchmark_hits_nothing(docs, texts, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean(docs, none).count() == len(texts)
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op4_winnowing", "op8_quality_rules"])
+def test_sql_twins(spark, name):
+    from tools.compare import difference, duck
+
+    from trendloom.llm.queries import ORACLE_SQL, QUERIES
+
+    expected = duck(FOLDER).execute(ORACLE_SQL[name]).df()
+    assert difference(QUERIES[name](spark, FOLDER).toPandas(), expected) is None
