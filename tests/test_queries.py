@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.compare import difference, duck
+from trendloom.plans.oracle import oracle
 from trendloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TWINS = entry.oracle_sql()
+TWINS = oracle()
 
 
 @pytest.fixture(scope="module")
