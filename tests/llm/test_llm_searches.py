@@ -280,6 +280,26 @@ def test_shards_of_odd_and_heavy_rows(docs, texts, spark, monkeypatch):
     assert by_size["shard"].nunique() == 4
 
 
+def test_copies_of_one_text_stay_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FINISH_ROWS", 60)
+    read, finish = [], sharding.finish
+
+    def counted(points, nodes, slack):
+        keep = F.lit(False)
+        for node in nodes:
+            keep |= sharding.in_range(node)
+        read.append(points.filter(keep).count())
+        finish(points, nodes, slack)
+
+    monkeypatch.setattr(sharding, "finish", counted)
+    rows = [(i, "same text") for i in range(3000)] + [(i, f"{i} other words " * (1 + i % 7)) for i in range(3000, 3900)]
+    for docs, shards in ((rows, 24), (rows[:3000], 6)):
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        totals = sharding.sharded(frame, shards=shards).groupBy("shard").agg(F.sum("size").alias("size")).toPandas()["size"]
+        assert len(totals) == shards and totals.max() - totals.min() <= 0.1 * totals.mean()
+    assert read and max(read) <= 60
+
+
 # Empty tables
 
 

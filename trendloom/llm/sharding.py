@@ -28,7 +28,8 @@ TIES = ("content", "point")
 @dataclass
 class Node:
     """A part of the space that takes ``shards`` leaves. ``cut`` holds values of ``order``: rows whose leading values
-    are below go left."""
+    are below go left. The cut lies in ``low`` to ``high`` of the next key, a range that holds ``rows`` rows of weight
+    ``held``, with ``below`` before it; ``text_edges`` are the weights before and after the one text that is left."""
 
     shards: int
     path: int = 1
@@ -38,7 +39,9 @@ class Node:
     low: int = 0
     high: int = 0
     below: int = 0
+    held: int = 0
     rows: int = 0
+    text_edges: tuple[int, ...] = ()
     bounds: dict[str, tuple[int, int]] = field(default_factory=dict)
     left: Node | None = None
     right: Node | None = None
@@ -112,9 +115,17 @@ def in_range(node: Node) -> Column:
     return inside
 
 
+def next_key(node: Node) -> None:
+    """A range of one value hands over to the next key, so that the copies of a text are told apart by their row."""
+    while node.low == node.high and len(node.cut) + 1 < len(node.order):
+        node.cut = (*node.cut, node.low)
+        node.low, node.high = node.bounds[node.order[len(node.cut)]]
+        if node.order[len(node.cut)] == "point":
+            node.text_edges = (node.below, node.below + node.held)
+
+
 def narrow(points: DataFrame, nodes: list[Node]) -> None:
-    """One histogram pass: every node's range becomes the bucket in which its weight passes the target. A range of one
-    value hands over to the next key."""
+    """One histogram pass: every node's range becomes the bucket in which its weight passes the target."""
     bucket, widths = F.lit(None).cast("long"), {}
     for node in nodes:
         widths[node.path] = width = -(-(node.high - node.low + 1) // BUCKETS)
@@ -126,14 +137,12 @@ def narrow(points: DataFrame, nodes: list[Node]) -> None:
         sums.setdefault(r.path, []).append((r.bucket, r.size, r.rows))
     for node in nodes:
         buckets, width = sorted(sums[node.path]), widths[node.path]
-        for b, size, node.rows in buckets:
-            if node.below + size >= node.target or b == buckets[-1][0]:
+        for b, node.held, node.rows in buckets:
+            if node.below + node.held >= node.target or b == buckets[-1][0]:
                 node.low, node.high = node.low + b * width, min(node.high, node.low + (b + 1) * width - 1)
                 break
-            node.below += size
-        if node.low == node.high and len(node.cut) + 1 < len(node.order):
-            node.cut = (*node.cut, node.low)
-            node.low, node.high = node.bounds[node.order[len(node.cut)]]
+            node.below += node.held
+        next_key(node)
 
 
 def finish(points: DataFrame, nodes: list[Node], slack: float) -> None:
@@ -154,6 +163,10 @@ def finish(points: DataFrame, nodes: list[Node], slack: float) -> None:
             weight += row[-1]
         after = (abs(weight - node.target), (*keyed[-1][:-2], keyed[-1][-2] + 1))
         between.append(after)
+        if node.text_edges:  # all rows left are of one text, whose edges may lie outside
+            points_of_cut = (node.bounds["point"][0], node.bounds["point"][1] + 1)
+            within += between
+            between = [(abs(w - node.target), (*node.cut, p)) for w, p in zip(node.text_edges, points_of_cut, strict=True)]
         best = min(between + within)
         text_edge = min(between)
         node.cut = text_edge[1] if text_edge[0] <= best[0] + slack else best[1]
@@ -165,8 +178,9 @@ def find_cuts(points: DataFrame, tree: Node, open_nodes: list[Node], leaf_bytes:
     spans = {c: max(1, tree.bounds[c][1] - tree.bounds[c][0]) for c in DIMENSIONS}
     for node in open_nodes:
         widest = max(DIMENSIONS, key=lambda c: (node.bounds[c][1] - node.bounds[c][0]) / spans[c])
-        node.order, node.cut, node.below = (widest, *TIES), (), 0
+        node.order, node.cut, node.below, node.held = (widest, *TIES), (), 0, node.total
         node.low, node.high = node.bounds[widest]
+        next_key(node)
     points = points.withColumn("path", tree.leaf_path())
     few = FINISH_ROWS // len(open_nodes)
     while wide := [n for n in open_nodes if n.rows > few and n.high > n.low]:
