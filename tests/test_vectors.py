@@ -199,6 +199,25 @@ def test_euclidean_members_belong_to_the_nearest_center(rows):
         assert int(r["cluster_id"]) == int(((centers - unit) ** 2).sum(axis=1).argmin())
 
 
+def test_euclidean_takes_the_best_of_ten_starts(rows, monkeypatch):
+    runs, costs = [], []
+
+    class Recorded(clustering.KMeans):
+        def fit(self, frame):
+            model = super().fit(frame)
+            runs.append((self.getSeed(), self.getMaxIter()))
+            costs.append(model.summary.trainingCost)
+            return model
+
+    monkeypatch.setattr(clustering, "KMeans", Recorded)
+    frame = table(rows, RNG.normal(size=(60, 4)))
+    assert clustering.kmeans(frame, 8, "euclidean").fit == -min(costs)
+    assert runs == [(42 + i, 300) for i in range(10)]
+    runs.clear()
+    clustering.kmeans(frame, 8, "cosine", max_iter=1)
+    assert runs == [(42, 0)]
+
+
 def test_cosine_centroids_are_means_of_raw_vectors(rows):
     points = RNG.normal(size=(90, 4)) * RNG.uniform(0.1, 9, size=(90, 1))
     found = clustering.kmeans(table(rows, points), 4, "cosine", starts=2, max_iter=200)

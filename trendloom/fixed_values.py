@@ -56,6 +56,7 @@ CLUSTER_MIN = 7
 CLUSTER_MAX = 20
 TICKETS_PER_CLUSTER = 12
 KMEANS_MAX_ITER = 20
+KMEANS_RUNS = {"euclidean": (10, 300), "cosine": (1, KMEANS_MAX_ITER)}  # starts and most rounds of each measure
 KMEANS_SEED = 42
 EMBEDDING_DIM = 1536
 

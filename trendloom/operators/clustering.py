@@ -50,15 +50,20 @@ class Clustering:
 
 
 def kmeans(
-    rows: DataFrame, k: int, measure: str = "cosine", seed: int = V.KMEANS_SEED, starts: int = 1,
-    max_iter: int = V.KMEANS_MAX_ITER, vector: str = "embedding",
+    rows: DataFrame, k: int, measure: str = "cosine", seed: int = V.KMEANS_SEED, starts: int | None = None,
+    max_iter: int | None = None, vector: str = "embedding",
 ) -> Clustering:
     """K-Means of the usable vectors, the best of several seeded starts. Clusters are numbered from 0.
 
+    Starts and rounds that are not given are those of the original: 10 and at most 300 for ``euclidean``, 1 and at most
+    20 for ``cosine``.
     ``euclidean`` is K-Means of the vectors on unit length; centroids are means of unit vectors.
     ``cosine`` assigns by cosine, centroids are means of the vectors as they are; it starts from seeds that are spread
     in the same way and then takes one uncached scan per round.
     """
+    default_starts, default_rounds = V.KMEANS_RUNS[measure]
+    starts = default_starts if starts is None else starts
+    max_iter = default_rounds if max_iter is None else max_iter
     dense = rows.select(array_to_vector(vectors.as_doubles(F.col(vector))).alias("_raw"))
     unit = Normalizer(inputCol="_raw", outputCol="_v").transform(dense).select("_v")
     unit = unit.persist(StorageLevel.MEMORY_AND_DISK)

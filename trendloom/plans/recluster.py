@@ -20,7 +20,7 @@ from ..sources.store import BASE, TicketStore
 
 def build_clusters(
     tickets: DataFrame, as_of: Column, k: int | None = None, measure: str = "cosine", rule: str = "rolling_closed",
-    model: models.Model | None = None, starts: int = 1, score: str = "cosine", old: SmallVectors | None = None,
+    model: models.Model | None = None, starts: int | None = None, score: str = "cosine", old: SmallVectors | None = None,
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame] | None:
     """(clusters, members) of all tickets with a usable vector, or None when there are too few.
