@@ -49,6 +49,25 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them_back(one_each):
     assert spans[6] == "assign:0:38"
 
 
+def test_made_up_words_speak_for_their_piece_alone(one_each):
+    value = "q8Zr2LxV0pTn5KcW7mYs3HdB1gFj6AaE"
+    rows = [
+        (1, f"my_example_key={value}"),
+        (2, f"see /samples/{value} there"),
+        (3, f"{value}xxxx{value}9{value}"),
+        (4, f"key=EXAMPLE{value}"),
+        (5, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ]
+    spans = dict(rows_of(secrets.scan(one_each(rows)), "doc_id", "spans"))
+    stops = {1: 47, 2: 45, 3: 101}
+    for i, stop in stops.items():
+        kind, start, end = spans[i].split(":")
+        assert kind == "entropy_base64" and int(start) <= stop - 32 and int(end) == stop
+    assert spans[4] == spans[5] == ""
+    masked = dict(rows_of(secrets.redacted(one_each(rows)), "doc_id", "text"))
+    assert not any(value in masked[i] for i in (1, 2, 3))
+
+
 def entropy(window):
     shares = np.array([window.count(c) for c in set(window)]) / len(window)
     return float(-(shares * np.log2(shares)).sum())

@@ -34,10 +34,13 @@ ALLOWED = (
     r"^[A-Za-z]+$",  # one word without digits or marks
     r"^[0-9+/_=-]+$",  # numbers, dates, rules
     r"^[A-Za-z]+(?:[-_/+=]+[A-Za-z]+)*[-_/+=]*[0-9]{0,6}$",  # words joined by marks, as in paths and names
-    r"(?i)example|sample|dummy|placeholder|xxxx|0123456789|abcdefghij",
     r"^(?:[0-9a-fA-F]{8}-)(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUIDs
     r"(?i)^(?:sha(?:1|256|384|512)|md5)[-_=]",  # checksums that say so
 )
+# Words of made-up values. One speaks for the piece it is in, not for what stands beside it in a name, path or long string.
+MADE_UP = r"(?i)example|sample|dummy|placeholder|xxxx|0123456789|abcdefghij"
+# Longer pieces are judged by their windows alone: a random string of that length holds such a word by chance.
+MADE_UP_LETTERS = 64
 
 SPAN = "array<struct<start:bigint,kind_order:int,stop:bigint,kind:string>>"
 
@@ -127,6 +130,18 @@ def hot_stretch(value: Column, letters: str, window: int, least_bits: float) ->
     )
 
 
+def without_made_up(value: Column) -> Column:
+    """The candidate with every piece between = and / that holds a made-up word replaced by one repeated letter, so that
+    no window of it is hot and all places stay."""
+    pieces = F.transform(
+        F.split(value, "(?<=[=/])|(?=[=/])", -1),
+        lambda p: F.when(
+            p.rlike(MADE_UP) & (F.length(p) <= MADE_UP_LETTERS), F.rpad(F.lit("a"), F.length(p), F.lit("a"))
+        ).otherwise(p),
+    )
+    return F.when(value.rlike(MADE_UP), F.array_join(pieces, "")).otherwise(value)
+
+
 def entropy_spans(text: Column) -> list[Column]:
     """Spans of each character class: the stretch of hot windows of every candidate that the allow-list does not name."""
 
@@ -134,6 +149,7 @@ def entropy_spans(text: Column) -> list[Column]:
         candidate = "[" + letters.replace("-", r"\-") + "]{" + str(window) + ",}"
         allowed = lambda m: reduce(lambda a, b: a | b, [m["value"].rlike(p) for p in ALLOWED])
         found = F.filter(located(text, candidate), lambda m: ~allowed(m))
+        found = F.transform(found, lambda m: F.struct(m["start"], without_made_up(m["value"]).alias("value")))
         measured = F.transform(
             found,
             lambda m: F.struct(m["start"].alias("at"), hot_stretch(m["value"], letters, window, bits).alias("hot")),
