@@ -95,6 +95,19 @@ def test_obfuscated_words_are_restored(reader, typed, meant):
     assert meant in reader.words(f"so {typed}, there")
 
 
+@pytest.mark.parametrize(
+    "typed, meant",
+    [("!diot", "idiot"), ("(!diot!)", "idiot"), ("moron!", "moron"), ("shi+", "shit"), ("a s t u p i d", "stupid"), ("y o u i d i o t", "idiot"), ("y o u  i d i o t", "idiot")],
+)
+def test_edge_marks_and_spacing_are_left_to_the_lattice(reader, typed, meant):
+    assert meant in reader.words(f"so {typed} there")
+
+
+def test_numbers_and_punctuation_stay(reader):
+    for typed, kept in (("100", "100"), ("10000", "10000"), ("(1)", "1"), ("$100", "$100"), ("!!!", ""), ("...", ""), ("|", "")):
+        assert reader.word(typed) == kept
+
+
 def test_plain_words_stay(reader):
     assert reader.words("The attion, of Größe (and) 2019!") == {"the", "attion", "of", "größe", "and", "2019"}
 

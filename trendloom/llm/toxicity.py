@@ -31,17 +31,27 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
+MARKS = "".join(c for c in STANDS_FOR if not c.isdigit())
 SEPARATORS = ".-_*'~`^,:;/\\ ​­"
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$") + "«»“”„‘’…–—¿·•"
 
 # Costs of the channel, as negative logs: a letter typed as itself costs nothing.
 SUBSTITUTED = 1.5
 DROPPED = 0.7
+# A mark that stands for a letter, at the edge of a word; a bracket before and "!$@" after are common there.
+DROPPED_AT_EDGE, PUNCTUATION = 3.5, 0.0
 REPEATED = 0.7
 # A mark or digit that stays costs more than one that is read as a letter or dropped.
 LEFT_AS_IS = 6.0
-
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?![^\W_])")
+# A token without letters may mean itself; it costs this much for each digit and mark that differs from the one before.
+DIGIT_ITSELF, MARK_ITSELF = 2.5, 5.0
+# Between spaced letters a word may end; at one space that costs more than at two. Staying in the word is free, which
+# the character model favours: it pays for an end and a beginning. So an end has a discount.
+GAPS = {"\x01": -3.0, "\x02": -5.5}
+
+SPACED_LETTER = r"(?:[^\W_]|[@$!|+(€£¡])"
+SPACED = re.compile(rf"(?<![^\W_])(?:{SPACED_LETTER}[ .\-_*]{{1,2}}){{2,}}{SPACED_LETTER}(?![^\W_])")
+GAP = re.compile(r"[ .\-_*]+")
 TRIPLED = re.compile(r"(.)\1\1", re.DOTALL)
 
 CLASSES = 30
@@ -94,25 +104,46 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log((cube + weight * after_one[None]) / (cube.sum(axis=2, keepdims=True) + weight))
 
 
-def restore(token: str, costs: list) -> str:
+def typed_cost(token: str) -> float:
+    """Cost of digits and marks that mean themselves."""
+    new = [c for before, c in zip(" " + token, token, strict=False) if c != before]
+    return sum(DIGIT_ITSELF if letter_class(c) == DIGIT else MARK_ITSELF for c in new)
+
+
+def spaced(run: str) -> str:
+    """A run of spaced letters with a gap mark between them."""
+    return GAP.sub(lambda m: "\x01" if len(m[0]) == 1 else "\x02", run)
+
+
+def restore(token: str, costs: list, typed: str | None = None) -> str:
     """Likeliest letters behind an obfuscated token.
 
-    The lattice offers for each character: itself if a letter, the letters it stands for, nothing if it is a separator
-    or repeats the one before, and itself at a high cost. Viterbi keeps the cheapest way for every pair of last classes
+    The lattice offers for each character: itself if a letter, the letters it stands for, nothing if it is a separator,
+    a mark or repeats the one before, and itself at a high cost; at a gap, that a word ends there. A token without
+    letters stays as ``typed`` unless a word is likelier. Viterbi keeps the cheapest way for every pair of last classes
     and last character read.
     """
     states = {(BOUNDARY, BOUNDARY, ""): (0.0, None)}
-    for letter in token:
+    inner = token.strip(MARKS)
+    first = token.find(inner) if inner else 0
+    for at, letter in enumerate(token):
+        dropped = DROPPED
+        if not first <= at < first + len(inner):
+            common = "(" if at < first else "!$@" if inner else ""
+            dropped = PUNCTUATION if letter in common else DROPPED_AT_EDGE
         following: dict = {}
         substitutes = STANDS_FOR.get(letter, "")
+        gap = GAPS.get(letter)
         for (a, b, last), (cost, way) in states.items():
             options = [(s, SUBSTITUTED, s) for s in substitutes]
-            if letter.isalpha():
+            if gap is not None:
+                options += [("", 0.0, last), (" ", gap, "")]
+            elif letter.isalpha():
                 options.append((letter, 0.0, letter))
             else:
                 options.append((letter, LEFT_AS_IS, letter))
-                if letter in SEPARATORS or letter in "!|$@+(":
-                    options.append(("", DROPPED, last))
+                if letter in SEPARATORS or (substitutes and not letter.isdigit()):
+                    options.append(("", dropped, last))
             if last and (letter == last or last in substitutes):
                 options.append(("", REPEATED, last))
             for out, price, read in options:
@@ -122,9 +153,12 @@ def restore(token: str, costs: list) -> str:
                 if key not in following or total < following[key][0]:
                     following[key] = (total, (way, out) if out else way)
         states = following
-    _, way = min(
-        ((cost + costs[a][b][BOUNDARY], way) for (a, b, _), (cost, way) in states.items()), key=lambda x: x[0]
-    )
+    ends = [
+        (cost + costs[a][b][BOUNDARY], way) for (a, b, _), (cost, way) in states.items() if typed is None or b != BOUNDARY
+    ]
+    best, way = min(ends, key=lambda x: x[0], default=(math.inf, None))
+    if typed is not None and best >= typed_cost(typed or token):
+        return typed
     letters = []
     while way:
         way, out = way
@@ -144,14 +178,14 @@ class Reader:
     def word(self, token: str) -> str:
         found = self.cache.get(token)
         if found is None:
-            found = token.strip(EDGES)
-            if not found.isalpha():
-                while found and found[-1] in "$@" and found[-2:-1] in "$@" and len(found) > 1:
-                    found = found[:-1]  # a run of marks at the end is decoration
-                found = found.strip(EDGES)
-            plain = found.isalpha() and not TRIPLED.search(found)
-            if found and not plain and any(c.isalpha() for c in found):
-                found = restore(found, self.costs)
+            core = token.strip(EDGES)
+            first = token.find(core) if core else len(token)
+            before, after = token[:first], token[first + len(core) :]
+            # Marks around the word that stand for letters are left to the lattice, which may read or drop them.
+            found = "".join(c for c in before if c in STANDS_FOR) + core + "".join(c for c in after if c in STANDS_FOR)
+            letters = any(c.isalpha() for c in found)
+            if found and (not found.isalpha() or TRIPLED.search(found)):
+                found = restore(found, self.costs, None if letters else core)
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
             if len(token) <= 64:
@@ -159,11 +193,13 @@ class Reader:
         return found
 
     def words(self, text: str) -> set[str]:
-        """Distinct restored words of a text. Letters that are spaced out are read as one word as well."""
+        """Distinct restored words of a text. Letters that are spaced out are read as words as well: as one, and as those
+        that the lattice finds."""
         lower = text.lower()
         out = {self.word(t) for t in set(lower.split())}
         for match in SPACED.finditer(lower):
-            out.add(restore("".join(c for c in match[0] if c not in " .-_*"), self.costs))
+            out.add(restore(GAP.sub("", match[0]), self.costs))
+            out.update(restore(spaced(match[0]), self.costs).split())
         out.discard("")
         return out
 
