@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, decontaminate, html_extract, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, toxicity
+from trendloom.llm import (
+    bpe, decontaminate, fill_middle, html_extract, lexical_search, neighbours, quality_model, quality_rules, secrets, sharding, simhash,
+    suffix_dedup, toxicity,
+)
 from trendloom.llm.common import table
 from trendloom.llm.sql import ORACLE_SQL
 
@@ -59,6 +62,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), every=20)
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.round_trips(table(spark, folder, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # it takes its operators from here
 
@@ -76,5 +91,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_dom_model": op9_dom_model,
     "op10_toxicity": op10_toxicity,
+    "op11_neighbours": op11_neighbours,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }

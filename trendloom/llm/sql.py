@@ -83,4 +83,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM figures
 """
 
-ORACLE_SQL = {"op2_suffix_dedup": OP2, "op4_winnowing": OP4, "op8_quality_rules": OP8}
+# Cuts by units of each text; forms by joining its three parts in their order.
+OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM docs),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(u[greatest(a, b) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+# Scores of all documents that share a term with an item.
+OP13 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM texts WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+postings AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(total) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, corpus GROUP BY term),
+items AS (
+  SELECT DISTINCT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wanted AS (SELECT item_id, w, term, count(*) AS times FROM (SELECT item_id, w, unnest(w) AS term FROM items) GROUP BY item_id, w, term),
+scored AS (
+  SELECT item_id, w.w, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total) // terms)))) AS BIGINT) AS score
+  FROM wanted w JOIN postings USING (term) JOIN weights USING (term) JOIN docs USING (r), corpus GROUP BY item_id, w.w, r),
+placed AS (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id, s.w ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored s JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op2_suffix_dedup": OP2, "op4_winnowing": OP4, "op8_quality_rules": OP8, "op12_fill_in_middle": OP12, "op13_lexical_search": OP13}
