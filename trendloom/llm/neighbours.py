@@ -339,7 +339,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = TOP, key: str = "vec_id"
 
     Scores are products in doubles; equal ones are in the order of ids. Null, zero and not finite vectors and rows
     without id take no part. Vectors meet those of their own length. Of rows with equal id and vector one counts; a query
-    never finds rows of its own id. Other columns are not read. An empty table gives an empty result, fewer than ``k`` candidates give all.
+    never finds rows of its own id, and an id with two vectors asks twice. Other columns are not read. An empty table gives an empty result, fewer than ``k`` candidates give all.
     """
     spark = table.sparkSession
     rows = usable(table, key, vector)
