@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def in_slices(convert: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``convert`` of the columns of an Arrow batch, a few rows at a time: only their Python objects are held at once."""
+    starts = range(0, max(1, len(columns[0])), BATCH_ROWS)
+    return pa.concat_arrays([convert(*(c.slice(at, BATCH_ROWS) for c in columns)) for at in starts])
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import whole_text
+from trendloom.llm.common import in_slices, whole_text
 
 # The sentinels, the seed, and the percentages of texts that are changed and of those in suffix-first form.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -101,6 +101,9 @@ def fill_middle(text: Column, key: Column, **settings: int) -> Column:
 
     @F.arrow_udf(RESULT)
     def transform(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return in_slices(transform_few, texts, keys)
+
+    def transform_few(texts: pa.Array, keys: pa.Array) -> pa.Array:
         made = [transformed(t, k, **settings) for t, k in zip(texts.to_pylist(), keys.to_pylist(), strict=True)]
         n, form, prefix, middle, out = zip(*made, strict=True) if made else ((),) * 5
         fields = {
@@ -117,6 +120,9 @@ def restored(output: Column, form: Column) -> Column:
 
     @F.arrow_udf("binary")
     def restore(outputs: pa.Array, forms: pa.Array) -> pa.Array:
+        return in_slices(restore_few, outputs, forms)
+
+    def restore_few(outputs: pa.Array, forms: pa.Array) -> pa.Array:
         texts = [rearranged(o, f) for o, f in zip(outputs.to_pylist(), forms.to_pylist(), strict=True)]
         return pa.array(texts, pa.binary())
 
