@@ -1,6 +1,7 @@
 """CSV dialects, cleaning rules, ids and dates."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from trendloom import fixed_values as V
 from trendloom.functions import dates, ids, text
 from trendloom.operators import cleaning, ranking
+from trendloom.sources import csv_tickets, quoted_csv
 from trendloom.sources.csv_tickets import canonical_headers, read_ticket_csv
 
 def as_of():
@@ -75,6 +77,66 @@ def test_missing_columns_are_named(csv, content):
         csv(content)
 
 
+def random_csv(rng, rows, end):
+    """Text of a file with quotes, commas, blanks and newlines in odd places."""
+    fields = [
+        "plain", "", " padded ", '"a, b"', f'"two{end}lines"', '"two\r\nlines"', '"say ""hi"""', '"""q"', 'in"side', ' "after blank"', '"x"y',
+        f'"{end}{end}, ""{end}"', "é\U0001f600", '""',
+    ]
+    body = [",".join(rng.choice(fields) for _ in range(rng.choice([1, 3, 3, 3, 4]))) for _ in range(rows)]
+    return end.join(["subject,description,ticket priority", *body, rng.choice(["", "last,one,"])])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_file_with_quoted_newlines_is_read_by_many_tasks(spark, tmp_path, monkeypatch, seed):
+    content = random_csv(random.Random(seed), 300, "\r\n" if seed % 2 else "\n")
+    if seed > 1:  # a field that is longer than many splits
+        content += '\r\n"' + "long\nfield, " * 400 + '",end,\r\nlast,one,'
+    (tmp_path / "t.csv").write_bytes(content.encode())
+    columns = ("subject", "description", "priority")
+    sizes = {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        tasks = quoted_csv.lines_of(spark, str(tmp_path / "t.csv")).select(F.spark_partition_id()).distinct().count()
+        many = values(read_ticket_csv(spark, str(tmp_path / "t.csv")), *columns)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr(csv_tickets, "_line_end", lambda *_: "\r")
+    one = values(read_ticket_csv(spark, str(tmp_path / "t.csv")), *columns)
+    assert tasks >= 8 and len(one) > 200 and many == one
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_states_are_those_of_a_scan_by_letter(seed):
+    rng = random.Random(seed)
+    for _ in range(3000):
+        line = "".join(rng.choice('"", ab') for _ in range(rng.randint(0, 12)))
+        for inside in (False, True):
+            state, i = "quoted" if inside else "start", 0
+            while i < len(line):
+                c = line[i]
+                if state == "quoted" and c == '"':
+                    if line[i + 1 : i + 2] == '"':
+                        i += 1
+                    else:
+                        state = "plain"
+                elif state != "quoted" and c == ",":
+                    state = "start"
+                elif state == "start" and c == '"':
+                    state = "quoted"
+                elif state == "start" and c != " ":
+                    state = "plain"
+                i += 1
+            assert quoted_csv.ends_inside(line, inside) == (state == "quoted"), (line, inside)
+
+
+def test_bare_carriage_returns_end_lines_too(csv):
+    assert values(csv("subject,description\ra,b\rc,d\r"), "subject", "description") == [("a", "b"), ("c", "d")]
+
+
 def test_header_without_rows(csv):
     assert csv("subject\n").count() == 0
 
