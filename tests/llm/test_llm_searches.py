@@ -1,5 +1,7 @@
 """Operators with one right answer, against plain versions."""
 
+import time
+
 import brute
 import numpy as np
 import pytest
@@ -49,23 +51,30 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them_back(one_each):
     assert spans[6] == "assign:0:38"
 
 
-def test_made_up_words_speak_for_their_piece_alone(one_each):
-    value = "q8Zr2LxV0pTn5KcW7mYs3HdB1gFj6AaE"
+RANDOM = "q8Zr2LxV0pTn5KcW7mYs3HdB1gFj6AaE9uRw4Xk2"
+
+
+def test_a_secret_is_found_whole_and_its_neighbours_stay(one_each):
     rows = [
-        (1, f"my_example_key={value}"),
-        (2, f"see /samples/{value} there"),
-        (3, f"{value}xxxx{value}9{value}"),
-        (4, f"key=EXAMPLE{value}"),
+        (1, f"my_example_key={RANDOM}"),
+        (2, f"see /samples/{RANDOM} there"),
+        (3, f"{RANDOM}xxxx{RANDOM}9{RANDOM}"),
+        (4, f"key=EXAMPLE{RANDOM}"),
         (5, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+        (6, f"my-sample-key-{RANDOM}"),
+        (7, f"my_example_{RANDOM}/etc/{RANDOM}=="),
+        (8, "/usr/lib/python3/dist-packages/foo_bar2/some-module_name3/thing"),
+        (9, f"q8Zr2LxV0pTn/5KcW7mYs3HdB_1gFj6AaE9uR in {'a' * 30}"),
+        (10, "https://host/2024-01-02/reports/123e4567-e89b-12d3-a456-426614174000/Annual_Overview-2023_v2"),
     ]
     spans = dict(rows_of(secrets.scan(one_each(rows)), "doc_id", "spans"))
-    stops = {1: 47, 2: 45, 3: 101}
-    for i, stop in stops.items():
-        kind, start, end = spans[i].split(":")
-        assert kind == "entropy_base64" and int(start) <= stop - 32 and int(end) == stop
-    assert spans[4] == spans[5] == ""
+    assert spans[1] == "entropy_base64:15:55" and spans[2] == "entropy_base64:13:53" and spans[3] == "entropy_base64:0:125"
+    assert spans[4] == spans[5] == spans[8] == spans[10] == ""
+    assert spans[6] == "entropy_base64:14:54" and spans[7] == "entropy_base64:11:51,entropy_base64:56:98"
+    assert spans[9] == "entropy_base64:0:37"
     masked = dict(rows_of(secrets.redacted(one_each(rows)), "doc_id", "text"))
-    assert not any(value in masked[i] for i in (1, 2, 3))
+    assert masked[2] == "see /samples/[secret] there" and masked[6] == "my-sample-key-[secret]"
+    assert not any(RANDOM[i : i + 6] in masked[r] for r in (1, 2, 3, 6, 7) for i in range(len(RANDOM) - 5))
 
 
 def entropy(window):
@@ -74,11 +83,42 @@ def entropy(window):
 
 
 def test_incremental_entropy_is_the_entropy_of_every_window(spark):
-    value = "aB3" * 6 + "q8Zr2LxV0pTn5KcW7mYs3HdB1gFj6AaE" + "zz" * 14
-    hot = [i for i in range(len(value) - 23) if entropy(value[i : i + 24]) >= 4.0]
-    frame = spark.createDataFrame([(value,)], "v string")
-    got = frame.select(secrets.hot_stretch(F.col("v"), secrets.BASE64_LETTERS, 24, 4.0).alias("h")).first().h
-    assert (got["first"], got["last"]) == (hot[0], hot[-1] + 24)
+    rng = np.random.default_rng(8)
+    letters = np.array(list(secrets.BASE64_LETTERS))
+    values = ["".join(rng.choice(letters[: rng.integers(8, 40)], rng.integers(24, 90))) for _ in range(400)]
+    values.append("aB3" * 6 + RANDOM + "zz" * 14)
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r.h for r in frame.select(secrets.hot(F.col("v"), secrets.BASE64_LETTERS, 24, 4.0).alias("h")).collect()]
+    expected = [any(entropy(v[i : i + 24]) >= 4.0 - 1e-10 for i in range(len(v) - 23)) for v in values]
+    assert got == expected and 50 < sum(expected) < 350
+
+
+def test_windows_across_parts_are_scanned(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PART_LETTERS", 25)
+    frame = spark.createDataFrame([("z" * 13 + RANDOM[:24] + "z" * 7,), ("z" * 50,), ("abc",), (RANDOM[:24],)], "v string")
+    parts = [r.p for r in frame.select(secrets.overlapping(F.col("v"), 24).alias("p")).collect()]
+    assert all(any(v[i : i + 24] in x for x in p) for (v,), p in zip(frame.collect(), parts) for i in range(max(1, len(v) - 23)))
+
+
+def test_long_candidates_take_time_in_proportion(one_each):
+    rng = np.random.default_rng(4)
+    letters = np.array(list(secrets.BASE64_LETTERS))
+    seconds = []
+    for n in (20_000, 200_000, 2_000_000):
+        cold = "ab12" * (n // 4)  # no window is hot, so all are scanned
+        rows = [(1, "".join(rng.choice(letters, n))), (2, cold + "+"), (3, "/lib_x" * (n // 6))]
+        started = time.perf_counter()
+        spans = dict(rows_of(secrets.scan(one_each(rows)), "doc_id", "spans"))
+        seconds.append(time.perf_counter() - started)
+        assert spans[1].startswith("entropy_base64:") and spans[2] == spans[3] == ""
+    print(seconds)
+    assert seconds[2] - seconds[0] < 20 * max(seconds[1] - seconds[0], 2)
+
+
+def test_columns_of_the_same_names_stay(spark):
+    rows = [(1, "a password=abcdefgh1 b", "own", "own", "own", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string, base string, entropy string, n_chars long")
+    assert [tuple(r) for r in secrets.redacted(docs).collect()] == [(1, "a [secret] b", "own", "own", "own", 12)]
 
 
 def test_redaction_replaces_spans_and_keeps_the_rest(one_each):

@@ -43,6 +43,14 @@ def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name of a helper column that the table does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """256-bit digest of the columns: rows with the same values share it. Null and empty differ."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.arrays import running_sums
-from trendloom.llm.common import sha256_of, whole_text
+from trendloom.llm.common import sha256_of, unused, whole_text
 
 # The patterns of the base scan, the group that is measured, and its least length. Kinds are listed in
 # the order in which spans that start together are given.
@@ -33,14 +34,20 @@ ENTROPY_KINDS = (
 ALLOWED = (
     r"^[A-Za-z]+$",  # one word without digits or marks
     r"^[0-9+/_=-]+$",  # numbers, dates, rules
-    r"^[A-Za-z]+(?:[-_/+=]+[A-Za-z]+)*[-_/+=]*[0-9]{0,6}$",  # words joined by marks, as in paths and names
     r"^(?:[0-9a-fA-F]{8}-)(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUIDs
     r"(?i)^(?:sha(?:1|256|384|512)|md5)[-_=]",  # checksums that say so
 )
-# Words of made-up values. One speaks for the piece it is in, not for what stands beside it in a name, path or long string.
+UUID = r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
+# Separators cut a candidate into pieces; what reads as a word or a number is no part of a secret.
+SEPARATOR = "[=/_-]"
+WORD = r"^(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,}){0,5}|[a-z]{1,2}|[A-Z]+)?[0-9]{0,4}$|^[0-9]+$"
+# Words of made-up values. One speaks for its piece, when that is at most so many times as long: a random string of any
+# length holds such a word by chance.
 MADE_UP = r"(?i)example|sample|dummy|placeholder|xxxx|0123456789|abcdefghij"
-# Longer pieces are judged by their windows alone: a random string of that length holds such a word by chance.
-MADE_UP_LETTERS = 64
+MADE_UP_SHARE = 8
+
+# Strings are scanned in parts of so many letters, each with a window's rest of the next one.
+PART_LETTERS = 4096
 
 SPAN = "array<struct<start:bigint,kind_order:int,stop:bigint,kind:string>>"
 
@@ -86,100 +93,113 @@ def base_spans(text: Column) -> list[Column]:
     return [spans(order, *rule) for order, rule in enumerate(BASE_KINDS)]
 
 
-def hot_stretch(value: Column, letters: str, window: int, least_bits: float) -> Column:
-    """(first, last) of the windows whose entropy reaches the bound: start of the first one, end of the last; null if
-    there is none.
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def overlapping(value: Column, window: int) -> Column:
+    """Parts of the string that hold every window of it."""
+    parts = F.regexp_extract_all(value, F.lit(f".{{1,{PART_LETTERS}}}"), F.lit(0))
+    return bind(
+        parts,
+        lambda p: F.zip_with(
+            p, F.concat(F.slice(p, F.lit(2), F.size(p)), F.array(F.lit(""))), lambda own, following: F.concat(own, F.substring(following, 1, window - 1))
+        ),
+    )
 
-    One pass over the letters. The state holds the count of each letter in the window and the sum of c log2 c over
-    them; a letter that enters or leaves changes one count and one term. Entropy is log2(window) - sum / window.
+
+def hot(value: Column, letters: str, window: int, least_bits: float) -> Column:
+    """Whether a window of the string reaches the entropy.
+
+    One pass over the letters, whose places in ``letters`` are found once. The state holds the count of each letter in
+    the window, a character for each, and the sum of c log2 c over them; a letter that enters or leaves changes one
+    character and one term. Entropy is log2(window) - sum / window.
     """
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     most_sum = window * (math.log2(window) - least_bits) + 1e-9
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(letters)).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(None).cast("bigint").alias("first"),
-        F.lit(None).cast("bigint").alias("last"),
-    )
+    zero = ord("0")
+    start = F.struct(F.lit("0" * len(letters)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(False).alias("hot"))
+    count = lambda counts, place: F.ascii(F.substring(counts, place, F.lit(1))) - zero
+    put = lambda counts, place, c: F.overlay(counts, F.char(c + zero), place, F.lit(1))
 
-    def step(state: Column, i: Column) -> Column:
-        entering = F.instr(F.lit(letters), F.substring(value, i + 1, F.lit(1)))
-        leaving = F.when(i >= window, F.instr(F.lit(letters), F.substring(value, i - window + 1, F.lit(1)))).otherwise(0)
-        after_leaving = F.when(
-            leaving > 0,
-            state["sum"]
-            - F.get(terms, F.get(state["counts"], leaving - 1))
-            + F.get(terms, F.get(state["counts"], leaving - 1) - 1),
-        ).otherwise(state["sum"])
-        there = F.get(state["counts"], entering - 1) - F.when(entering == leaving, 1).otherwise(0)
-        total = after_leaving - F.get(terms, there) + F.get(terms, there + 1)
-        hot = (i >= window - 1) & (total <= most_sum)
-        counts = F.transform(
-            state["counts"],
-            lambda c, k: c + F.when(k == entering - 1, 1).otherwise(0) - F.when(k == leaving - 1, 1).otherwise(0),
-        )
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(hot & state["first"].isNull(), (i - window + 1).cast("bigint")).otherwise(state["first"]).alias("first"),
-            F.when(hot, (i + 1).cast("bigint")).otherwise(state["last"]).alias("last"),
-        )
+    def enter(state: Column, place: Column, full: Column) -> Column:
+        def counted(c: Column) -> Column:
+            total = state["sum"] - F.get(terms, c) + F.get(terms, c + 1)
+            return F.struct(put(state["counts"], place, c + 1).alias("counts"), total.alias("sum"), (state["hot"] | (full & (total <= most_sum))).alias("hot"))
 
-    return F.aggregate(
-        F.sequence(F.lit(0), F.length(value) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))
-    )
+        return bind(count(state["counts"], place), counted)
 
+    def leave(state: Column, place: Column) -> Column:
+        def counted(c: Column) -> Column:
+            total = state["sum"] - F.get(terms, c) + F.get(terms, c - 1)
+            return F.struct(put(state["counts"], place, c - 1).alias("counts"), total.alias("sum"), state["hot"].alias("hot"))
 
-def without_made_up(value: Column) -> Column:
-    """The candidate with every piece between = and / that holds a made-up word replaced by one repeated letter, so that
-    no window of it is hot and all places stay."""
-    pieces = F.transform(
-        F.split(value, "(?<=[=/])|(?=[=/])", -1),
-        lambda p: F.when(
-            p.rlike(MADE_UP) & (F.length(p) <= MADE_UP_LETTERS), F.rpad(F.lit("a"), F.length(p), F.lit("a"))
-        ).otherwise(p),
-    )
-    return F.when(value.rlike(MADE_UP), F.array_join(pieces, "")).otherwise(value)
+        return bind(count(state["counts"], place), counted)
+
+    def scan(places: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            left = F.when(state["hot"] | (i < window), state).otherwise(leave(state, F.get(places, i - window)))
+            return F.when(state["hot"], state).otherwise(bind(left, lambda rest: enter(rest, F.get(places, i), i >= window - 1)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda state: state["hot"])
+
+    return bind(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(letters), c)), scan)
+
+
+def without_words(value: Column) -> Column:
+    """The candidate with blanks in place of UUIDs, words, numbers and made-up pieces, so that all places stay."""
+    made_up = lambda p: MADE_UP_SHARE * (F.length(p) - F.length(F.regexp_replace(p, MADE_UP, ""))) >= F.length(p)
+    word = lambda p: p.rlike(WORD) | (p.rlike(MADE_UP) & made_up(p))
+    plain = F.regexp_replace(value, UUID, " " * 36)
+    pieces = F.split(plain, f"(?<={SEPARATOR})|(?={SEPARATOR})", -1)
+    return F.array_join(F.transform(pieces, lambda p: F.when(word(p), F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
 
 
 def entropy_spans(text: Column) -> list[Column]:
-    """Spans of each character class: the stretch of hot windows of every candidate that the allow-list does not name."""
+    """Spans of each character class: every stretch of a candidate between words that holds a hot window, whole."""
 
     def spans(order: int, kind: str, letters: str, window: int, bits: float) -> Column:
-        candidate = "[" + letters.replace("-", r"\-") + "]{" + str(window) + ",}"
+        own = "[" + letters.replace("-", r"\-") + "]"
+        candidate = own + "{" + str(window) + ",}"
+        # A stretch neither begins nor ends with a separator, but for the padding of base64.
+        stretch = f"(?!{SEPARATOR})" + own + "{" + str(window - 1) + ",}(?:=|(?<!" + SEPARATOR + "))"
         allowed = lambda m: reduce(lambda a, b: a | b, [m["value"].rlike(p) for p in ALLOWED])
         found = F.filter(located(text, candidate), lambda m: ~allowed(m))
-        found = F.transform(found, lambda m: F.struct(m["start"], without_made_up(m["value"]).alias("value")))
-        measured = F.transform(
-            found,
-            lambda m: F.struct(m["start"].alias("at"), hot_stretch(m["value"], letters, window, bits).alias("hot")),
-        )
-        hot = F.transform(
-            F.filter(measured, lambda m: m["hot"]["first"].isNotNull()),
-            lambda m: F.struct((m["at"] + m["hot"]["first"]).alias("start"), (m["at"] + m["hot"]["last"]).alias("stop")),
+        stretches = F.flatten(
+            F.transform(
+                found,
+                lambda m: F.transform(
+                    bind(without_words(m["value"]), lambda v: located(v, stretch)),
+                    lambda s: F.struct((m["start"] + s["start"]).alias("start"), (m["start"] + s["stop"]).alias("stop"), s["value"].alias("value")),
+                ),
+            )
         )
-        return F.when(text.rlike(candidate), as_spans(hot, order, kind)).otherwise(F.array().cast(SPAN))
+        long_ones = F.filter(stretches, lambda s: F.length(s["value"]) >= window)
+        hot_ones = F.filter(long_ones, lambda s: F.exists(overlapping(s["value"], window), lambda p: hot(p, letters, window, bits)))
+        return F.when(text.rlike(candidate), as_spans(hot_ones, order, kind)).otherwise(F.array().cast(SPAN))
 
     return [spans(order, *rule) for order, rule in enumerate(ENTROPY_KINDS, start=len(BASE_KINDS))]
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns, with ``secrets``: spans (start, kind_order, stop, kind) in code points, by start and kind.
+def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
+    """All rows and columns, with ``into``: spans (start, kind_order, stop, kind) in code points, by start and kind.
 
     Base spans always stay. An entropy span is added unless a base span or an entropy span of an earlier class holds
-    all of it. A null or empty text has no spans; repeated rows are scanned alike; a column ``secrets`` is replaced.
+    all of it. A null or empty text has no spans; repeated rows are scanned alike; a column named ``into`` is replaced,
+    all others stay as they are.
     """
     body = whole_text(text)
-    base = F.concat(*base_spans(body))
-    found = docs.withColumn("__base", base).withColumn("__entropy", F.concat(*entropy_spans(body)))
-    known = F.concat("__base", "__entropy")
+    base, entropy = unused(docs, "base"), unused(docs, "entropy")
+    found = docs.withColumn(base, F.concat(*base_spans(body))).withColumn(entropy, F.concat(*entropy_spans(body)))
+    known = F.concat(base, entropy)
     added = F.filter(
-        "__entropy",
+        entropy,
         lambda e: ~F.exists(
             known, lambda b: (b["kind_order"] < e["kind_order"]) & (b["start"] <= e["start"]) & (b["stop"] >= e["stop"])
         ),
     )
-    return found.withColumn("secrets", F.array_sort(F.concat("__base", added))).drop("__base", "__entropy")
+    return found.withColumn(into, F.array_sort(F.concat(base, added))).drop(base, entropy)
 
 
 def listed(spans: Column) -> Column:
@@ -204,10 +224,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """All rows and columns; every stretch of spans in the text is replaced by the mask, and n_chars, where there is such
     a column, follows. Texts without spans stay as they are, null included."""
-    found = find_secrets(docs)
+    spans = unused(docs, "spans")
+    found = find_secrets(docs, into=spans)
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     cut = F.aggregate(
-        "secrets",
+        spans,
         state,
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
@@ -222,8 +243,8 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))),
         lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))),
     )
-    out = found.withColumn("text", F.when(F.size("secrets") > 0, cut).otherwise(F.col("text")))
+    out = found.withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
