@@ -8,6 +8,7 @@ the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trendloom.llm import bpe, decontaminate, secrets, simhash, toxicity
 from trendloom.llm.common import stored, table
@@ -37,7 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents with their token ids (packed, four bytes each), the text that these decode to, and their number."""
     coded = bpe.round_trip(docs, vocabulary_path())
-    return coded.selectExpr("*", "cast(octet_length(bpe_ids) / 4 as bigint) AS n_tokens")
+    return coded.withColumn("n_tokens", F.expr("cast(octet_length(bpe_ids) / 4 as bigint)"))
 
 
 STAGES = [
