@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import vectors
-from trendloom.operators import clustering, similarity
+from trendloom.operators import clustering, similarity, vector_index
 from trendloom.operators.similarity import SmallVectors
 
 RNG = np.random.default_rng(7)
@@ -105,13 +105,73 @@ def test_strict_threshold(rows):
     assert similarity.find_similar(tickets, [1.0, 0.0], 0.0, 1).count() == 1
 
 
-def test_approximate_is_a_subset_of_exact(rows):
-    matrix = RNG.normal(size=(200, 16))
-    tickets = table(rows, matrix)
-    exact = {f"t{i:04d}": cosine(matrix[0], v) for i, v in enumerate(matrix)}
-    got = similarity.approximate_similar(tickets, list(matrix[0]), 10, 0.2).collect()
-    assert got and got[0]["id"] == "t0000"
-    assert all(math.isclose(r["similarity"], exact[r["id"]], abs_tol=1e-6) for r in got)
+def grouped(groups, each, dim, spread=0.15):
+    """Vectors in tight groups, with a zero vector and copies among them."""
+    rng = np.random.default_rng(groups)
+    matrix = np.repeat(rng.normal(size=(groups, dim)), each, axis=0) + spread * rng.normal(size=(groups * each, dim))
+    matrix[5] = 0
+    matrix[40:60] = matrix[40]
+    return matrix
+
+
+def test_an_exact_search_of_the_index_is_the_scan(rows, tmp_path):
+    for name, matrix in (("loose", RNG.normal(size=(300, 12))), ("tight", grouped(20, 20, 12))):
+        tickets = table(rows, matrix)
+        index = vector_index.VectorIndex.build(tickets, str(tmp_path / name))
+        for query in (matrix[0], matrix[45], -matrix[17], np.ones(12), np.zeros(12)):
+            for threshold, limit in ((0.6, 10), (0.1, 3), (-0.5, 40)):
+                scored = sorted((-round(cosine(query, v), 12), f"t{i:04d}") for i, v in enumerate(matrix))
+                want = [(i, -s) for s, i in scored if -s > threshold][:limit]
+                got = index.search(list(query), threshold, limit, exact=True).collect()
+                assert [(r["key"], pytest.approx(r["similarity"], abs=1e-9)) for r in got] == [(i, pytest.approx(s, abs=1e-9)) for i, s in want]
+        assert index.search([1.0, 2.0]).collect() == []
+
+
+def test_a_search_reads_only_the_partitions_of_its_cells(rows, tmp_path):
+    matrix = grouped(40, 25, 16)
+    index = vector_index.VectorIndex.build(table(rows, matrix), str(tmp_path / "index"))
+    assert index.probes < 0.5 * len(index.cells.ids)
+    for exact in (False, True):
+        found = index.search(list(matrix[100]), 0.6, 10, exact=exact)
+        read = {f.split("cell=")[1].split("/")[0] for f in found.inputFiles()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "cell#" in plan
+        assert 0 < len(read) <= len(index.cells.ids)
+        listed = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert listed
+
+
+def test_recall_of_the_probed_cells(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    index = vector_index.VectorIndex.build(table, str(tmp_path / "index"))
+    found = share = 0
+    vectors_of = dict(table.orderBy("id").limit(25).select("id", "embedding").collect())
+    exact = {}
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors_of.items()], "query_id long, embedding array<double>")
+    for r in similarity.similar_topk(table, queries, 10, None).collect():
+        exact.setdefault(r["query_id"], set()).add(r["match_id"])
+    for i, query in vectors_of.items():
+        got = {r["key"] for r in index.search([float(x) for x in query], -1.0, 10).collect()}
+        found += len(got & exact[i])
+        share += len(exact[i])
+    assert found >= 0.9 * share and index.probes < len(index.cells.ids)
+
+
+def test_two_large_sides_meet_in_few_cells(rows, monkeypatch):
+    corpus, queries = grouped(30, 40, 16), grouped(30, 40, 16)[::7] + 0.01
+    c, q = table(rows, corpus), table(rows, queries, "q")
+    for k, threshold in ((5, None), (3, 0.8)):
+        monkeypatch.setattr(similarity, "BLOCK_CELLS", 16 * 50)
+        found = vector_index.pruned_topk(c, q, k, threshold, "id", "embedding", "id", "embedding")
+        got = sorted((r["query_id"], r["rank"], r["match_id"]) for r in found.collect())
+        want = []
+        for i, v in enumerate(queries):
+            scored = sorted((-round(cosine(v, x), 12), f"t{j:04d}") for j, x in enumerate(corpus))
+            want += [(f"q{i:04d}", n + 1, j) for n, (s, j) in enumerate(scored[:k]) if threshold is None or -s > threshold]
+        assert got == sorted(want)
+        _, further, _ = vector_index.first_round(*[vector_index.whole_vectors(x, "id", "embedding", 16) for x in (c, q)], k, threshold, 16)
+        cells = round(math.sqrt(len(corpus)))
+        assert further.count() < 0.25 * len(queries) * cells
 
 
 @pytest.mark.parametrize("n, k", [(6, None), (7, 7), (83, 7), (84, 7), (95, 7), (96, 8), (239, 19), (240, 20), (251, 20), (252, 20)])

@@ -1,8 +1,8 @@
 """Similarity search and nearest-centroid assignment.
 
 The small side (centroids, query vectors) is measured before it is sent to the tasks. Within the bound one scan of the
-large side is enough and nothing large is shuffled. Beyond it both sides are cut into blocks that meet by an equi-join
-on block numbers; every block pair gives at most k rows per query, and the best of those are the exact answer.
+large side is enough and nothing large is shuffled. Beyond it both sides are cut into cells, and only cells that can
+hold a match meet (``vector_index``).
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +24,7 @@ from .ranking import top_per_group
 SMALL_SIDE_BYTES = 64 << 20  # largest matrix sent to every task
 SMALL_SIDE_ROWS = 10_000
 SCORES_AT_ONCE = 4_000_000  # cells of one score table in a task
-BLOCK_CELLS = 8_000_000  # numbers in one block of vectors
+BLOCK_CELLS = 8_000_000  # numbers in one group of vectors
 
 
 @dataclass(frozen=True)
@@ -106,7 +104,9 @@ def nearest_centroid(
                 "similarity_score": F.col("_found.best.score"),
             }
         ).drop("_found")
-    best = block_topk(clusters, tickets, 1, None, cluster_id, centroid, key, vector)
+    from .vector_index import pruned_topk
+
+    best = pruned_topk(clusters, tickets, 1, None, cluster_id, centroid, key, vector)
     found = best.select(F.col("query_id").alias(key), F.col("match_id").alias("cluster_id"), F.col("similarity").alias("similarity_score"))
     return tickets.join(found, key, "left")
 
@@ -139,7 +139,9 @@ def similar_topk(
     """(query_id, match_id, similarity, rank): for every query the ``k`` best above the threshold, ties by id."""
     tables = small_vectors_by_size(queries, query_id, query_vector)
     if tables is None:
-        return block_topk(corpus, queries, k, threshold, corpus_id, corpus_vector, query_id, query_vector)
+        from .vector_index import pruned_topk
+
+        return pruned_topk(corpus, queries, k, threshold, corpus_id, corpus_vector, query_id, query_vector)
     kind = queries.schema[query_id].dataType.simpleString()
     tables = tables or [SmallVectors([], np.zeros((0, 1)))]
     return reduce(
@@ -173,55 +175,6 @@ def _scan_topk(corpus, queries: SmallVectors, k, threshold, corpus_id, corpus_ve
     return _overall(partial, k)
 
 
-def block_topk(corpus, queries, k, threshold, corpus_id, corpus_vector, query_id, query_vector) -> DataFrame:
-    """``similar_topk`` for two large sides: rows hash into blocks, every pair of blocks is one bounded group."""
-    query_type = queries.schema[query_id].dataType.simpleString()
-    match_type = corpus.schema[corpus_id].dataType.simpleString()
-    left = corpus.select(F.col(corpus_id).alias("match_id"), vectors.as_doubles(F.col(corpus_vector)).alias("v")).filter("size(v) > 0")
-    right = queries.select(F.col(query_id).alias("query_id"), vectors.as_doubles(F.col(query_vector)).alias("v")).filter("size(v) > 0")
-    left_blocks, right_blocks = (_blocks(side) for side in (left, right))
-
-    def blocked(side: DataFrame, key: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
-        number = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-        return side.withColumn(own, number).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-
-    left = blocked(left, "match_id", "_l", left_blocks, "_r", right_blocks)
-    right = blocked(right, "query_id", "_r", right_blocks, "_l", left_blocks)
-
-    def pair(matches: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for dim in wanted["v"].map(len).unique():
-            queries_now = wanted[wanted["v"].map(len) == dim]
-            matches_now = matches[matches["v"].map(len) == dim]
-            if matches_now.empty:
-                continue
-            best = _Best(vectors.unit_rows(np.stack(queries_now["v"].to_list())), k, threshold)
-            best.add(matches_now["match_id"].to_numpy(), np.stack(matches_now["v"].to_list()))
-            found = best.rows()
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "query_id": queries_now["query_id"].to_numpy()[found["query"].to_numpy()],
-                        "match_id": found["match"].to_numpy(),
-                        "similarity": found["score"].to_numpy(),
-                    }
-                )
-            )
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "match_id": [], "similarity": []})
-
-    partial = (
-        left.groupBy("_l", "_r")
-        .cogroup(right.groupBy("_l", "_r"))
-        .applyInPandas(pair, f"query_id {query_type}, match_id {match_type}, similarity double")
-    )
-    return _overall(partial, k)
-
-
-def _blocks(side: DataFrame) -> int:
-    cells = side.agg(F.sum(F.size("v"))).first()[0] or 0
-    return max(1, -(-cells // BLOCK_CELLS))
-
-
 def _overall(partial: DataFrame, k: int) -> DataFrame:
     return top_per_group(partial, ["query_id"], [F.col("similarity").desc(), F.col("match_id")], k)
 
@@ -259,27 +212,6 @@ class _Best:
         return self.kept
 
 
-# --- approximate search -------------------------------------------------------------------------------------------
-
-
-def approximate_similar(
-    tickets: DataFrame, query: list[float], limit: int = V.SIMILARITY_LIMIT, threshold: float = V.SIMILARITY_THRESHOLD,
-    tables: int = 8, bucket: float = 1.0, seed: int = V.KMEANS_SEED,
-) -> DataFrame:
-    """(id, similarity) of near vectors by random projection: a subset of ``find_similar`` for fewer comparisons."""
-    from pyspark.ml.linalg import Vectors
-
-    unit = vectors.unit_rows(np.array([query], dtype=np.float64))[0]
-    rows = tickets.filter(vectors.usable(F.col("embedding"), len(query)))
-    dense = rows.select("id", array_to_vector(vectors.as_doubles(F.col("embedding"))).alias("_raw"))
-    rows = Normalizer(inputCol="_raw", outputCol="v").transform(dense).select("id", "v")
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
-    near = lsh.fit(rows).approxNearestNeighbors(rows, Vectors.dense(unit), limit, distCol="_d")
-    # For unit vectors |a - b|^2 = 2 - 2 cos.
-    similarity = 1 - F.col("_d") * F.col("_d") / 2
-    return near.select("id", similarity.alias("similarity")).filter(F.col("similarity") > threshold)
-
-
 def member_scores(members: DataFrame, clusters: DataFrame, vector: str = "embedding") -> DataFrame:
     """Members (with ``cluster_id`` and vector) with the cosine to the centroid of their own cluster."""
     own = clusters.select(F.col("id").alias("cluster_id"), F.col("centroid_embedding").alias("_own"))

@@ -457,6 +457,9 @@ SELECT query_id, match_id, round(s, 6) AS similarity, row_number() OVER (PARTITI
 FROM scored QUALIFY rank <= 3""",
         "find_similar": f"""WITH {KEYED}, {CENTER}
 SELECT id, ticket_id, subject, priority, {stamp('created_at')} AS created_at, round({COSINE}, 6) AS similarity
+FROM tickets, center WHERE {COSINE} > 0.1 ORDER BY {COSINE} DESC, id LIMIT 10""",
+        "similar_indexed": f"""WITH {KEYED}, {CENTER}
+SELECT id, ticket_id, subject, priority, {stamp('created_at')} AS created_at, round({COSINE}, 6) AS similarity
 FROM tickets, center WHERE {COSINE} > 0.1 ORDER BY {COSINE} DESC, id LIMIT 10""",
         "lloyd_3": f"""WITH {MEANS}, {assigned('a1', 'means')}, {moved('c1', 'a1', 'means')}, {assigned('a2', 'c1')}, {moved('c2', 'a2', 'c1')},
 {assigned('a3', 'c2')}, {moved('c3', 'a3', 'c2')}, {assigned('a4', 'c3')}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import dates, ids, text, trend, vectors
 from ..functions.dates import instant
-from ..operators import cleaning, clustering, constraints, listing, models, ranking, rollups, sampling, similarity, trends, upsert
+from ..operators import cleaning, clustering, constraints, listing, models, ranking, rollups, sampling, similarity, trends, upsert, vector_index
 from ..session import scratch_dir
 from ..sources import bindings as B
 from ..sources import jobs
@@ -547,7 +547,7 @@ def nearest_centroid(desk: Desk) -> DataFrame:
 @query
 def nearest_centroid_blocks(desk: Desk) -> DataFrame:
     """The same answer by the plan for centroid tables over the size bound."""
-    best = similarity.block_topk(_centroid_table(desk), desk.table("embeddings"), 1, None, "id", "centroid_embedding", "vec_id", "embedding")
+    best = vector_index.pruned_topk(_centroid_table(desk), desk.table("embeddings"), 1, None, "id", "centroid_embedding", "vec_id", "embedding")
     return best.select(F.col("query_id").alias("vec_id"), F.col("match_id").alias("cluster_id"), F.round("similarity", 6).alias("similarity_score"))
 
 
@@ -586,7 +586,7 @@ def similar_topk(desk: Desk) -> DataFrame:
 def similar_topk_blocks(desk: Desk) -> DataFrame:
     """For every vector its three nearest, by the plan for two large sides."""
     rows = desk.table("embeddings")
-    best = similarity.block_topk(rows, rows, 3, None, "vec_id", "embedding", "vec_id", "embedding")
+    best = vector_index.pruned_topk(rows, rows, 3, None, "vec_id", "embedding", "vec_id", "embedding")
     return best.select("query_id", "match_id", F.round("similarity", 6).alias("similarity"), big("rank")[0])
 
 
@@ -601,7 +601,17 @@ def find_similar(desk: Desk) -> DataFrame:
 @query
 def similar_approximate(desk: Desk) -> DataFrame:
     center = clustering.cluster_centroids(desk.vectors().withColumn("cluster_id", F.lit("all"))).first()["centroid"]
-    return similarity.approximate_similar(desk.tickets(), list(center), 10, 0.1)
+    index = vector_index.VectorIndex.build(desk.tickets(), scratch_dir(desk.spark, "index"))
+    return index.search(list(center), 0.1, 10)
+
+
+@query
+def similar_indexed(desk: Desk) -> DataFrame:
+    """``find_similar`` by the stored index, exactly: cells that cannot hold a match are not read."""
+    center = clustering.cluster_centroids(desk.vectors().withColumn("cluster_id", F.lit("all"))).first()["centroid"]
+    index = vector_index.VectorIndex.build(desk.tickets(), scratch_dir(desk.spark, "index"))
+    best = vector_index.find_similar_indexed(desk.tickets(), index, list(center), threshold=0.1, limit=10, exact=True)
+    return best.select("id", "ticket_id", "subject", "priority", stamp("created_at").alias("created_at"), F.round("similarity", 6).alias("similarity"))
 
 
 @query
