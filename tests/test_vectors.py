@@ -259,23 +259,51 @@ def test_euclidean_members_belong_to_the_nearest_center(rows):
         assert int(r["cluster_id"]) == int(((centers - unit) ** 2).sum(axis=1).argmin())
 
 
+def plain_starts(units, centres, rounds, tolerance=1e-4):
+    """Lloyd from each start on its own: (centres, cost, rounds)."""
+    out = []
+    for c in centres:
+        c, n = c.copy(), 0
+        for n in range(1, rounds + 1):
+            own = np.round(units @ c.T - (c**2).sum(axis=1) / 2, 12).argmax(axis=1)
+            moved = np.array([units[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
+            shift, c = np.sqrt(((moved - c) ** 2).sum(axis=1)).max(), moved
+            if shift <= tolerance:
+                break
+        out.append((c, ((units[:, None] - c) ** 2).sum(axis=2).min(axis=1).sum(), n))
+    return out
+
+
+def test_all_starts_advance_in_the_same_scans(rows, monkeypatch):
+    points = RNG.normal(size=(120, 5)) * RNG.uniform(0.5, 4, size=(120, 1))
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    centres = np.stack([clustering.spread_seeds(units, 6, np.random.default_rng(i)) for i in range(5)])
+    scans, one_round = [], clustering._starts_round
+    monkeypatch.setattr(clustering, "_starts_round", lambda r, c, v: scans.append(len(c)) or one_round(r, c, v))
+    found = clustering.lloyd_starts(table(rows, points).repartition(3), centres, 300)
+    want = plain_starts(units, centres, 300)
+    for i, (c, cost, n) in enumerate(want):
+        np.testing.assert_allclose(found.centres[i], c, atol=1e-9)
+        assert math.isclose(found.costs[i].sum(), cost, abs_tol=1e-9) and found.rounds[i] == n and found.members[i].sum() == 120
+    slowest = max(n for _, _, n in want)
+    assert len(scans) == slowest + 1 and scans[0] == scans[-1] == 5 and min(scans) < 5
+
+
 def test_euclidean_takes_the_best_of_ten_starts(rows, monkeypatch):
-    runs, costs = [], []
-
-    class Recorded(clustering.KMeans):
-        def fit(self, frame):
-            model = super().fit(frame)
-            runs.append((self.getSeed(), self.getMaxIter()))
-            costs.append(model.summary.trainingCost)
-            return model
-
-    monkeypatch.setattr(clustering, "KMeans", Recorded)
-    frame = table(rows, RNG.normal(size=(60, 4)))
-    assert clustering.kmeans(frame, 8, "euclidean").fit == -min(costs)
-    assert runs == [(42 + i, 300) for i in range(10)]
-    runs.clear()
-    clustering.kmeans(frame, 8, "cosine", max_iter=1)
-    assert runs == [(42, 0)]
+    seen, lloyd_starts = [], clustering.lloyd_starts
+    monkeypatch.setattr(clustering, "lloyd_starts", lambda *a, **k: seen.append((a, lloyd_starts(*a, **k))) or seen[-1][1])
+    frame = table(rows, np.vstack([RNG.normal(size=(60, 4)), np.zeros((1, 4))]))
+    found = clustering.kmeans(frame, 8, "euclidean")
+    (arguments, starts), = seen
+    assert arguments[1].shape == (10, 8, 4) and arguments[2] == 300
+    assert found.fit == -starts.costs.sum(axis=1).min()
+    assert clustering.kmeans(frame, 8, "euclidean").fit == found.fit
+
+
+def test_few_different_vectors_leave_clusters_empty(rows):
+    frame = table(rows, np.repeat(np.eye(3), 4, axis=0))
+    found = clustering.kmeans(frame, 5, "euclidean")
+    assert math.isclose(found.fit, 0, abs_tol=1e-12) and found.rows.select("cluster_id").distinct().count() == 3
 
 
 def test_cosine_centroids_are_means_of_raw_vectors(rows):

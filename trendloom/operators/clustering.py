@@ -19,6 +19,8 @@ from .. import fixed_values as V
 from ..functions import vectors
 from .similarity import SmallVectors, assign_to
 
+SEED_ROWS = 16_384  # rows that the seeds of the starts are drawn from
+
 
 def dynamic_k(tickets: int) -> int | None:
     """One cluster per 12 tickets, at least 7 and at most 20; None when there are too few tickets to cluster."""
@@ -57,32 +59,137 @@ def kmeans(
 
     Starts and rounds that are not given are those of the original: 10 and at most 300 for ``euclidean``, 1 and at most
     20 for ``cosine``.
-    ``euclidean`` is K-Means of the vectors on unit length; centroids are means of unit vectors.
+    ``euclidean`` is K-Means of the vectors on unit length; centroids are means of unit vectors. All starts advance in
+    the same scans; their seeds are drawn by k-means++ from at most ``SEED_ROWS`` rows, the rounds use all.
     ``cosine`` assigns by cosine, centroids are means of the vectors as they are; it starts from seeds that are spread
     in the same way and then takes one uncached scan per round.
     """
     default_starts, default_rounds = V.KMEANS_RUNS[measure]
     starts = default_starts if starts is None else starts
     max_iter = default_rounds if max_iter is None else max_iter
+    if measure == "euclidean":
+        return _best_of_starts(rows, k, seed, starts, max_iter, vector)
     dense = rows.select(array_to_vector(vectors.as_doubles(F.col(vector))).alias("_raw"))
     unit = Normalizer(inputCol="_raw", outputCol="_v").transform(dense).select("_v")
     unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
-    rounds = 0 if measure == "cosine" else max_iter  # without rounds the fit is only the spread of the seeds
-    try:
-        models = [KMeans(k=k, seed=seed + i, maxIter=rounds, featuresCol="_v").fit(unit) for i in range(starts)]
+    try:  # without rounds the fit is only the spread of the seeds
+        models = [KMeans(k=k, seed=seed + i, maxIter=0, featuresCol="_v").fit(unit) for i in range(starts)]
     finally:
         unit.unpersist()
+    return max((lloyd(rows, _numbered(np.array(m.clusterCenters())), max_iter, vector) for m in models), key=lambda c: c.fit)
+
+
+def _numbered(centers: np.ndarray) -> SmallVectors:
+    return SmallVectors([f"{i:04d}" for i in range(len(centers))], centers)
+
+
+# --- several starts in one scan ------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Starts:
+    """K-Means from several starts: final centres (start, cluster, dimension), and members, cost and rounds of them."""
+
+    centres: np.ndarray
+    members: np.ndarray
+    costs: np.ndarray
+    rounds: np.ndarray
+
+
+def _best_of_starts(rows: DataFrame, k: int, seed: int, starts: int, max_iter: int, vector: str) -> Clustering:
+    values = rows.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sample = values.filter(vectors.usable(F.col(vector))).withColumn("dim", F.size(vector))
+        dim = sample.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").first()
+        if dim is None:
+            return Clustering(_numbered(np.zeros((0, 1))), assign_to(rows, SmallVectors([], np.zeros((0, 1))), vector), 0, 0.0)
+        drawn = sample.filter(F.col("dim") == dim["dim"]).orderBy(F.xxhash64(vector)).limit(SEED_ROWS).select(vectors.as_doubles(F.col(vector)).alias("v"))
+        units = vectors.unit_rows(np.stack(drawn.toPandas()["v"].to_list()))
+        units = units[np.isfinite(units).all(axis=1)]
+        seeds = np.stack([spread_seeds(units, k, np.random.default_rng([seed, i])) for i in range(starts)])
+        found = lloyd_starts(values, seeds, max_iter, vector)
+    finally:
+        values.unpersist()
+    best = int(found.costs.sum(axis=1).argmin())
+    centers = _numbered(found.centres[best])
+    return Clustering(centers, assign_to(rows, centers, vector, "euclidean"), int(found.rounds[best]), -float(found.costs[best].sum()))
+
+
+def spread_seeds(units: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each seed is drawn by its squared distance to those before it, the best of a few draws."""
+    draws = 2 + int(np.log(k))
+    seeds = [units[rng.integers(len(units))]]
+    distance = ((units - seeds[0]) ** 2).sum(axis=1)
+    while len(seeds) < k:
+        total = np.cumsum(distance)
+        tried = np.minimum(np.searchsorted(total, rng.random(draws) * total[-1], side="right"), len(units) - 1)
+        left = np.minimum(distance, np.maximum(2 - 2 * units[tried] @ units.T, 0.0))
+        best = int(left.sum(axis=1).argmin())
+        seeds.append(units[tried[best]])
+        distance = left[best]
+    return np.array(seeds)
+
+
+def lloyd_starts(
+    rows: DataFrame, centres: np.ndarray, max_iter: int, vector: str = "embedding", tolerance: float = 1e-4
+) -> Starts:
+    """K-Means of the vectors on unit length from several sets of centres at once.
+
+    A round is one scan for all starts: every batch meets the centres of all of them in one matrix product. A start
+    whose centres move no more than the tolerance leaves, so there are as many scans as the slowest start has rounds, and one
+    that measures the final centres. An empty cluster stays where it is.
+    """
+    centres = centres.copy()
+    rounds = np.zeros(len(centres), dtype=np.int64)
+    active = np.arange(len(centres))
+    for _ in range(max_iter):
+        if not len(active):
+            break
+        totals, members, _ = _starts_round(rows, centres[active], vector)
+        moved = np.where(members[..., None] > 0, totals / np.maximum(members, 1)[..., None], centres[active])
+        shift = np.sqrt(((moved - centres[active]) ** 2).sum(axis=2)).max(axis=1)
+        centres[active] = moved
+        rounds[active] += 1
+        active = active[shift > tolerance]
+    _, members, costs = _starts_round(rows, centres, vector)
+    return Starts(centres, members, costs, rounds)
+
+
+def _starts_round(rows: DataFrame, centres: np.ndarray, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums, numbers and squared distances of the members of each cluster of each start."""
+    starts, k, dim = centres.shape
+    flat = centres.reshape(-1, dim)
+    half = (flat**2).sum(axis=1) / 2
+
+    def sums_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, members, costs = np.zeros(centres.shape), np.zeros((starts, k), dtype=np.int64), np.zeros((starts, k))
+        for batch in batches:
+            _, dense = vectors.batch_matrix(batch.column(0), dim)
+            unit = vectors.unit_rows(dense)
+            # |x - c|^2 = |x|^2 - 2 (x.c - |c|^2 / 2)
+            table = np.round(unit @ flat.T - half, vectors.SCORE_DIGITS).reshape(-1, starts, k)
+            own, squares = (unit**2).sum(axis=1), np.arange(k)[:, None]
+            for s, label in enumerate(table.argmax(axis=2).T):
+                members[s] += np.bincount(label, minlength=k)
+                costs[s] += np.bincount(label, own - 2 * table[np.arange(len(label)), s, label], k)
+                totals[s] += (squares == label[None, :]).astype(np.float64) @ unit
+        seen = np.flatnonzero(members)
+        kinds = [("row", pa.int32()), ("members", pa.int64()), ("cost", pa.float64()), ("total", pa.list_(pa.float64()))]
+        values = (seen, members.ravel()[seen], costs.ravel()[seen], list(totals.reshape(-1, dim)[seen]))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(values, kinds)], schema=pa.schema(kinds))
+
+    partial = rows.select(vector).mapInArrow(sums_of_partition, "row int, members bigint, cost double, total array<double>")
+    summed = partial.groupBy("row").agg(
+        F.sum("members").alias("members"), F.sum("cost").alias("cost"),
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
+    )
+    totals, members, costs = np.zeros((starts * k, dim)), np.zeros(starts * k, dtype=np.int64), np.zeros(starts * k)
+    for row in summed.collect():  # at most one row per start and cluster
+        totals[row["row"]], members[row["row"]], costs[row["row"]] = row["total"], row["members"], row["cost"]
+    return totals.reshape(centres.shape), members.reshape(starts, k), costs.reshape(starts, k)
 
-    def centroids(model) -> SmallVectors:
-        centers = np.array(model.clusterCenters())
-        return SmallVectors([f"{i:04d}" for i in range(len(centers))], centers)
 
-    if measure == "cosine":
-        return max((lloyd(rows, centroids(m), max_iter, vector) for m in models), key=lambda c: c.fit)
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    found = centroids(best)
-    assigned = assign_to(rows, found, vector, "euclidean")
-    return Clustering(found, assigned, best.summary.numIter, -best.summary.trainingCost)
+# --- cosine rounds -------------------------------------------------------------------------------------------------
 
 
 def lloyd(

@@ -242,6 +242,40 @@ def moved(name: str, assigned_name: str, before: str) -> str:
 {name} AS (SELECT b.cluster_id, coalesce(n.c, b.c) AS c FROM {before} b LEFT JOIN {name}_new n USING (cluster_id))"""
 
 
+def nearest_of_starts(name: str, centres: str) -> str:
+    return f"""{name} AS (
+  SELECT start, cluster, vec_id, u, c FROM units, {centres}
+  QUALIFY row_number() OVER (PARTITION BY start, vec_id
+    ORDER BY round(list_inner_product(u, c) - list_inner_product(c, c) / 2, 12) DESC, cluster) = 1)"""
+
+
+def means_of_starts(name: str, members: str) -> str:
+    return f"""{name} AS (
+  SELECT start, cluster, list(v ORDER BY position) AS c FROM (
+    SELECT start, cluster, position, avg(x) AS v
+    FROM (SELECT start, cluster, unnest(u) AS x, generate_subscripts(u, 1) AS position FROM {members}) GROUP BY ALL) GROUP BY ALL)"""
+
+
+def moved_starts(name: str, members: str, before: str) -> str:
+    return f"""{means_of_starts(name + '_new', members)},
+{name} AS (SELECT b.start, b.cluster, coalesce(n.c, b.c) AS c FROM {before} b LEFT JOIN {name}_new n USING (start, cluster))"""
+
+
+STARTS = f"""WITH units AS (
+  SELECT vec_id, label, list_transform(e, lambda x: x / n) AS u
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)),
+grouped AS (
+  SELECT 0 AS start, dense_rank() OVER (ORDER BY label) - 1 AS cluster, u FROM units
+  UNION ALL SELECT 1, vec_id % 10, u FROM units),
+{means_of_starts('c0', 'grouped')},
+{nearest_of_starts('a1', 'c0')}, {moved_starts('c1', 'a1', 'c0')},
+{nearest_of_starts('a2', 'c1')}, {moved_starts('c2', 'a2', 'c1')},
+{nearest_of_starts('a3', 'c2')}, {moved_starts('c3', 'a3', 'c2')},
+{nearest_of_starts('a4', 'c3')}
+SELECT start::INT AS start, cluster::INT AS cluster, count(*) AS members,
+  round(sum(list_inner_product(u, u) - 2 * round(list_inner_product(u, c) - list_inner_product(c, c) / 2, 12)), 6) AS cost
+FROM a4 GROUP BY ALL"""
+
 NEAREST = f"""WITH {MEANS}, {assigned('best', 'means')}
 SELECT vec_id, cluster_id, round(s, 6) AS similarity_score FROM best"""
 
@@ -461,6 +495,7 @@ FROM tickets, center WHERE {COSINE} > 0.1 ORDER BY {COSINE} DESC, id LIMIT 10"""
         "similar_indexed": f"""WITH {KEYED}, {CENTER}
 SELECT id, ticket_id, subject, priority, {stamp('created_at')} AS created_at, round({COSINE}, 6) AS similarity
 FROM tickets, center WHERE {COSINE} > 0.1 ORDER BY {COSINE} DESC, id LIMIT 10""",
+        "kmeans_starts": STARTS,
         "lloyd_3": f"""WITH {MEANS}, {assigned('a1', 'means')}, {moved('c1', 'a1', 'means')}, {assigned('a2', 'c1')}, {moved('c2', 'a2', 'c1')},
 {assigned('a3', 'c2')}, {moved('c3', 'a3', 'c2')}, {assigned('a4', 'c3')}
 SELECT vec_id, cluster_id, round(s, 6) AS similarity_score FROM a4""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -622,6 +623,21 @@ def lloyd_3(desk: Desk) -> DataFrame:
     return found.rows.select("vec_id", "cluster_id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
+@query
+def kmeans_starts(desk: Desk) -> DataFrame:
+    """Three rounds from two starts in the same scans: the means of the labels, and of the ids by their last digit."""
+    rows = desk.table("embeddings").withColumn("unit", vectors.normalised(F.col("embedding")))
+    seeds = []
+    for group in (F.col("label"), F.col("vec_id") % 10):
+        means = clustering.cluster_centroids(rows.withColumn("g", group.cast("int")), "g", "unit").orderBy("g").collect()  # ten rows
+        seeds.append([r["centroid"] for r in means])
+    found = clustering.lloyd_starts(rows, np.array(seeds), 3, tolerance=0.0)
+    table = [
+        (s, c, int(found.members[s, c]), round(float(found.costs[s, c]), 6)) for s in range(2) for c in range(found.members.shape[1]) if found.members[s, c]
+    ]
+    return desk.spark.createDataFrame(table, "start int, cluster int, members bigint, cost double")
+
+
 def _kmeans(desk: Desk, measure: str) -> DataFrame:
     rows = clustering.usable_tickets(desk.table("embeddings"))
     found = clustering.kmeans(rows, clustering.dynamic_k(rows.count()), measure)
