@@ -1,10 +1,12 @@
 """Stored versions, upserts, job runs, constraints and sampling."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from trendloom import schemas
-from trendloom.operators import constraints, sampling, upsert
+from trendloom.operators import constraints, ranking, sampling, upsert
 from trendloom.sources.jobs import current_runs, job_run, latest_jobs
 from trendloom.sources.store import TicketStore
 
@@ -151,6 +153,32 @@ def test_sample_is_even_and_repeatable(spark, monkeypatch, n, limit):
         assert max(counts) - min(counts) <= 1
 
 
+def test_sample_with_as_many_strata_as_rows_takes_the_least_hashes(spark):
+    for strata, n in (("id", 300), ("id div 2", 700), ("id div 2", 450)):
+        df = spark.range(900).selectExpr("id", f"cast({strata} as string) as s")
+        got = sampling.stratified_sample(df, "s", "id", n)
+        hashes = {i: hashlib.md5(f"42|{i}".encode()).hexdigest() for i in range(900)}
+        groups = {}
+        for i in sorted(hashes, key=hashes.get):
+            groups.setdefault(i if strata == "id" else i // 2, []).append(i)
+        rounds = sorted((place, hashes[i], i) for ids in groups.values() for place, i in enumerate(ids))
+        per = n // len(groups) + 1
+        assert sorted(r["id"] for r in got.collect()) == sorted(i for _, _, i in [x for x in rounds if x[0] < per][:n])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan
+        for below in plan.split("SinglePartition")[1:]:  # only the counts of hash ranges meet, 65,536 at most
+            assert "keys=[0#" in below.split("\n")[1] and "_range" in below.split("\n")[1]
+
+
+def test_rows_without_a_key_are_numbered_in_many_groups(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as k", "id as other")
+    out = ranking.numbered(df, "k", "n", 10, buckets=64)
+    got = out.toPandas()
+    assert sorted(got["n"]) == list(range(10, 3010))
+    assert got[got["k"].notna()].sort_values("k")["n"].tolist() == list(range(10, 2010))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, ranking.numbered(df.repartition(5), "k", "n", 10, buckets=64).collect()), key=str)
+
+
 def test_both_rank_plans_agree(spark, monkeypatch):
     df = spark.range(600).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 5 as string)) as s")
     by_window = {r["id"] for r in sampling.stratified_sample(df, "s", "id", 70).collect()}

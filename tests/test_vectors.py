@@ -1,5 +1,6 @@
 """Similarity, assignment and clustering against brute force."""
 
+import itertools
 import math
 
 import numpy as np
@@ -236,6 +237,26 @@ def test_permuted_cluster_ids_survive():
     assert other[1:] == ["0000", "0001"] and other[0] not in ids and len(set(other)) == 3
 
 
+def test_assignment_has_the_largest_total():
+    for rows, columns in ((1, 1), (3, 3), (2, 5), (5, 2), (6, 6)):
+        for _ in range(30):
+            gain = np.where(RNG.random((rows, columns)) < 0.4, 0.0, RNG.random((rows, columns)))
+            size = max(rows, columns)
+            padded = np.zeros((size, size))
+            padded[:rows, :columns] = gain
+            best = max(padded[np.arange(size), list(p)].sum() for p in itertools.permutations(range(size)))
+            found = clustering.best_assignment(gain)
+            assert len(set(found)) == rows and math.isclose(sum(padded[r, c] for r, c in enumerate(found)), best, abs_tol=1e-9)
+
+
+def test_ids_are_kept_where_the_best_pair_first_would_lose_similarity():
+    angles = np.deg2rad([0, 20])
+    old = SmallVectors(["A", "B"], np.c_[np.cos(angles), np.sin(angles)])
+    moved = np.deg2rad([10.5, 26])  # 10.5 is nearest to B by a hair, 26 fits B alone
+    new = SmallVectors(["0", "1"], np.c_[np.cos(moved), np.sin(moved)])
+    assert clustering.keep_cluster_ids(new, old, 0.95) == ["A", "B"]
+
+
 def test_a_misfit_centroid_concerns_no_other_ticket(rows, monkeypatch):
     tickets = rows([("a", [0.0, 1.0]), ("b", [1.0, 0.0, 0.0]), ("c", [1.0]), ("d", None)], "id string, embedding array<double>")
     clusters = rows(

@@ -249,19 +249,53 @@ def membership(assigned: DataFrame, key: str = "id", score: str = "cosine") -> D
     )
 
 
+def best_assignment(gain: np.ndarray) -> list[int]:
+    """For each row its column, each column at most once, with the largest total gain (Hungarian method).
+
+    Rows enter one after another; each looks for the cheapest way to a free column over the columns that are taken, and
+    prices on rows and columns keep all reduced costs at 0 or more.
+    """
+    rows, columns = gain.shape
+    size = max(rows, columns)
+    cost = np.zeros((size, size))
+    cost[:rows, :columns] = -gain
+    row_price, column_price = np.zeros(size), np.zeros(size)
+    taken_by = np.full(size, -1)
+    for row in range(size):
+        least, before, done = np.full(size, np.inf), np.full(size, -1), np.zeros(size, dtype=bool)
+        current, column = row, -1
+        while True:
+            reduced = cost[current] - row_price[current] - column_price
+            better = ~done & (reduced < least)
+            least[better], before[better] = reduced[better], column
+            open_least = np.where(done, np.inf, least)
+            column, step = int(open_least.argmin()), open_least.min()
+            on_path = taken_by[done]
+            row_price[on_path] += step
+            row_price[row] += step
+            column_price[done] -= step
+            least[~done] -= step
+            done[column] = True
+            if taken_by[column] < 0:
+                break
+            current = taken_by[column]
+        while column >= 0:
+            previous = before[column]
+            taken_by[column] = taken_by[previous] if previous >= 0 else row
+            column = previous
+    found = np.empty(size, dtype=int)
+    found[taken_by] = np.arange(size)
+    return found[:rows].tolist()
+
+
 def keep_cluster_ids(new: SmallVectors, old: SmallVectors | None, threshold: float = 0.9) -> list[str]:
-    """For each new centroid the id of the old one it continues, else its own id: best pairs first, each id once."""
+    """For each new centroid the id of the old one it continues, else its own id. Of all ways to pair centroids of at
+    least the threshold, each once, it is the one with the largest total similarity."""
     if old is None or not old.ids or old.dim != new.dim:
         return list(new.ids)
     table = vectors.scores(new.matrix, vectors.unit_rows(old.matrix))
-    continues, taken = {}, set()
-    for flat in np.argsort(-table, axis=None, kind="stable"):
-        row, column = divmod(int(flat), table.shape[1])
-        if table[row, column] < threshold:
-            break
-        if row not in continues and column not in taken:
-            continues[row] = old.ids[column]
-            taken.add(column)
+    gain = np.where(table >= threshold, table, 0.0)
+    continues = {row: old.ids[column] for row, column in enumerate(best_assignment(gain)) if column < len(old.ids) and gain[row, column] > 0}
     out = [continues.get(row) for row in range(len(new.ids))]
     used = {*old.ids, *new.ids}
     for row, own in enumerate(new.ids):

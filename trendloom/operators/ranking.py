@@ -39,7 +39,8 @@ def last_per_id(df: DataFrame, key: str = "ticket_id", seq: str = "seq") -> Data
 
 
 def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 4096) -> DataFrame:
-    """Consecutive numbers from ``start`` in the order of a unique numeric column, without one global sort.
+    """Consecutive numbers from ``start`` in the order of a unique numeric column, without one global sort; rows
+    without a value come last.
 
     Approximate quantiles cut the column into buckets; each bucket is numbered on its own and moved by the exact count
     of the buckets before it. The cut points are a constant of the plan, so a recomputed task gives the same numbers.
@@ -48,14 +49,17 @@ def numbered(df: DataFrame, key: str, name: str, start: int, buckets: int = 4096
     edges = [float("-inf"), *cuts, float("inf")]
     split = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket")
     bucketed = split.transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
-    bucketed = bucketed.withColumn("_bucket", F.coalesce("_bucket", F.lit(float(len(edges)))))  # rows without a key come last
+    # Rows without a key come last, spread by a hash of the row: there may be any number of them.
+    row_hash = F.xxhash64(*df.columns)
+    without = F.lit(float(len(edges))) + F.pmod(row_hash, F.lit(buckets))
+    bucketed = bucketed.withColumn("_bucket", F.coalesce("_bucket", without))
     counts = bucketed.groupBy("_bucket").count()
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, row_hash))
     return (
         bucketed.withColumn("_row", inside)
-        .join(F.broadcast(offsets), "_bucket")  # at most `buckets` rows
+        .join(F.broadcast(offsets), "_bucket")  # at most twice `buckets` rows
         .withColumn(name, F.col("_offset") + F.col("_row") - 1 + start)
         .drop("_bucket", "_row", "_offset")
     )

@@ -12,7 +12,7 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     """About equal numbers of every stratum, ``n`` rows in all (all rows if there are fewer).
 
     Each stratum gives its first ``n // strata + 1`` rows in the order of a seeded hash; what exceeds ``n`` is cut from
-    the last round, so that the cut is even.
+    the last round, so that the cut is even. There may be as many strata as rows.
     """
     hashed = rows.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
@@ -25,14 +25,17 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     else:
         picked = first_by_hash(hashed, stratum, per_stratum)
     if per_stratum == 1:
-        return picked.orderBy("_hash").limit(n).drop("_hash", "_round")
-    # Rounds before the last always fit into n, so only the last one is cut. It has at most one row per stratum, and
-    # there are fewer strata than n; the other rows are spread, they need no place.
+        return _least_hashes(picked, n).drop("_hash")
+    # Rounds before the last always fit into n, so only the last one is cut. It has at most one row per stratum.
     room = n - sizes.agg(F.sum(F.least(F.col("size"), F.lit(per_stratum - 1)))).first()[0]
     last = F.col("_round") == per_stratum
-    group = F.when(last, -1).otherwise(F.pmod(F.xxhash64("_hash"), F.lit(1024)))
-    placed = picked.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy("_hash")))
-    return placed.filter(~last | (F.col("_place") <= room)).drop("_hash", "_round", "_place")
+    whole = picked.filter(~last).drop("_hash", "_round")
+    return whole.unionByName(_least_hashes(picked.filter(last), room).drop("_hash"))
+
+
+def _least_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of the least hashes, over all strata: found by ranges of hashes, never in one task."""
+    return first_by_hash(rows.drop("_round").withColumn("_all", F.lit(0)), "_all", n).drop("_all", "_round")
 
 
 def first_by_hash(hashed: DataFrame, stratum: str, n: int) -> DataFrame:

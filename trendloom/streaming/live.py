@@ -1,7 +1,8 @@
 """Tickets as they arrive: parse, embed, assign, store, count.
 
 Every micro-batch writes its own folder per table and overwrites it when Spark replays the batch, so a lost driver or
-executor adds nothing twice. Counts are kept as one small change row per cluster and batch.
+executor adds nothing twice. A ticket and its membership are one row of one write; counts are kept as one small change
+row per cluster and batch. The query holds no state: an id is taken once because the ids of the batch meet those that are stored.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions import text, vectors
-from ..operators import cleaning, clustering, models
+from ..functions.ids import webhook_ticket_id
+from ..operators import cleaning, models
+from ..operators.ranking import first_per_group
 from ..operators.similarity import nearest_centroid
 from ..operators.trends import trend_label
 from ..sources import jobs
@@ -24,6 +28,9 @@ from ..sources.json_tickets import parse_tickets
 from ..sources.store import UPSERT, TicketStore
 
 CHANGES = "cluster_id string, added bigint"
+ARRIVALS = T.StructType(
+    schemas.TICKETS.fields + [T.StructField("cluster_id", T.StringType()), T.StructField("similarity_score", T.DoubleType())]
+)
 
 
 def embed_arrivals(parsed: DataFrame, model: models.Model | None = None, **embedding) -> DataFrame:
@@ -35,15 +42,23 @@ def embed_arrivals(parsed: DataFrame, model: models.Model | None = None, **embed
     return embedded.withColumn("error", F.coalesce("_parse_error", "error")).drop("_parse_error", "embed_text")
 
 
+def without_stored(parsed: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows whose external id is not among the stored tickets. The ids of the batch are sent to the stored ones where
+    Spark finds them small, so that only the column of ids is scanned and nothing of the store is shuffled."""
+    named = parsed.withColumn("_ticket_id", webhook_ticket_id(F.col("id")))
+    arriving = named.filter(F.col("error").isNull()).select(F.col("_ticket_id").alias("ticket_id")).distinct()
+    known = stored.select("ticket_id").join(arriving, "ticket_id", "left_semi").distinct()
+    return named.join(known, named["_ticket_id"] == known["ticket_id"], "left_anti").drop("_ticket_id")
+
+
 def unique_arrivals(embedded: DataFrame) -> DataFrame:
-    """Of good rows with one external id only the first to arrive (of those in one micro-batch, any one).
+    """Of good rows with one external id the one of the least payload, and every failure once.
 
-    The ids that passed stay in the query's state, hashed over the cluster, so a repeat is found however late it
-    comes; a ticket that failed is not among them and may be sent again. Equal failures are kept once.
+    A ticket that failed is not stored, so it may be sent again.
     """
     failure = F.concat(F.lit("failed:"), F.md5(F.concat_ws("|", "error", "payload")))
     key = F.when(F.col("error").isNull(), F.concat(F.lit("id:"), F.col("id"))).otherwise(failure)
-    return embedded.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    return first_per_group(embedded.withColumn("_key", key), ["_key"], [F.col("payload")]).drop("_key")
 
 
 def assign_arrivals(good: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -56,29 +71,30 @@ def assign_arrivals(good: DataFrame, clusters: DataFrame) -> DataFrame:
 def start_live_ingest(
     spark: SparkSession, payloads: DataFrame, clusters: Callable[[], DataFrame] | DataFrame, root: str, checkpoint: str,
     as_of: Callable[[], Column] = F.current_timestamp, model: models.Model | None = None, trigger: dict | None = None,
-    **embedding,
+    stored: Callable[[], DataFrame] | None = None, **embedding,
 ) -> StreamingQuery:
-    """Starts the query. ``clusters`` may be a function, read anew for every batch."""
+    """Starts the query. ``clusters`` may be a function, read anew for every batch; ``stored`` gives further tickets (by
+    ``ticket_id``) that are taken, such as those that were folded into the store."""
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         now = as_of()
         table = clusters() if callable(clusters) else clusters
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        good, bad = batch.filter(F.col("error").isNull()), batch.filter(F.col("error").isNotNull())
-        stored = cleaning.streamed_tickets(assign_arrivals(good, table), now).persist(StorageLevel.MEMORY_AND_DISK)
+        before = read_live(spark, root, "tickets")
+        if "batch_id" in before.columns:  # what a first try of this batch wrote is written again
+            before = before.filter(F.col("batch_id") != batch_id)
+        known = before.select("ticket_id") if stored is None else before.select("ticket_id").unionByName(stored().select("ticket_id"))
+        unique = unique_arrivals(embed_arrivals(without_stored(batch, known), model, **embedding)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            _write(stored.select(*schemas.TICKETS.names), root, "tickets", batch_id)
-            members = clustering.membership(stored)
-            _write(members, root, "cluster_members", batch_id)
-            added = members.groupBy("cluster_id").agg(F.count("*").alias("added"))
-            _write(added.coalesce(1), root, "cluster_changes", batch_id)  # one row per cluster
+            good, bad = unique.filter(F.col("error").isNull()), unique.filter(F.col("error").isNotNull())
+            _write(cleaning.streamed_tickets(assign_arrivals(good, table), now).select(*ARRIVALS.names), root, "arrivals", batch_id)
             _write(jobs.dead_letters(bad, now), root, "job_runs", batch_id)
         finally:
-            stored.unpersist()
-            batch.unpersist()
+            unique.unpersist()
+        written = spark.read.schema(ARRIVALS).parquet(f"{root}/arrivals/batch_id={batch_id}")
+        added = written.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count("*").alias("added"))
+        _write(added.coalesce(1), root, "cluster_changes", batch_id)  # one row per cluster
 
-    unique = unique_arrivals(embed_arrivals(parse_tickets(payloads), model, **embedding))
-    writer = unique.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
+    writer = parse_tickets(payloads).writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
@@ -87,14 +103,22 @@ def _write(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
 
 
 def read_live(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A live table with its ``batch_id``; empty before the first batch."""
-    schema = {
-        "tickets": schemas.TICKETS, "cluster_members": schemas.MEMBERS, "job_runs": schemas.JOB_RUNS, "cluster_changes": CHANGES,
+    """A live table with its ``batch_id``; empty before the first batch. Tickets and members are columns of one table."""
+    folder, schema = {
+        "tickets": ("arrivals", ARRIVALS), "cluster_members": ("arrivals", ARRIVALS), "job_runs": ("job_runs", schemas.JOB_RUNS),
+        "cluster_changes": ("cluster_changes", CHANGES),
     }[table]
     try:
-        return spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+        rows = spark.read.schema(schema).option("basePath", f"{root}/{folder}").parquet(f"{root}/{folder}")
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        rows = spark.createDataFrame([], schema)
+    batch = [c for c in rows.columns if c == "batch_id"]
+    if table == "tickets":
+        return rows.select(*schemas.TICKETS.names, *batch)
+    if table == "cluster_members":
+        score = vectors.shown_score(F.col("similarity_score")).alias("similarity_score")
+        return rows.filter(F.col("cluster_id").isNotNull()).select(F.col("id").alias("ticket_id"), "cluster_id", score, *batch)
+    return rows
 
 
 def fold_into(store: TicketStore, root: str, after_batch: int = -1) -> int:
