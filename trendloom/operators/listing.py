@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..schemas import EXAMPLE_FIELDS
 from .ranking import first_per_group, top_per_group
+from .subject_index import SubjectIndex
 
 CLUSTER_FIELDS = (
     "id", "name", "description", "ticket_count", "prev_window_count", "curr_window_count", "trend", "updated_at",
@@ -88,14 +89,18 @@ def with_fields(chosen: DataFrame, tickets: DataFrame, *fields: str) -> DataFram
 
 
 def search_clusters(
-    clusters: DataFrame, members: DataFrame, tickets: DataFrame, text: str = "", trend: str = "all"
+    clusters: DataFrame, members: DataFrame, tickets: DataFrame, text: str = "", trend: str = "all", index: SubjectIndex | None = None
 ) -> DataFrame:
-    """Clusters of a trend whose name, description or any ticket subject contains the text, case ignored."""
+    """Clusters of a trend whose name, description or any ticket subject contains the text, case ignored. With an index
+    of the subjects the tickets are not scanned."""
     found = clusters if trend == "all" else clusters.filter(F.col("trend") == trend)
     if not text:
         return found.select(*CLUSTER_FIELDS)
     q = text.lower()
-    matching = tickets.filter(F.lower("subject").contains(q)).select(F.col("id").alias("ticket_id"))
+    if index is not None:
+        matching = index.tickets_with(text)
+    else:
+        matching = tickets.filter(F.lower("subject").contains(q)).select(F.col("id").alias("ticket_id"))
     hits = members.join(matching, "ticket_id", "left_semi").select("cluster_id").distinct()
     by_text = F.lower("name").contains(q) | F.coalesce(F.lower("description").contains(q), F.lit(False))
     joined = found.join(hits, F.col("id") == F.col("cluster_id"), "left")

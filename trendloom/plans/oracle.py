@@ -390,6 +390,7 @@ WHERE strftime(t.created_at, '%Y-%m') = '{B.MONTH}'""",
         "newest_examples": examples(newest),
         "cluster_search": search("nthend"),
         "cluster_search_subject": search(B.SUBJECT_WORD),
+        "cluster_search_indexed": search(B.SUBJECT_WORD),
         "cluster_search_trend": search("fail", "Increasing"),
         "kpis": f"""WITH {DESK} SELECT sum(ticket_count)::BIGINT AS total_tickets, count(*) AS clusters,
   count(*) FILTER (WHERE trend = 'Increasing') AS increasing, count(*) FILTER (WHERE trend = 'Decreasing') AS decreasing FROM clusters""",

@@ -16,6 +16,7 @@ from ..session import scratch_dir
 from ..sources import bindings as B
 from ..sources import jobs
 from ..sources.bindings import Desk
+from ..operators.subject_index import SubjectIndex
 from ..sources.csv_tickets import read_ticket_csv
 from ..sources.json_tickets import parse_tickets, read_json_stream
 from ..sources.store import TICKET_ORDER, TicketStore
@@ -204,6 +205,13 @@ def cluster_search_subject(desk: Desk) -> DataFrame:
     return _found(listing.search_clusters(desk.clusters(), desk.members(), desk.tickets(), B.SUBJECT_WORD))
 
 
+@query
+def cluster_search_indexed(desk: Desk) -> DataFrame:
+    """The same answer by trigram postings of the subjects."""
+    index = SubjectIndex.build(desk.tickets(), scratch_dir(desk.spark, "subjects"))
+    return _found(listing.search_clusters(desk.clusters(), desk.members(), desk.tickets(), B.SUBJECT_WORD, index=index))
+
+
 @query
 def cluster_search_trend(desk: Desk) -> DataFrame:
     return _found(listing.search_clusters(desk.clusters(), desk.members(), desk.tickets(), "fail", "Increasing"))

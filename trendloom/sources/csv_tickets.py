@@ -75,11 +75,15 @@ def _parsed(records: DataFrame, layout: T.StructType, given: list[str | None] |
     """The fields of every record but the headers, and ``_seq``, its place. Headers that differ from ``given`` raise."""
     options = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in DIALECT.items()}
     plain = ", ".join(f"c{i} string" for i in range(len(layout)))
-    read = records.withColumn("_fields", F.from_csv("text", F.lit(plain), {**options, "multiLine": "true"}))
+    # INLINE binds the fields, so that no filter above repeats the parsing.
+    fields = F.from_csv("text", F.lit(plain), {**options, "multiLine": "true"})
+    read = records.select("file", "block", "row", F.inline(F.array(fields)))
     header = (F.col("block") == 0) & (F.col("row") == 0)
     if given is not None:
-        wanted = F.struct(*[F.lit(name).cast("string").alias(f"c{i}") for i, name in enumerate(given)])
-        other = header & ~F.to_json("_fields").eqNullSafe(F.to_json(wanted))
-        header = F.when(other, F.raise_error(F.concat(F.lit("another header than the first file: "), "file")).cast("boolean")).otherwise(header)
+        same = F.lit(True)
+        for i, name in enumerate(given):
+            same &= F.col(f"c{i}").eqNullSafe(F.lit(name).cast("string"))
+        error = F.raise_error(F.concat(F.lit("another header than the first file: "), "file")).cast("boolean")
+        header = F.when(header & ~same, error).otherwise(header)
     seq = F.struct("file", "block", "row").alias("_seq")
-    return read.filter(~header).select(*[F.col(f"_fields.c{i}").alias(n) for i, n in enumerate(layout.names)], seq)
+    return read.filter(~header).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(layout.names)], seq)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 CLOSING = re.compile(r'[^"]*(?:""[^"]*)*"(?!")')
 WHOLE, HEAD, PIECE = 0, 1, 2
 PLACE = "file string, block bigint, row bigint"
@@ -78,7 +80,7 @@ def split_ends(lines: DataFrame) -> DataFrame:
 
 
 def begun_inside(ends: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file, block) of the splits that begin inside a quoted field."""
+    """(file, block) of the splits that begin inside a quoted field; block -1 for a file that ends inside of one."""
     splits = lines.select("file", "block").distinct().join(ends, ["file", "block"], "left")
 
     def carry(own: pd.DataFrame) -> pd.DataFrame:
@@ -88,6 +90,8 @@ def begun_inside(ends: DataFrame, lines: DataFrame) -> DataFrame:
                 found.append((split.file, split.block))
             if split.outside is not None:  # a split without quotes leaves the state as it is
                 inside = split.inside if inside else split.outside
+        if inside:
+            found.append((own["file"].iloc[0], -1))
         return pd.DataFrame(found, columns=["file", "block"])
 
     return splits.groupBy("file").applyInPandas(carry, "file string, block bigint")
@@ -148,13 +152,18 @@ def quoted_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     lines = lines_of(spark, path)
     # At most one row for each split; a split is a part of a file of up to spark.sql.files.maxPartitionBytes.
-    inside = begun_inside(split_ends(lines), lines).withColumn("begins_inside", F.lit(True))
-    known = lines.join(F.broadcast(inside), ["file", "block"], "left")
+    path_of_splits = scratch_dir(spark, "csv-splits")
+    begun_inside(split_ends(lines), lines).write.parquet(path_of_splits)
+    inside = spark.read.schema("file string, block bigint").parquet(path_of_splits)
+    if inside.isEmpty():  # no record crosses the end of a split
+        return pieces_of(lines.withColumn("begins_inside", F.lit(False))).drop("kind")
+    known = lines.join(F.broadcast(inside.withColumn("begins_inside", F.lit(True))), ["file", "block"], "left")
     known = known.select("file", "block", "text", F.coalesce("begins_inside", F.lit(False)).alias("begins_inside"))
     whole = pieces_of(known).filter(F.col("kind") == WHOLE).drop("kind")
-    # Records cross splits only in files with such a split, or are the last of a file that ends in an open quote.
+    # The others are in files with such splits.
+    crossed = known.join(F.broadcast(inside.select("file").distinct()), "file", "left_semi")
     order = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, 0)
-    crossing = pieces_of(known).filter(F.col("kind") != WHOLE).withColumn("head", F.count_if(F.col("kind") == HEAD).over(order))
+    crossing = pieces_of(crossed).filter(F.col("kind") != WHOLE).withColumn("head", F.count_if(F.col("kind") == HEAD).over(order))
     parts = F.sort_array(F.collect_list(F.struct("block", "row", "text")))  # of one record
     joined = crossing.groupBy("file", "head").agg(parts.alias("parts")).select(
         "file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["row"].alias("row"),
