@@ -32,7 +32,7 @@ TOP = 10
 QUERY_BYTES = 8 << 20  # text of the queries that are sent to every task at once; more of them take further passes
 BUCKET_ROWS = 1024
 FOCUS_TERMS = 8
-SEED_ROWS = 4096  # documents with most query terms; their scores are the first thresholds
+SEED_ROWS = 4096  # about so many documents with most query terms give the first thresholds
 
 # Letters of terms: all but the ASCII ones that are neither digit nor letter. A-Z are lower-cased, nothing else is.
 TERM_LETTERS = bytes(
@@ -255,7 +255,10 @@ def search_block(docs: DataFrame, rows: list[Row], kind: str, k: int, text: str,
     queries = Queries.of(rows)
     counted = stored(postings(docs, queries.vocabulary, text, key), "postings")
     corpus = Corpus.of(counted, len(queries.vocabulary))
-    longest = counted.orderBy(F.size("terms").desc(), F.col("key").asc_nulls_last()).limit(SEED_ROWS)
+    # Documents with most query terms, in the tasks that hold them: no limit that one task would have to apply.
+    share = min(1.0, SEED_ROWS / max(1, corpus.documents))
+    least_terms = counted.agg(F.percentile_approx(F.size("terms"), 1.0 - share)).first()[0]
+    longest = counted.filter(F.size("terms") >= F.lit(least_terms))
     floors = np.ones(len(queries.ids), dtype=np.int64)
     for query, number, least in ranked(best_rows(longest, queries, corpus, k), k).groupBy("query").agg(F.count("*"), F.min("score")).collect():
         if number == k:  # so many documents score this or more: a valid threshold for all tasks
