@@ -10,7 +10,7 @@ of an anchor that is spread over several shards are looked up in the other shard
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -241,8 +241,9 @@ def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shard_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (anchor, salts, digest, bytes), sorted by anchor and salt, into rows (anchor, digest, runs, rest): runs of
-    repeated starts, and for salted anchors every different window of the shard with one of its starts.
+    """Rows (anchor, different, salts, digest, bytes), sorted by anchor and salt, into rows (anchor, different, digest,
+    runs, rest): runs of repeated starts, and for salted anchors every different window of the shard with one of its
+    starts.
 
     Whole groups of one anchor and salt are put into one array until it is full; a group is never split.
     """
@@ -250,16 +251,16 @@ def shard_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def finish(rows: list[tuple]) -> pd.DataFrame:
         out = []
-        found = repeated_starts([r[4] for r in rows])
-        for (anchor, _, salts, digest, data), (hit, first) in zip(rows, found, strict=True):
+        found = repeated_starts([r[-1] for r in rows])
+        for (anchor, _, different, salts, digest, data), (hit, first) in zip(rows, found, strict=True):
             rest = []
             if salts > 1:
                 rest = [{"window": xxhash.xxh3_128_digest(data[i : i + LENGTH]), "at": int(i)} for i in np.flatnonzero(first)]
-            out.append((anchor, digest, [{"at": a, "windows": n} for a, n in runs_of(hit)], rest))
-        return pd.DataFrame(out, columns=["anchor", "digest", "runs", "rest"])
+            out.append((anchor, different, digest, [{"at": a, "windows": n} for a, n in runs_of(hit)], rest))
+        return pd.DataFrame(out, columns=["anchor", "different", "digest", "runs", "rest"])
 
     for batch in batches:
-        for row in batch[["anchor", "salt", "salts", "digest", "bytes"]].itertuples(index=False, name=None):
+        for row in batch[["anchor", "salt", "different", "salts", "digest", "bytes"]].itertuples(index=False, name=None):
             if len(held) >= ARRAY_SEGMENTS and held[-1][:2] != row[:2]:
                 yield finish(held)
                 held = []
@@ -312,14 +313,13 @@ def key_of(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+def distinct_texts(docs: DataFrame, text: str, name: str) -> DataFrame:
     """Rows (key, body, copies) of all different texts that have a window, laid out in buckets by key, so that later
-    joins with places of a text don't move texts again."""
+    joins with places of a text don't move texts again: a table of this name."""
     spark = docs.sparkSession
     body = whole_text(text)
     rows = docs.select(body.alias("body")).filter(F.octet_length("body") >= LENGTH).withColumn("key", key_of(F.col("body")))
     rows = rows.groupBy("key").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
-    name = f"suffix_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(buckets, "key").option("path", scratch_dir(spark, "suffix-texts")).saveAsTable(name)
     return spark.table(name)
@@ -349,6 +349,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     here = F.encode("body", "UTF-8")
     looked = looked.join(texts.select("key", "body"), "key").select(
         "anchor",
+        "different",
         "digest",
         F.ceil(F.col("different") / SHARD_SEGMENTS).cast("int").alias("salts"),
         F.substring(here, F.col("start") + 1, F.col("windows") + LENGTH - 1).alias("bytes"),
@@ -358,15 +359,14 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     shards = looked.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "digest")
     found = shards.mapInPandas(
         shard_hits,
-        "anchor long, digest long, runs array<struct<at:int,windows:int>>, rest array<struct<window:binary,at:int>>",
+        "anchor long, different long, digest long, runs array<struct<at:int,windows:int>>, rest array<struct<window:binary,at:int>>",
     )
     found = stored(found, "suffix-hits")
     hits = found.select("anchor", "digest", F.inline("runs"))
 
-    # The different windows of every shard of a salted anchor meet those of its other shards.
-    rest = found.select("anchor", "digest", F.inline("rest")).join(
-        anchors.filter(F.col("different") > SHARD_SEGMENTS), "anchor"
-    )
+    # The different windows of every shard of a salted anchor meet those of its other shards, in ranges of windows: an
+    # anchor's windows are never in one place.
+    rest = found.filter(F.col("different") > SHARD_SEGMENTS).select("anchor", "different", "digest", F.inline("rest"))
     ranges = F.ceil(F.col("different") * RUN / LOOKUP_WINDOWS).cast("long")
     rest = rest.withColumn("range", F.pmod(F.xxhash64("window"), ranges))
     met = rest.groupBy("anchor", "range").agg(F.collect_list(F.struct("window", "digest", "at")).alias("found"))
@@ -397,21 +397,31 @@ def without_runs(body: Column, runs: Column) -> Column:
     return without(body, runs)
 
 
-def changed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (key, n_removed, n_spans, kept) of every different text that loses bytes; ``kept`` may be no whole UTF-8.
+def changed_texts(docs: DataFrame, text: str = "text", kept: Callable[[Column], Column] = lambda kept: kept) -> DataFrame:
+    """Rows (key, n_removed, n_spans, kept) of every different text that loses bytes; ``kept`` may be no whole UTF-8, and
+    is stored as the given function of it.
 
     Every byte goes that lies in a string of LENGTH bytes which starts anywhere else, in the same text too; texts of
-    repeated rows repeat each other.
+    repeated rows repeat each other. The table of texts leaves the catalog as soon as the rows are stored.
     """
-    small_batches(docs.sparkSession)
-    texts = distinct_texts(docs, text)
+    spark = docs.sparkSession
+    small_batches(spark)
+    name = f"suffix_texts_{uuid.uuid4().hex}"
+    try:
+        texts = distinct_texts(docs, text, name)
+        return stored(without_repeats(texts, kept), "suffix-changed")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def without_repeats(texts: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
     runs = stored(repeated_runs(texts), "suffix-runs")
     length = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + (r["stop"] - r["start"]))
     return texts.select("key", "body").join(runs, "key").select(
         "key",
         length.alias("n_removed"),
         F.size("runs").cast("long").alias("n_spans"),
-        without_runs(F.col("body"), F.col("runs")).alias("kept"),
+        kept(without_runs(F.col("body"), F.col("runs"))).alias("kept"),
     )
 
 
@@ -421,8 +431,8 @@ def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     Null counts as empty; texts under LENGTH bytes keep all; repeated rows get equal figures; other columns are not
     read; an empty table gives no rows.
     """
-    changed = changed_texts(docs, text).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("changed_sha256"))
-    changed = stored(changed, "suffix-changed")  # a plain side, so that Spark can split a text that very many rows have
+    # A plain stored side, so that Spark can split a text that very many rows have.
+    changed = changed_texts(docs, text, lambda kept: F.sha2(kept, 256)).withColumnRenamed("kept", "changed_sha256")
     body = whole_text(text)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest")
