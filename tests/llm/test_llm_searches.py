@@ -188,6 +188,25 @@ def test_shards_and_long_texts_change_nothing(one_each, monkeypatch):
     same(removal_of(one_each(rows)), [(d, *row) for (d, _), row in zip(rows, brute.repeated_bytes([t for _, t in rows]), strict=True)])
 
 
+def test_no_table_stays_in_the_catalog(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    changed = suffix_dedup.changed_texts(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before and changed.count() > 0
+
+
+def test_helper_columns_do_not_clash(spark):
+    rows = [(1, "a b c d e", "r", "n", "l"), (1, "a b c d e", "r", None, "k"), (2, "another text of words", "r2", "n2", "l2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `__row` string, `__copies` string, `__least` string")
+    kept = simhash.keep_one_each(frame)
+    assert kept.columns == frame.columns
+    first, second = sorted(map(tuple, kept.collect()))
+    assert first in rows[:2] and second == rows[2]
+    assert sorted(map(tuple, simhash.keep_one_each(frame.repartition(5)).collect())) == [first, second]
+    benchmark = spark.createDataFrame([(1, "another text of words")], "item_id long, text string")
+    clean = decontaminate.clean(frame, benchmark)
+    assert clean.columns == frame.columns and sorted(map(str, map(tuple, clean.collect()))) == sorted(map(str, rows[:2]))
+
+
 # Winnowing
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.arrays import neighbours
-from trendloom.llm.common import row_key, sha256_of, stored, whole_text
+from trendloom.llm.common import row_key, sha256_of, stored, unused, whole_text
 
 WINDOW = 10
 GRAM = 6
@@ -164,6 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without any hit, with all columns."""
-    found = hits(docs, benchmark).select(F.col("row").alias("__row"))
-    marked = docs.withColumn("__row", row_key("doc_id", "text"))
-    return marked.join(found, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = unused(docs, "__row")
+    found = hits(docs, benchmark).select(F.col("row").alias(row))
+    marked = docs.withColumn(row, row_key("doc_id", "text"))
+    return marked.join(found, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

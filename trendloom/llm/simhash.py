@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import row_key, small_batches, stored, whole_text
+from trendloom.llm.common import row_key, small_batches, stored, unused, whole_text
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -222,10 +222,14 @@ def keep_one_each(docs: DataFrame, radius: int = MAX_BITS, shingle: int = SHINGL
     )
     found = classified(stored(marked, "simhash-prints"), radius)
     one = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("one"))
-    stays = one.select(F.col("one.row").alias("__row"))
-    copies = found.groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("__copies"))
-    stays = stored(stays.join(copies, "__row"), "simhash-stays")
-    kept = docs.withColumn("__row", row_key("doc_id", "text")).join(stays, "__row")
-    single = kept.filter("__copies = 1")
-    repeated = kept.filter("__copies > 1").dropDuplicates(["__row"])
-    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, number, least = (unused(docs, name) for name in ("__row", "__copies", "__least"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stays = one.select(F.col("one.row").alias(row))
+    copies = found.groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias(number))
+    stays = stored(stays.join(copies, row), "simhash-stays")
+    kept = docs.withColumn(row, row_key("doc_id", "text")).join(stays, row)
+    single = kept.filter(F.col(number) == 1).select(*columns)
+    # Rows of one id and text that differ elsewhere: that of the least digest stays, whatever task sees it first.
+    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
+    repeated = kept.filter(F.col(number) > 1).groupBy(row).agg(F.min_by(F.struct(*columns), digest).alias(least))
+    return single.unionByName(repeated.select(f"{least}.*"))
