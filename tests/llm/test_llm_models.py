@@ -2,6 +2,7 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import FOLDER
@@ -164,6 +165,82 @@ def test_other_frames(page_model, begin, end):
     assert html_extract.main_text(page, page_model) == expected
 
 
+ARTICLE = "".join(f"<p>{p}" for p in PARAGRAPHS)
+NAV, FOOT = '<nav><a href="/">Home</a> <a href="/b">About us</a></nav>', "<footer>&copy; 2020 Somebody</footer>"
+
+
+def text_of(blocks):
+    import html
+    import re
+
+    return " ".join(html.unescape(re.sub(r"</?a[^>]*>", "", b)).replace("\xa0", " ") for b in blocks)
+
+
+@pytest.mark.parametrize("begin, end", [("<article>", "</article>"), ("<body>", "</body>"), ("<main>", "</main>")])
+def test_names_that_hold_other_words(page_model, begin, end):
+    names = "plain blog design-post information platform product-review photo-author printable threads readership learn-more moreover reviewBody"
+    for name in names.split():
+        page = f'<body>{NAV}{begin}<div class="{name}">{ARTICLE}</div>{end}{FOOT}'
+        assert html_extract.main_text(page, page_model) == text_of(PARAGRAPHS), name
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr><td><a href=/a>Menu</a><br><a href=/b>Two</a></td><td>{0}</td></tr></table>",
+        "<table><tr><td><ul><li><a href=/a>Menu</a></ul></td><td>{0}</td></tr><tr><td>&copy; 2003 me</td></tr></table>",
+        "<div>{0}</div><div>We use cookies. Accept all cookies to go on.</div>",
+        "<div>Wir verwenden Cookies. <button>Alle akzeptieren</button></div><div>{0}</div>",
+        "<div class=post>{0}</div><div id=comments>" + "<div class=comment><p>I liked this. Great piece of writing indeed!</p></div>" * 20 + "</div>",
+        "<article>{0}<form><p>Sign up for our letter. We write once a week.</p></form></article>",
+    ],
+)
+def test_tables_notices_and_comments(page_model, page):
+    assert html_extract.main_text(f"<body>{NAV}{page.format(ARTICLE)}{FOOT}", page_model) == text_of(PARAGRAPHS)
+
+
+# Frames of other sites than the model learns from, as (begin, end) of the main text, and parts that are none.
+SITES = (
+    ('<div id="page"><div class="row"><div class="col-8">', "</div></div></div>"),
+    ('<main role="main"><div class="rich">', "</div></main>"),
+    ('<div class="story-wrap"><div class="inner">', "</div></div>"),
+    ("<section><section>", "</section></section>"),
+    ('<table class="layout"><tbody><tr><td>', "</td></tr></tbody></table>"),
+)
+OTHERS = (
+    '<div role="navigation"><a href="/a">{0}</a> | <a href="/b">{1}</a></div>',
+    '<div class="top-nav"><ul><li><a href="/a">{0}</a><li><a href="/b">{1}</a></ul></div>',
+    '<div class="gdpr-overlay"><p>{0}</p><p>{1}</p></div>',
+    '<aside><div><p>{0}</p></div><div>{1}</div></aside>',
+    '<div class="reader-comments"><div><b>{0}</b><p>{1}</p></div></div>',
+    '<div class="widget"><h4>{0}</h4><p>{1}</p></div>',
+    '<div class="site-footer"><p>{0}</p><p>{1}</p></div>',
+    '<form action="/s"><p>{0}</p><input name=q><button>{1}</button></form>',
+    '<div class="sponsored"><p>{0}</p></div>',
+)
+
+
+def test_blocks_of_held_out_frames(page_model):
+    from html import escape
+
+    rng = np.random.default_rng(11)
+    texts = [t for (t,) in duckdb.connect().execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 300").fetchall()]
+    hit = found = true = 0
+    for _ in range(200):
+        main = [" ".join(texts[i].split())[: rng.integers(60, 400)].strip() for i in rng.integers(0, len(texts), size=rng.integers(2, 6))]
+        other = [" ".join(texts[i].split())[: rng.integers(15, 90)].strip() for i in rng.integers(0, len(texts), size=8)]
+        begin, end = SITES[rng.integers(len(SITES))]
+        parts = [OTHERS[rng.integers(len(OTHERS))].format(escape(other[2 * i]), escape(other[2 * i + 1])) for i in range(4)]
+        body = "".join(f"<p>{escape(x)}</p>" for x in main)
+        got = html_extract.main_text(f"<body>{parts[0]}{parts[1]}{begin}{body}{parts[2]}{end}{parts[3]}</body>", page_model)
+        hit += sum(x in got for x in main)
+        true += len(main)
+        found += sum(x in got for x in main) + sum(x in got for x in other)
+    f1 = 2 * hit / (found + true)
+    print("block F1", f1)
+    assert f1 >= 0.95
+
+
 def test_sum_product_gives_the_marginals(page_model):
     nodes = html_extract.Dom('<body><article><p>Some text here.</p><div class="ad">Buy</div></article><footer>x</footer>').nodes
     n = len(nodes)

@@ -17,7 +17,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import small_batches, whole_text
@@ -51,20 +51,25 @@ KINDS = {
     **dict.fromkeys(("form", "fieldset", "button", "textarea", "label"), "form"),
     **dict.fromkeys(("nav", "aside", "footer", "header", "article", "main", "address", "dialog"), ""),
 }
-# Words in class, id and role that tell what an element is for.
+LAYOUT = frozenset("table tbody thead tr td th".split())
+# Whole words in class, id and role that tell what an element is for: "sign" is no part of "design" here.
 NAMES = {
-    "name_content": r"article|\bmain|content|post|entry|story|body|\btext\b|prose",
-    "name_menu": r"\bnav|menu|breadcrumb|pagination|pager|toolbar|\btabs?\b|skip",
-    "name_header": r"header|masthead|banner|logo|topbar",
-    "name_footer": r"foot|copyright|legal|colophon",
-    "name_side": r"side|aside|widget|rail|related|recommend|popular|trending|promo|teaser|more",
-    "name_notice": r"notice|cookie|consent|gdpr|alert|popup|modal|overlay|subscribe|newsletter|paywall",
-    "name_advert": r"\bads?\b|\bad[-_]|advert|sponsor|banner|outbrain|taboola",
-    "name_form": r"form|search|login|sign|contact|comment-?form",
-    "name_comment": r"comment|repl(?:y|ies)|discuss|disqus|respon[ds]|reader|feedback|review|thread",
-    "name_share": r"share|social|tags?\b|byline|meta|author|print|rating",
+    "name_content": "article articles main content contents post entry story body text prose blog",
+    "name_menu": "nav navbar navigation topnav menu menus submenu breadcrumb breadcrumbs pagination pager toolbar tabs skip",
+    "name_header": "header masthead banner logo topbar",
+    "name_footer": "footer foot copyright legal colophon",
+    "name_side": "sidebar side aside widget widgets rail related recommended recommendations popular trending promo teaser teasers",
+    "name_notice": "notice notices cookie cookies cookiebar consent gdpr alert popup modal overlay subscribe newsletter paywall",
+    "name_advert": "ad ads advert adverts advertisement advertising sponsor sponsored outbrain taboola adsense",
+    "name_form": "form search login signup signin register contact",
+    "name_comment": "comment comments commentlist reply replies discussion disqus respond responses feedback",
+    "name_share": "share sharing social tags byline meta author print rating",
 }
-NAME_PATTERNS = {name: re.compile(pattern) for name, pattern in NAMES.items()}
+NAMED = {word: name for name, words in NAMES.items() for word in words.split()}
+# Names that a labelled article still leaves out.
+OTHER_NAMES = frozenset(("name_menu", "name_comment", "name_advert", "name_notice", "name_side"))
+# The word of consent notices, the same in most languages of the web. Short runs only: an article may be about it.
+CONSENT = re.compile(r"\b(?:cookies?|gdpr)\b", re.I)
 
 # Centre of the weights before any page is seen: features that the labelled pages don't show keep these.
 PRIOR = {
@@ -74,7 +79,8 @@ PRIOR = {
     "container": 0.0, "root": -1.0,
     "name_content": 1.5, "name_menu": -3.5, "name_header": -2.0, "name_footer": -4.0, "name_side": -3.0,
     "name_notice": -4.0, "name_advert": -4.0, "name_form": -3.0, "name_comment": -4.5, "name_share": -2.0,
-    "run": 0.0, "linked": -2.0, "short": -0.3, "long": 0.7, "sentences": 0.4, "rights": -2.0,
+    "run": 0.0, "linked": -2.0, "short": -0.3, "long": 0.7, "sentences": 0.4, "rights": -2.0, "consent": -3.0,
+    "bulk": 3.0,
 }
 FEATURES = tuple(PRIOR)
 PLACE = {name: i for i, name in enumerate(FEATURES)}
@@ -91,16 +97,32 @@ EDGES = tuple(EDGE_PRIOR)
 class Node:
     tag: str
     parent: int
-    names: str = ""
+    names: frozenset[str] = frozenset()
     main: int | None = None
     text: list[str] = field(default_factory=list)
     letters: int = 0
     linked: int = 0
+    layout: bool = False  # part of a table that holds blocks, as pages laid out by tables do
+    bulk: bool = False  # holds over half of the page's text outside links
+    holds: str = "root"  # kind of the edges to its children
 
     @property
     def run(self) -> bool:
         return self.tag == "#text"
 
+    @property
+    def kind(self) -> str:
+        return "container" if self.layout else KINDS.get(self.tag, "container")
+
+
+def name_groups(attrs: list) -> frozenset[str]:
+    """Groups of the whole words in class, id and role; camelCase is two words."""
+    words = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+    if not words:
+        return frozenset()
+    words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", words).lower()
+    return frozenset(NAMED[w] for w in re.findall(r"[a-z]+", words) if w in NAMED)
+
 
 class Dom(HTMLParser):
     """Block elements and runs of text of a page, parents before children, in page order."""
@@ -114,6 +136,33 @@ class Dom(HTMLParser):
         self.run: Node | None = None
         self.feed(html)
         self.close()
+        self._look_over()
+
+    def _look_over(self) -> None:
+        """Marks layout tables, and nodes that hold most of the text."""
+        plain = [n.letters - n.linked for n in self.nodes]
+        for i in range(len(self.nodes) - 1, 0, -1):
+            node = self.nodes[i]
+            parent = self.nodes[node.parent]
+            plain[node.parent] += plain[i]
+            if (node.layout and node.tag != "table") or (
+                parent.tag in ("td", "th") and node.kind in ("paragraph", "heading", "list", "container") and not node.run
+            ):
+                parent.layout = parent.tag in LAYOUT
+        for i, node in enumerate(self.nodes):
+            up = self.nodes[node.parent] if node.parent >= 0 else node
+            node.layout |= node.tag in LAYOUT and up.tag in LAYOUT and up.layout
+            node.bulk = i > 0 and 2 * plain[i] > plain[0]
+            node.holds = self._holds(node, up.holds)
+
+    @staticmethod
+    def _holds(node: Node, above: str) -> str:
+        """What the edges to the children of a node are like. A container without a name is like what it stands in."""
+        if node.tag in ("article", "main") or (node.kind == "container" and node.names == {"name_content"}):
+            return "main"
+        if node.kind not in ("root", "container") or node.names:
+            return "other"
+        return above if node.kind == "container" and above in ("main", "other") else node.kind
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -136,9 +185,8 @@ class Dom(HTMLParser):
         self.run = None
         self._close_open_paragraph()
         self._close_siblings(tag)
-        names = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role") and v).lower()
         main = next((int(v == "1") for k, v in attrs if k == "data-main"), None)
-        self.nodes.append(Node(tag, self.open[-1][1], names, main))
+        self.nodes.append(Node(tag, self.open[-1][1], name_groups(attrs), main))
         self.open.append((tag, len(self.nodes) - 1))
 
     def _pop(self) -> None:
@@ -205,23 +253,19 @@ def features(node: Node) -> list[int]:
             out.append(PLACE["sentences"])
         if text.lstrip().startswith("©"):
             out.append(PLACE["rights"])
+        if node.letters < 300 and CONSENT.search(text):
+            out.append(PLACE["consent"])
         return out
-    kind = KINDS.get(node.tag, "container") or node.tag
-    out.append(PLACE[kind])
-    if node.names:
-        out += [PLACE[name] for name, pattern in NAME_PATTERNS.items() if pattern.search(node.names)]
+    out.append(PLACE[node.kind or node.tag])
+    out += [PLACE[name] for name in sorted(node.names)]
+    if node.bulk:
+        out.append(PLACE["bulk"])
     return out
 
 
 def edge(parent: Node, child: Node) -> int:
-    """Kind of an edge. A container whose names say what it is for is no such container."""
-    kind = KINDS.get(parent.tag, "container") or "other"
-    named = {name for name, pattern in NAME_PATTERNS.items() if parent.names and pattern.search(parent.names)}
-    if parent.tag in ("article", "main") or (kind == "container" and named == {"name_content"}):
-        kind = "main"
-    elif kind not in ("root", "container") or named:
-        kind = "other"
-    return EDGES.index("run" if child.run and kind != "root" else kind)
+    """Kind of an edge."""
+    return EDGES.index("run" if child.run and parent.holds != "root" else parent.holds)
 
 
 @dataclass
@@ -272,9 +316,7 @@ def labelled(nodes: list[Node]) -> list[int] | None:
         up = out[node.parent] if node.parent >= 0 else 0
         if node.tag == "article":
             up = 1
-        if node.tag in ("nav", "aside", "footer", "form", "dialog") or any(
-            NAME_PATTERNS[f"name_{x}"].search(node.names) for x in ("menu", "comment", "advert", "notice", "side") if node.names
-        ):
+        if node.tag in ("nav", "aside", "footer", "form", "dialog") or node.names & OTHER_NAMES:
             up = 0
         out.append(up)
     return out
@@ -288,6 +330,10 @@ WRAPPERS = (
     ('<div class="post-content" data-main=1>', "</div>"),
     ('<div id="content" data-main=1>', "</div>"),
     ('<section class="entry" data-main=1>', "</section>"),
+    ('<div class="{0}" data-main=1>', "</div>"),
+    ('<section id="{0}" class="{1}" data-main=1>', "</section>"),
+    ("<div data-main=1>", "</div>"),
+    ("<table><tr><td data-main=1>", "</td></tr></table>"),
 )
 OTHER_PARTS = (
     '<header class="site-header" data-main=0><a href="/">{0}</a><p>{1}</p></header>',
@@ -323,6 +369,9 @@ def rearranged(nodes: list[Node], marks: list[int]) -> str:
         return OTHER_PARTS[rng.integers(len(OTHER_PARTS))].format(*(escape(texts[i]) for i in chosen))
 
     begin, end = WRAPPERS[rng.integers(len(WRAPPERS))]
+    # Names that tell nothing, or the wrong thing: words of the page and of the lists.
+    words = [w for t in texts for w in t.split()[:20]] + [w for group in NAMES.values() for w in group.split()]
+    begin = begin.format(*(escape("-".join(words[i] for i in rng.integers(0, len(words), size=2))) for _ in range(2)))
     shown = main[: rng.integers(1, len(main) + 1)] if main and rng.random() < 0.5 else main
     body = [BLOCKS[rng.integers(len(BLOCKS))].format(escape(t)) for t in shown]
     if main and rng.random() < 0.3:
@@ -427,8 +476,11 @@ def training_rows(nodes: list[Node], marks: list[int], tree: int = 0) -> list[di
 
 
 def training_nodes(pages: DataFrame, page_id: str, html: str, most: int) -> pd.DataFrame:
-    """Nodes of at most ``most`` pages that mark their article, those whose ids hash least, each as it is and rearranged."""
-    chosen = pages.select(F.col(page_id).alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+    """Nodes of at most ``most`` different pages that mark their article, those whose ids hash least, each as it is and
+    rearranged. Pages whose trees go beyond TRAIN_NODES nodes in all are left out whole."""
+    marking = pages.select(F.col(page_id).alias("id"), F.col(html).alias("html")).filter("id IS NOT NULL")
+    marking = marking.filter(F.col("html").rlike("(?i)<article")).withColumn("digest", F.xxhash64("html"))
+    chosen = marking.select("id", "digest").distinct().orderBy(F.xxhash64("id"), "id", "digest").limit(most)
 
     @F.pandas_udf("array<struct<tree:int,at:int,features:array<int>,label:int,edge:int,parent:int>>")
     def read(texts: pd.Series) -> pd.Series:
@@ -443,8 +495,11 @@ def training_nodes(pages: DataFrame, page_id: str, html: str, most: int) -> pd.D
             out.append(training_rows(nodes, marks) + training_rows(other, marked(other), 1))
         return pd.Series(out, dtype=object)
 
-    rows = pages.select(F.col(page_id).alias("id"), whole_text(html).alias("html")).join(F.broadcast(chosen), "id")
-    rows = rows.dropDuplicates(["id"]).select("id", F.inline(read("html"))).orderBy("id", "tree", "at").limit(TRAIN_NODES)
+    trees = marking.join(F.broadcast(chosen), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    trees = trees.select("id", "digest", read("html").alias("nodes"))
+    so_far = F.sum(F.size("nodes")).over(Window.orderBy("id", "digest"))  # over ``most`` rows
+    rows = trees.withColumn("so_far", so_far).filter(F.col("so_far") <= TRAIN_NODES)
+    rows = rows.select("id", "digest", F.inline("nodes")).orderBy("id", "digest", "tree", "at")
     return with_row_parents(rows.toPandas())
 
 
