@@ -228,7 +228,7 @@ def test_blocks_of_held_out_frames(page_model):
     hit = found = true = 0
     for _ in range(200):
         main = [" ".join(texts[i].split())[: rng.integers(60, 400)].strip() for i in rng.integers(0, len(texts), size=rng.integers(2, 6))]
-        other = [" ".join(texts[i].split())[: rng.integers(15, 90)].strip() for i in rng.integers(0, len(texts), size=8)]
+        other = [f"{k} " + " ".join(texts[i].split())[: rng.integers(15, 90)].strip() for k, i in enumerate(rng.integers(0, len(texts), size=8))]
         begin, end = SITES[rng.integers(len(SITES))]
         parts = [OTHERS[rng.integers(len(OTHERS))].format(escape(other[2 * i]), escape(other[2 * i + 1])) for i in range(4)]
         body = "".join(f"<p>{escape(x)}</p>" for x in main)

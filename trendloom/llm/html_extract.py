@@ -354,7 +354,10 @@ OTHER_PARTS = (
     "<footer data-main=0><p>&copy; {0}</p><p>{1}</p></footer>",
     '<div class="footer" data-main=0>&copy; {0}</div>',
 )
-BLOCKS = ("<p>{0}</p>", "<p>{0}</p>", "<p>{0}</p>", "<ul><li>{0}</li></ul>", "<blockquote>{0}</blockquote>", "<div>{0}</div>", "<h2>{0}</h2>")
+BLOCKS = (
+    "<p>{0}</p>", "<p>{0}</p>", "<p>{0}</p>", "<ul><li>{0}</li></ul>", "<blockquote>{0}</blockquote>", "<div>{0}</div>", "<h2>{0}</h2>",
+    "<table><tr><th>{0}</th><td>{0}</td></tr></table>", "<figure><figcaption>{0}</figcaption></figure>",
+)
 
 
 def rearranged(nodes: list[Node], marks: list[int]) -> str:
@@ -369,10 +372,11 @@ def rearranged(nodes: list[Node], marks: list[int]) -> str:
         return OTHER_PARTS[rng.integers(len(OTHER_PARTS))].format(*(escape(texts[i]) for i in chosen))
 
     begin, end = WRAPPERS[rng.integers(len(WRAPPERS))]
-    # Names that tell nothing, or the wrong thing: words of the page and of the lists.
-    words = [w for t in texts for w in t.split()[:20]] + [w for group in NAMES.values() for w in group.split()]
+    # Names that tell nothing, or little: words of the page, and those that articles have beside other elements.
+    words = [w for t in texts for w in t.split()[:20]] + " ".join(NAMES[f"name_{x}"] for x in ("content", "header", "share")).split()
     begin = begin.format(*(escape("-".join(words[i] for i in rng.integers(0, len(words), size=2))) for _ in range(2)))
     shown = main[: rng.integers(1, len(main) + 1)] if main and rng.random() < 0.5 else main
+    shown = [t[: rng.integers(4, 40)] if rng.random() < 0.2 else t for t in shown]  # articles have short blocks too
     body = [BLOCKS[rng.integers(len(BLOCKS))].format(escape(t)) for t in shown]
     if main and rng.random() < 0.3:
         body[0] = f"<header data-main=1><h1>{escape(main[0])}</h1></header>"
