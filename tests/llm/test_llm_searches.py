@@ -378,6 +378,20 @@ def test_copies_of_one_text_stay_off_the_driver(spark, monkeypatch):
     assert read and max(read) <= 60
 
 
+def test_points_are_stored_in_few_files(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 900}") for i in range(1200)], "doc_id long, text string").repartition(3)
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        points = sharding.points_of(docs, "doc_id", "text")
+        assert len(points.inputFiles()) <= spark.sparkContext.defaultParallelism and points.count() == 1200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # Empty tables
 
 

@@ -19,6 +19,8 @@ FINISH_ROWS = 20_000
 TOLERANCE = 0.01
 # Rows of one numbering window.
 NUMBERED_ROWS = 100_000
+# Rows of one file of a stored table, once every core has a file.
+FILE_ROWS = 1_000_000
 
 DIMENSIONS = ("d_size", "d_lang", "d_source")
 # Ties of a dimension are ordered by the digest of the text, then by the row.
@@ -66,7 +68,8 @@ class Node:
 
 
 def points_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One narrow row per document: its size, its coordinates, and a number that tells repeated rows apart.
+    """One narrow row per document: its size, its coordinates, and a number that tells repeated rows apart. They are
+    stored in a few files, however many partitions the shuffle has: every level of the tree reads them several times.
 
     Rows of one text take the least source and language of them, so that they have one place and stay together unless
     a cut has to go through them.
@@ -90,9 +93,11 @@ def points_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.monotonically_increasing_id().alias("point"),
     )
     rows = stored(rows, "kd-rows")
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILE_ROWS))
     same = rows.groupBy("content", "size").agg(F.min("d_source").alias("d_source"), F.min("d_lang").alias("d_lang"))
-    same = stored(same, "kd-texts")  # a plain side, so that Spark can split a text that very many rows have
-    return rows.drop("d_source", "d_lang").join(same, ["content", "size"])
+    # A plain side, so that Spark can split a text that very many rows have.
+    same = stored(same.repartition(files), "kd-texts")
+    return stored(rows.drop("d_source", "d_lang").join(same, ["content", "size"]).repartition(files), "kd-points")
 
 
 def measure(points: DataFrame, tree: Node, open_nodes: list[Node]) -> None:
@@ -223,7 +228,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = No
     bytes, a null source or language lies before all others, missing columns don't split. Repeated rows are told apart
     by their place in the table and may be split. An empty table gives no rows.
     """
-    points = stored(points_of(docs, doc_id, text), "kd-points")
+    points = points_of(docs, doc_id, text)
     rows, total = points.agg(F.count(F.lit(1)), F.sum("size")).first()
     if target_bytes:
         shards = max(1, -(-(total or 0) // target_bytes))
