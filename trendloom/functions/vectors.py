@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCORE_DIGITS = 12  # scores this close count as equal, so that ties break by id and not by rounding noise
+SCORE_SLACK = 2e-12  # a score that rounding may lift to a bound is no further below it
 
 
 def as_doubles(vector: Column) -> Column:

@@ -23,8 +23,9 @@ from .ranking import top_per_group
 
 SMALL_SIDE_BYTES = 64 << 20  # largest matrix sent to every task
 SMALL_SIDE_ROWS = 10_000
-SCORES_AT_ONCE = 4_000_000  # cells of one score table in a task
-BLOCK_CELLS = 8_000_000  # numbers in one group of vectors
+SCORES_AT_ONCE = 2_000_000  # cells of one score table in a task
+HITS_AT_ONCE = 500_000  # matches that wait to be ranked in a task
+BLOCK_CELLS = 2_000_000  # numbers in one group of vectors
 
 
 @dataclass(frozen=True)
@@ -184,31 +185,49 @@ def _arrow(sql_type: str) -> pa.DataType:
 
 
 class _Best:
-    """The k best matches per query seen so far in a task."""
+    """The k best matches per query seen so far in a task; ``floor`` is what a match of each query must reach."""
 
-    def __init__(self, unit_queries: np.ndarray, k: int, threshold: float | None):
+    def __init__(self, unit_queries: np.ndarray, k: int, threshold: float | None, floor: np.ndarray | None = None):
         self.unit, self.k = unit_queries, k
         self.above = -np.inf if threshold is None else threshold
-        self.floor = np.full(len(unit_queries), -np.inf)
+        self.floor = np.full(len(unit_queries), -np.inf) if floor is None else floor.copy()
         self.kept = pd.DataFrame({"query": np.array([], dtype=np.int64), "match": [], "score": np.array([], dtype=float)})
+        self.waiting: list[pd.DataFrame] = []
 
-    def add(self, match_ids: np.ndarray, rows: np.ndarray) -> None:
-        step = max(1, SCORES_AT_ONCE // max(1, len(self.unit)))
+    def add(self, match_ids: np.ndarray, rows: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """``asking`` are the positions of the queries that meet the rows; all, if not given."""
+        units = self.unit if asking is None else self.unit[asking]
+        step = max(1, SCORES_AT_ONCE // max(1, len(units)))
+        rows = vectors.unit_rows(rows)
         for start in range(0, len(rows), step):
-            table = vectors.scores(rows[start : start + step], self.unit)
-            row, query = np.nonzero((table > self.above) & (table >= self.floor))
+            floor = self.floor if asking is None else self.floor[asking]
+            table = rows[start : start + step] @ units.T
+            least = np.maximum(floor, self.above) - vectors.SCORE_SLACK
+            hit = table >= least
+            if len(table) > self.k and np.count_nonzero(hit) > self.k * len(units):  # the k best of these rows, and ties
+                hit &= table >= np.partition(table, -self.k, axis=0)[-self.k] - vectors.SCORE_SLACK
+            row, query = np.nonzero(hit)
+            score = np.round(table[row, query], vectors.SCORE_DIGITS)
+            exact = (score > self.above) & (score >= floor[query])
+            row, query, score = row[exact], query[exact], score[exact]
             if len(row):
-                new = pd.DataFrame({"query": query, "match": match_ids[start + row], "score": table[row, query]})
-                self._keep(new if self.kept.empty else pd.concat([self.kept, new]))
-
-    def _keep(self, rows: pd.DataFrame) -> None:
-        ordered = rows.sort_values(["query", "score", "match"], ascending=[True, False, True])
+                query = query if asking is None else asking[query]
+                self.waiting.append(pd.DataFrame({"query": query, "match": match_ids[start + row], "score": score}))
+                if sum(map(len, self.waiting)) > HITS_AT_ONCE:
+                    self._keep()
+
+    def _keep(self) -> None:
+        rows, self.waiting = [r for r in (self.kept, *self.waiting) if len(r)], []
+        if not rows:
+            return
+        ordered = pd.concat(rows).sort_values(["query", "score", "match"], ascending=[True, False, True])
         self.kept = ordered[ordered.groupby("query").cumcount() < self.k]
         full = self.kept.groupby("query")["score"].agg(["size", "min"])
         full = full[full["size"] == self.k]
         self.floor[full.index.to_numpy()] = full["min"].to_numpy()
 
     def rows(self) -> pd.DataFrame:
+        self._keep()
         return self.kept
 
 

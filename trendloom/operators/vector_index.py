@@ -29,6 +29,8 @@ SAMPLE_NUMBERS = 4_000_000  # numbers of the sampled vectors that centres are fi
 MAX_CELLS = 1024
 FIT_ROUNDS = 8
 CALIBRATION_QUERIES = 64
+LEAST_BLOCKS = 8  # of the larger side, if a block then has LEAST_BLOCK vectors
+LEAST_BLOCK = 1000
 MARGIN = 1e-7  # of angles, for the rounding of scores: near 1, cosines that differ by 1e-12 are 1e-6 apart as angles
 
 
@@ -83,11 +85,13 @@ class Cells:
         )
         return cls(centres, stats.toPandas())  # MAX_CELLS rows at most
 
-    def bounds(self, units: np.ndarray) -> np.ndarray:
-        """Best possible cosine of every unit query with a vector of each cell."""
-        angle = np.arccos(np.clip(units @ self.centres.T, -1, 1))
-        best = np.cos(np.maximum(angle - self.width - MARGIN, 0.0))
-        best[:, self.zero] = np.maximum(best[:, self.zero], 0.0)
+    def bounds(self, units: np.ndarray, position: int | None = None) -> np.ndarray:
+        """Best possible cosine of every unit query with a vector of each cell, or of the cell at one position."""
+        some = slice(None) if position is None else slice(position, position + 1)
+        zero = self.zero[some]
+        angle = np.arccos(np.clip(units @ self.centres[some].T, -1, 1))
+        best = np.cos(np.maximum(angle - self.width[some] - MARGIN, 0.0))
+        best[:, zero] = np.maximum(best[:, zero], 0.0)
         best[~(units != 0).any(axis=1)] = 0.0
         return best + 1e-11
 
@@ -201,7 +205,9 @@ def pruned_topk(
     """``similarity.similar_topk`` for two large sides: (query_id, match_id, similarity, rank).
 
     A query first meets its own cell; what it finds there says which other cells can still hold a match, and it meets
-    those. Cells and the queries of a cell are dealt to groups of bounded size, so neither side is gathered in a task.
+    those. Cells are put together in blocks of bounded size, and a query travels once to each block that has a cell it
+    wants, not to each cell; inside, it meets only these cells. Large cells and the queries of a block are dealt to groups of
+    bounded size, so neither side is gathered in a task.
     """
     dims = [r[0] for r in queries.select(F.size(query_vector).alias("n")).filter("n > 0").distinct().collect()]
     parts = [
@@ -224,69 +230,98 @@ def _pruned_of_length(corpus: DataFrame, queries: DataFrame, k: int, threshold:
     return first if further is None else first.unionByName(meet(further))
 
 
+class Blocks:
+    """Cells put together until a block has ``most`` vectors; a larger cell is a block of several parts."""
+
+    def __init__(self, cells: Cells, most: int):
+        self.of_cell = np.zeros(len(cells.ids), dtype=np.int64)  # by position of the cell
+        self.sizes: list[int] = []
+        for position, size in enumerate(cells.sizes):
+            if not self.sizes or self.sizes[-1] + size > most:
+                self.sizes.append(0)
+            self.sizes[-1] += int(size)
+            self.of_cell[position] = len(self.sizes) - 1
+        self.parts = [-(-size // most) for size in self.sizes]
+
+
 def first_round(
     corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None, dim: int
 ) -> tuple[DataFrame, DataFrame | None, Callable[[DataFrame], DataFrame]]:
-    """What queries find in their own cells, their further visits (cell, key, v, floor), and what carries visits out."""
+    """What queries find in their own cells, their further visits (block, key, v, floor, home), and what carries visits out."""
     spark, kinds = corpus.sparkSession, [s.schema["key"].dataType.simpleString() for s in (queries, corpus)]
-    per_group = max(1, similarity.BLOCK_CELLS // dim)
     result = f"query_id {kinds[0]}, match_id {kinds[1]}, similarity double"
     rows = corpus.count()
     if not rows:
         return spark.createDataFrame([], result), None, lambda visiting: spark.createDataFrame([], result)
+    # Blocks small enough for memory, and so many that all tasks have work.
+    per_group = max(1, min(similarity.BLOCK_CELLS // dim, max(LEAST_BLOCK, -(-max(rows, queries.count()) // LEAST_BLOCKS))))
     centres = fitted_centres(corpus, max(1, min(MAX_CELLS, max(4 * -(-rows // per_group), round(math.sqrt(rows))))), dim)
     placed = _stored(in_cells(corpus, centres), "cells")
     cells = Cells.of(placed, centres)
-    parts = {int(c): -(-int(n) // per_group) for c, n in zip(cells.ids, cells.sizes, strict=True)}
+    blocks = Blocks(cells, per_group)
+    slice_rows = max(1, similarity.SCORES_AT_ONCE // len(cells.ids))
 
     def routed(batches: Iterator[pa.RecordBatch], home: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            floor = batch.column(2).to_numpy(zero_copy_only=False)
-            units = vectors.unit_rows(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            bounds = cells.bounds(units)
-            best = bounds.argmax(axis=1)
-            if home:
-                query, cell = np.arange(len(best)), best
-            else:
-                wanted = bounds >= floor[:, None]
-                wanted[np.arange(len(best)), best] = False
-                query, cell = np.nonzero(wanted)
-            at = pa.array(query)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ids[cell], pa.int32()), *(batch.column(i).take(at) for i in range(3))], names=["cell", "key", "v", "floor"]
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, slice_rows):  # bounds of a slice at once, and a batch of a block at once
+                batch = whole.slice(start, slice_rows)
+                floor = batch.column(2).to_numpy(zero_copy_only=False)
+                bounds = cells.bounds(vectors.unit_rows(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)))
+                best = bounds.argmax(axis=1)
+                wanted = np.zeros(bounds.shape, dtype=bool) if home else bounds >= floor[:, None]
+                wanted[np.arange(len(best)), best] = home
+                for block in range(len(blocks.sizes)):
+                    at = pa.array(np.flatnonzero(wanted[:, blocks.of_cell == block].any(axis=1)))
+                    if len(at):
+                        columns = [batch.column(i).take(at) for i in range(3)]
+                        homes = pa.array(best, pa.int32()).take(at)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([block] * len(at), pa.int32()), *columns, homes], names=["block", "key", "v", "floor", "home"]
+                        )
 
     def visits(asked: DataFrame, home: bool) -> DataFrame:
         route = lambda batches: routed(batches, home)
-        return asked.select("key", "v", "floor").mapInArrow(route, f"cell int, key {kinds[0]}, v array<double>, floor double")
+        return asked.select("key", "v", "floor").mapInArrow(route, f"block int, key {kinds[0]}, v array<double>, floor double, home int")
 
-    def pair(matches: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    def pair(matches: pd.DataFrame, wanted: pd.DataFrame, home: bool) -> pd.DataFrame:
+        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "match_id", "similarity")})
         if matches.empty or wanted.empty:
-            return pd.DataFrame({"query_id": [], "match_id": [], "similarity": []})
-        best = similarity._Best(vectors.unit_rows(np.stack(wanted["v"].to_list())), k, threshold)
-        best.add(matches["key"].to_numpy(), np.stack(matches["v"].to_list()))
+            return none
+        units, floor, homes = vectors.unit_rows(np.stack(wanted["v"].to_list())), wanted["floor"].to_numpy(), wanted["home"].to_numpy()
+        best = similarity._Best(units, k, threshold, floor)
+        for cell, own in matches.groupby("cell"):
+            position = int(np.searchsorted(cells.ids, cell))
+            asks = homes == position
+            if not home:
+                asks = ~asks & (cells.bounds(units, position)[:, 0] >= best.floor)
+            if len(asking := np.flatnonzero(asks)):
+                best.add(own["key"].to_numpy(), np.stack(own["v"].to_list()), asking)
         found = best.rows()
+        if found.empty:
+            return none
         ids = wanted["key"].to_numpy()[found["query"].to_numpy(dtype=np.int64)]
         return pd.DataFrame({"query_id": ids, "match_id": found["match"].to_numpy(), "similarity": found["score"].to_numpy()})
 
-    def meet(visiting: DataFrame) -> DataFrame:
-        counts = {r["cell"]: r["count"] for r in visiting.groupBy("cell").count().collect()}  # MAX_CELLS rows at most
-        layout = [(c, parts[c], -(-n // per_group)) for c, n in counts.items()]
-        sizes = F.broadcast(spark.createDataFrame(layout, "cell int, parts int, slices int"))
+    def meet(visiting: DataFrame, home: bool = False) -> DataFrame:
+        counts = {r["block"]: r["count"] for r in visiting.groupBy("block").count().collect()}  # at most one row per cell
+        layout = [(b, blocks.parts[b], -(-n // per_group)) for b, n in counts.items()]
+        sizes = F.broadcast(spark.createDataFrame(layout, "block int, parts int, slices int"))
+        block_of = F.broadcast(spark.createDataFrame([(int(c), int(b)) for c, b in zip(cells.ids, blocks.of_cell)], "cell int, block int"))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-        left = placed.select("cell", "key", "v").join(sizes, "cell").withColumn("part", own("parts")).withColumn("slice", every("slices"))
-        right = visiting.join(sizes, "cell").withColumn("slice", own("slices")).withColumn("part", every("parts"))
-        group = ("cell", "part", "slice")
-        left, right = (side.select(*group, "key", "v") for side in (left, right))
-        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(pair, result)
+        left = placed.join(block_of, "cell").join(sizes, "block").withColumn("part", own("parts")).withColumn("slice", every("slices"))
+        right = visiting.join(sizes, "block").withColumn("slice", own("slices")).withColumn("part", every("parts"))
+        group = ("block", "part", "slice")
+        left, right = left.select(*group, "cell", "key", "v"), right.select(*group, "key", "v", "floor", "home")
+        paired = lambda matches, wanted: pair(matches, wanted, home)
+        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(paired, result)
 
     lowest = -2.0 if threshold is None else threshold
     first_visits = _stored(visits(queries.withColumn("floor", F.lit(lowest)), home=True), "visits")
-    first = _stored(meet(first_visits), "first")
+    first = _stored(meet(first_visits, home=True), "first")
     kth = top_per_group(first, ["query_id"], [F.col("similarity").desc(), F.col("match_id")], k).groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("similarity")).alias("kth")
     )
     known = queries.join(kth.withColumnRenamed("query_id", "key"), "key", "left")
-    second = _stored(visits(known.withColumn("floor", F.greatest(F.coalesce("kth", F.lit(lowest)), F.lit(lowest))), home=False), "visits")
-    return first, second, meet
+    known = _stored(known.withColumn("floor", F.greatest(F.coalesce("kth", F.lit(lowest)), F.lit(lowest))), "floors")
+    return first, visits(known, home=False), meet  # visits are many times the table, so they are not stored
