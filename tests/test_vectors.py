@@ -175,6 +175,39 @@ def test_two_large_sides_meet_in_few_cells(rows, monkeypatch):
         assert further.count() < 0.25 * len(queries) * cells
 
 
+def test_a_query_travels_once_to_a_block(rows, monkeypatch):
+    corpus = RNG.normal(size=(600, 16))  # no cell can be left out
+    frame = table(rows, corpus)
+    monkeypatch.setattr(similarity, "BLOCK_CELLS", 16 * 100)
+    values = vector_index.whole_vectors(frame, "id", "embedding", 16)
+    first, further, meet = vector_index.first_round(values, values, 3, None, 16)
+    assert further.count() <= 12 * len(corpus)  # a block has half of 100 vectors at least; cells are 24
+    found = vector_index.pruned_topk(frame, frame, 3, None, "id", "embedding", "id", "embedding")
+    got = {(r["query_id"], r["rank"]): r["match_id"] for r in found.collect()}
+    units = corpus / np.linalg.norm(corpus, axis=1, keepdims=True)
+    order = np.argsort(-np.round(units @ units.T, 12), axis=1, kind="stable")[:, :3]
+    assert got == {(f"t{i:04d}", n + 1): f"t{j:04d}" for i, row in enumerate(order) for n, j in enumerate(row)}
+
+
+def test_best_matches_that_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(similarity, "SCORES_AT_ONCE", 60)
+    monkeypatch.setattr(similarity, "HITS_AT_ONCE", 20)
+    corpus = np.repeat(RNG.normal(size=(40, 4)), 3, axis=0)  # ties
+    units = corpus[::9] / np.linalg.norm(corpus[::9], axis=1, keepdims=True)
+    ids = RNG.permutation(len(corpus))
+    scores = np.round(corpus / np.linalg.norm(corpus, axis=1, keepdims=True) @ units.T, 12)
+    for threshold in (None, 0.5):
+        best = similarity._Best(units, 4, threshold)
+        for at in range(0, len(corpus), 25):
+            best.add(ids[at : at + 25], corpus[at : at + 25])
+        got = {q: g["match"].tolist() for q, g in best.rows().groupby("query")}
+        want = {}
+        for q in range(len(units)):
+            ranked = sorted((-s, i) for s, i in zip(scores[:, q], ids) if threshold is None or s > threshold)
+            want[q] = [i for _, i in ranked[:4]]
+        assert got == want
+
+
 @pytest.mark.parametrize("n, k", [(6, None), (7, 7), (83, 7), (84, 7), (95, 7), (96, 8), (239, 19), (240, 20), (251, 20), (252, 20)])
 def test_dynamic_k(n, k):
     assert clustering.dynamic_k(n) == k
@@ -310,6 +343,21 @@ def test_all_starts_advance_in_the_same_scans(rows, monkeypatch):
     assert len(scans) == slowest + 1 and scans[0] == scans[-1] == 5 and min(scans) < 5
 
 
+def test_a_round_of_the_starts_needs_no_conversion_and_no_shuffle(spark, rows, monkeypatch):
+    points = np.vstack([RNG.normal(size=(90, 5)) * 3, np.full((1, 5), np.nan), np.zeros((2, 5))])
+    seen, one_round = [], clustering._starts_round
+
+    def watched(r, c, v):
+        seen.append((r.columns, r.storageLevel.useMemory, r.rdd.getNumPartitions()))
+        return one_round(r, c, v)
+
+    monkeypatch.setattr(clustering, "_starts_round", watched)
+    found = clustering.lloyd_starts(table(rows, points).repartition(30), RNG.normal(size=(3, 4, 5)), 5)
+    assert {tuple(c) for c, _, _ in seen} == {("unit",)} and all(kept for _, kept, _ in seen)
+    assert max(n for _, _, n in seen) <= spark.sparkContext.defaultParallelism
+    assert found.members.sum(axis=1).tolist() == [92] * 3  # zero vectors as before, not-finite ones never
+
+
 def test_euclidean_takes_the_best_of_ten_starts(rows, monkeypatch):
     seen, lloyd_starts = [], clustering.lloyd_starts
     monkeypatch.setattr(clustering, "lloyd_starts", lambda *a, **k: seen.append((a, lloyd_starts(*a, **k))) or seen[-1][1])

@@ -20,6 +20,8 @@ from ..functions import vectors
 from .similarity import SmallVectors, assign_to
 
 SEED_ROWS = 16_384  # rows that the seeds of the starts are drawn from
+SUMS_AT_ONCE = 16_000_000  # numbers that the sums of all partitions of a round may have
+ROWS_AT_ONCE = 2048  # vectors whose distances to all centres are held at once in a task
 
 
 def dynamic_k(tickets: int) -> int | None:
@@ -135,57 +137,82 @@ def lloyd_starts(
 ) -> Starts:
     """K-Means of the vectors on unit length from several sets of centres at once.
 
-    A round is one scan for all starts: every batch meets the centres of all of them in one matrix product. A start
+    The vectors are put on unit length once and kept in as many partitions as cores. A round is one stage for all starts:
+    every batch meets the centres of all of them in one matrix product, and the driver adds up one set of sums a partition,
+    so a round costs no shuffle. A start
     whose centres move no more than the tolerance leaves, so there are as many scans as the slowest start has rounds, and one
     that measures the final centres. An empty cluster stays where it is.
     """
     centres = centres.copy()
     rounds = np.zeros(len(centres), dtype=np.int64)
     active = np.arange(len(centres))
-    for _ in range(max_iter):
-        if not len(active):
-            break
-        totals, members, _ = _starts_round(rows, centres[active], vector)
-        moved = np.where(members[..., None] > 0, totals / np.maximum(members, 1)[..., None], centres[active])
-        shift = np.sqrt(((moved - centres[active]) ** 2).sum(axis=2)).max(axis=1)
-        centres[active] = moved
-        rounds[active] += 1
-        active = active[shift > tolerance]
-    _, members, costs = _starts_round(rows, centres, vector)
+    parts = min(rows.sparkSession.sparkContext.defaultParallelism, SUMS_AT_ONCE // centres.size)
+    units = unit_vectors(rows, centres.shape[2], vector).coalesce(max(1, parts)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(max_iter):
+            if not len(active):
+                break
+            totals, members, _ = _starts_round(units, centres[active], "unit")
+            moved = np.where(members[..., None] > 0, totals / np.maximum(members, 1)[..., None], centres[active])
+            shift = np.sqrt(((moved - centres[active]) ** 2).sum(axis=2)).max(axis=1)
+            centres[active] = moved
+            rounds[active] += 1
+            active = active[shift > tolerance]
+        _, members, costs = _starts_round(units, centres, "unit")
+    finally:
+        units.unpersist()
     return Starts(centres, members, costs, rounds)
 
 
+def unit_vectors(rows: DataFrame, dim: int, vector: str) -> DataFrame:
+    """(unit): the finite vectors of one length on unit length, so that no round has to convert them again."""
+
+    def on_unit_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = vectors.unit_rows(vectors.batch_matrix(batch.column(0), dim)[1])
+            offsets = pa.array(np.arange(0, unit.size + 1, dim), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], names=["unit"])
+
+    return rows.select(vector).mapInArrow(on_unit_length, "unit array<double>")
+
+
 def _starts_round(rows: DataFrame, centres: np.ndarray, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums, numbers and squared distances of the members of each cluster of each start."""
+    """Sums, numbers and squared distances of the members of each cluster of each start; the vectors have unit length."""
     starts, k, dim = centres.shape
     flat = centres.reshape(-1, dim)
-    half = (flat**2).sum(axis=1) / 2
+    half = (flat**2).sum(axis=1)[:, None] / 2
+    first = np.arange(starts)[:, None] * k  # row of the first cluster of each start
 
     def sums_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, members, costs = np.zeros(centres.shape), np.zeros((starts, k), dtype=np.int64), np.zeros((starts, k))
+        totals, members, costs = np.zeros(flat.shape), np.zeros(starts * k, dtype=np.int64), np.zeros(starts * k)
         for batch in batches:
-            _, dense = vectors.batch_matrix(batch.column(0), dim)
-            unit = vectors.unit_rows(dense)
-            # |x - c|^2 = |x|^2 - 2 (x.c - |c|^2 / 2)
-            table = np.round(unit @ flat.T - half, vectors.SCORE_DIGITS).reshape(-1, starts, k)
-            own, squares = (unit**2).sum(axis=1), np.arange(k)[:, None]
-            for s, label in enumerate(table.argmax(axis=2).T):
-                members[s] += np.bincount(label, minlength=k)
-                costs[s] += np.bincount(label, own - 2 * table[np.arange(len(label)), s, label], k)
-                totals[s] += (squares == label[None, :]).astype(np.float64) @ unit
+            units = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for start in range(0, len(units), ROWS_AT_ONCE):
+                unit = units[start : start + ROWS_AT_ONCE]
+                # |x - c|^2 = |x|^2 - 2 (x.c - |c|^2 / 2); one row a centre, so that each step below runs along the vectors
+                table = np.round(flat @ unit.T - half, vectors.SCORE_DIGITS).reshape(starts, k, -1)
+                best, label = table[:, 0].copy(), np.zeros((starts, len(unit)), dtype=np.int64)
+                for cluster in range(1, k):
+                    np.copyto(label, cluster, where=table[:, cluster] > best)
+                    np.maximum(best, table[:, cluster], out=best)
+                label += first
+                members += np.bincount(label.ravel(), minlength=starts * k)
+                costs += np.bincount(label.ravel(), ((unit**2).sum(axis=1) - 2 * best).ravel(), starts * k)
+                own = np.zeros((starts * k, len(unit)))
+                own[label, np.arange(len(unit))] = 1.0
+                totals += own @ unit
         seen = np.flatnonzero(members)
         kinds = [("row", pa.int32()), ("members", pa.int64()), ("cost", pa.float64()), ("total", pa.list_(pa.float64()))]
-        values = (seen, members.ravel()[seen], costs.ravel()[seen], list(totals.reshape(-1, dim)[seen]))
+        values = (seen, members[seen], costs[seen], list(totals[seen]))
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(values, kinds)], schema=pa.schema(kinds))
 
     partial = rows.select(vector).mapInArrow(sums_of_partition, "row int, members bigint, cost double, total array<double>")
-    summed = partial.groupBy("row").agg(
-        F.sum("members").alias("members"), F.sum("cost").alias("cost"),
-        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-    )
+    found = partial.toArrow()  # for every partition at most one row per start and cluster
+    at = found["row"].to_numpy()
     totals, members, costs = np.zeros((starts * k, dim)), np.zeros(starts * k, dtype=np.int64), np.zeros(starts * k)
-    for row in summed.collect():  # at most one row per start and cluster
-        totals[row["row"]], members[row["row"]], costs[row["row"]] = row["total"], row["members"], row["cost"]
+    np.add.at(members, at, found["members"].to_numpy())
+    np.add.at(costs, at, found["cost"].to_numpy())
+    np.add.at(totals, at, found["total"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
     return totals.reshape(centres.shape), members.reshape(starts, k), costs.reshape(starts, k)
 
 
