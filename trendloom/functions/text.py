@@ -73,7 +73,7 @@ def simple_embed_text(subject: Column, description: Column, separator: str = ".
 
 def segment(name: Column) -> Column:
     """Dashboard segment of a cluster name: the first matching rule."""
-    rules = [(F.lower(name).rlike(pattern), label) for label, pattern in V.SEGMENTS]
+    rules = [(_has_word(name, pattern.split("|")), label) for label, pattern in V.SEGMENTS]  # alternatives of plain letters
     return _first_rule(rules, V.OTHER_SEGMENT)
 
 
@@ -96,11 +96,16 @@ def slug(text: Column) -> Column:
 
 
 def _by_theme(name: Column, results: list[str], default: str) -> Column:
-    lowered = F.lower(name)
-    hits = [reduce(Column.__or__, [lowered.contains(w) for w in words]) for _, words, _ in V.THEMES]
+    hits = [_has_word(name, words) for _, words, _ in V.THEMES]
     return _first_rule(list(zip(hits, results)), default)
 
 
+def _has_word(name: Column, words: list[str] | tuple[str, ...]) -> Column:
+    """Whether the lower-cased text contains one of the words."""
+    lowered = F.lower(name)
+    return reduce(Column.__or__, [lowered.contains(w) for w in words])
+
+
 def _first_rule(rules, default) -> Column:
     chain = F
     for condition, result in rules:

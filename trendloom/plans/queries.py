@@ -235,9 +235,7 @@ def segment_share(desk: Desk) -> DataFrame:
 @query
 def subject_segments(desk: Desk) -> DataFrame:
     """Segment and theme rules over every ticket text."""
-    body = F.col("description")
-    rows = desk.tickets().groupBy(text.segment(body).alias("segment"), text.theme(body).alias("theme"))
-    return rows.agg(F.count("*").alias("tickets")).withColumn("key", text.slug(F.col("segment")))
+    return desk.tickets_by(segment=text.segment, theme=text.theme).withColumn("key", text.slug(F.col("segment")))
 
 
 @query

@@ -8,6 +8,8 @@ Two support desks are made from them:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,8 +85,7 @@ class Desk:
         events = self.table("events").select(F.col("event_id").alias("k"), "event_type")
         rows = self._keyed().join(events, "k", "left")
         ticket_id = F.concat(F.lit("TKT-"), F.col("k").cast("string"))
-        filler = F.concat(F.lit("Ticket "), F.col("k").cast("string"))
-        body = F.coalesce(F.nullif(text.clean(F.col("text")), F.lit("")), filler)
+        body = _body(F.col("text"), F.col("k"))
         age = (F.col("k") * 37) % (25 + 10 * _group(F.col("label"), F.col("k")))
         return rows.select(
             row_id(ticket_id).alias("id"),
@@ -101,6 +102,23 @@ class Desk:
             "k",
         )
 
+    def tickets_by(self, **labels: Callable[[Column], Column]) -> DataFrame:
+        """The number of ``tickets()`` for each value of some functions of the description.
+
+        The labels are found where the texts are read: the joins carry no text, and rows that share a key meet as counts.
+        """
+        documents = self.table("documents").select("doc_id", _body(F.col("text"), F.col("doc_id")).alias("_body"))
+        documents = documents.select("doc_id", *[f(F.col("_body")).alias(name) for name, f in labels.items()])
+        documents = documents.groupBy("doc_id", *labels).agg(F.count("*").alias("n_documents"))
+        vectors = self.table("embeddings").groupBy("vec_id").agg(F.count("*").alias("n_vectors"))
+        events = self.table("events").groupBy(F.col("event_id").alias("k")).agg(F.count("*").alias("n_events"))
+        keyed = documents.join(vectors, F.col("doc_id") == F.col("vec_id"), "full").withColumn("k", F.coalesce("doc_id", "vec_id"))
+        rows = keyed.join(events, "k", "left").withColumn("_body", _body(F.lit(None).cast("string"), F.col("k")))
+        found = [F.when(F.col("n_documents").isNull(), f(F.col("_body"))).otherwise(F.col(name)).alias(name) for name, f in labels.items()]
+        one = F.lit(1).cast("bigint")
+        tickets = F.coalesce("n_documents", one) * F.coalesce("n_vectors", one) * F.coalesce("n_events", one)
+        return rows.select(*found, tickets.alias("n")).groupBy(*labels).agg(F.sum("n").alias("tickets"))
+
     def members(self) -> DataFrame:
         ticket_id = F.concat(F.lit("TKT-"), F.col("k").cast("string"))
         cluster = F.concat(F.lit("C0"), _group(F.col("label"), F.col("k")).cast("string"))
@@ -147,6 +165,11 @@ def _group(label: Column, key: Column) -> Column:
     return F.coalesce(label.cast("bigint"), key % 10)
 
 
+def _body(body: Column, key: Column) -> Column:
+    """The text of a ticket, or one made from its key when there is none."""
+    return F.coalesce(F.nullif(text.clean(body), F.lit("")), F.concat(F.lit("Ticket "), key.cast("string")))
+
+
 def _mapped(pairs: dict[str, str], value: Column) -> Column:
     chain = F
     for old, new in pairs.items():
